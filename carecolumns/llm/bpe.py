@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding of whole texts: speculate and verify.
 
-Words of the public pre-tokenizer are encoded once per task and kept. A new word is split greedily into the longest tokens; the split is right
+A text is cut at white space into chunks, which the public pre-tokenizer never crosses; chunks and their words are encoded once per Python worker and kept. A new word is split greedily into the longest tokens; the split is right
 exactly if every token is what its own bytes encode to and every adjacent pair is what the pair's bytes encode to. Adjacent pairs of all new words of a batch
 are checked together against a sorted table of pairs known to hold; a pair that is met first is decided by merging its bytes. Only words with
 a failing pair are merged exactly. Ids and texts equal those of the tokenizers library.
@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from carecolumns.llm.common import batch, small_batches
 
-#: Words that a task keeps encoded, and pairs that it keeps decided, before it starts anew.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 2_000_000
+#: Chunks that a worker keeps encoded (some 150 MB), and pairs that it keeps decided, before it starts anew.
+KEPT_CHUNKS, KEPT_PAIRS = 600_000, 2_000_000
+#: Symbols up to which merging scans the word for its best pair; longer words use a heap.
+SHORT = 48
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +58,12 @@ def _classes() -> tuple[str, str, str]:
     return ranges(r"\p{L}+"), ranges(r"\p{N}+"), ranges(r"\p{White_Space}+")
 
 
+@lru_cache(2)
+def codec_of(path: str) -> "Codec":
+    """One codec a Python worker, whatever the number of its tasks."""
+    return Codec(path)
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -67,26 +76,51 @@ class Codec:
         self.id = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
         self.text = {i: str(i) for i in self.bytes}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Merges by packed pair, and the ids that they make, by rank.
+        self.order: dict[int, int] = {}
+        self.made: list[int] = []
         for k, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             a, b = to_bytes(a), to_bytes(b)
             self.rank.setdefault((self.id[a], self.id[b]), (k, self.id[a + b]))
+            self.order.setdefault(self.id[a] << 17 | self.id[b], k)
+            self.made.append(self.id[a + b])
         self.longest = max(map(len, self.id))
         self.single = [self.id[bytes([b])] for b in range(256)]
         #: Tokens that greedy splits may use: those that their own bytes encode to.
         self.usable = {b: i for b, i in self.id.items() if self.merge(b) == [i]}
+        #: Beginnings of tokens: a longer match is looked for while the bytes so far are one.
+        self.begins = {b[:k] for b in self.usable for k in range(1, len(b))}
         letters, numbers, spaces = _classes()
         pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
         self.words = re.compile(pattern).findall
+        self.chunks = re.compile(rf" ?[^{spaces}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
         self.apart = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
         self.pairs = np.zeros(0, np.int64)
         self.holds = np.zeros(0, bool)
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the leftmost pair of least rank first, from a heap over a linked list."""
+        """Exact merging: the leftmost pair of least rank first."""
         ids = [self.single[b] for b in word]
         n = len(ids)
+        if n <= SHORT:
+            get, most = self.order.get, 1 << 30
+            ranks = [get(a << 17 | b, most) for a, b in zip(ids, ids[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == most:
+                    break
+                i = ranks.index(best)
+                ids[i : i + 2] = [self.made[best]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(ids[i] << 17 | ids[i + 1], most)
+                if i:
+                    ranks[i - 1] = get(ids[i - 1] << 17 | ids[i], most)
+            return ids
+        # a heap over a linked list
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -106,13 +140,19 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, n, usable = [], 0, len(word), self.usable
+        """The longest usable token at each place."""
+        out, at, n, usable, begins = [], 0, len(word), self.usable, self.begins
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if (i := usable.get(word[at:end])) is not None:
-                    out.append(i)
-                    at = end
+            end, last, last_end = at + 1, usable[word[at : at + 1]], at + 1
+            while end < n:
+                end += 1
+                part = word[at:end]
+                if (i := usable.get(part)) is not None:
+                    last, last_end = i, end
+                elif part not in begins:
                     break
+            out.append(last)
+            at = last_end
         return out
 
     def verified(self, pairs: np.ndarray) -> np.ndarray:
@@ -141,26 +181,35 @@ class Codec:
         for k, (w, g) in enumerate(zip(words, guess, strict=True)):
             known[w] = tuple(self.merge(raw[k]) if fails[k] else g)
 
+    def cut(self, chunk: str) -> list[str]:
+        """The pre-tokenizer's words of a chunk; letters only, behind a space or not, are one."""
+        return [chunk] if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else self.words(chunk)
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; the vocabulary's special strings are tokens of their own."""
-        split = []
+        split: list[list] = []
         for t in texts:
-            if self.apart and self.apart.search(t):
+            if self.apart and "<" in t and self.apart.search(t):
                 parts, at = [], 0
                 for m in self.apart.finditer(t):
-                    parts += [self.words(t[at : m.start()]), self.special[m[0]]]
+                    parts += [self.chunks(t[at : m.start()]), self.special[m[0]]]
                     at = m.end()
-                split.append([*parts, self.words(t[at:])])
+                split.append([*parts, self.chunks(t[at:])])
             else:
-                split.append([self.words(t)])
-        if len(self.known) > KEPT_WORDS:
+                split.append([self.chunks(t)])
+        if len(self.kept) > KEPT_CHUNKS:
+            self.kept.clear()
             self.known.clear()
-        known = self.known
-        new = {w for parts in split for p in parts if not isinstance(p, int) for w in p if w not in known}
+        kept, known = self.kept, self.known
+        new = set().union(*(p for parts in split for p in parts if not isinstance(p, int))) - kept.keys()
         if new:
-            self.learn(list(new))
+            words = {c: self.cut(c) for c in new}
+            if unknown := {w for ws in words.values() for w in ws} - known.keys():
+                self.learn(list(unknown))
+            for c, ws in words.items():
+                kept[c] = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws)))
         for parts in split:
-            yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(known.__getitem__, p)) for p in parts))
+            yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(kept.__getitem__, p)) for p in parts))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -168,7 +217,7 @@ class Codec:
 
 def _run(path: str, column: str, keep: list[str], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         at_most = 400
         for b in batches:
             for begin in range(0, b.num_rows, at_most):
@@ -202,7 +251,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     """rows (doc_id long, ids array<int>) to (doc_id, text); null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             yield batch(["doc_id", "text"], b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.string()))
 
