@@ -77,7 +77,7 @@ def blocks(page: str) -> list[dict]:
     def flush() -> None:
         nonlocal text, linked
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
-        if whole:
+        if whole and not any(k == "hidden" for _, k in stack):
             kinds = {k for _, k in stack if k}
             # a header within an article heads the article
             if "article" in kinds:
@@ -149,7 +149,7 @@ def features(found: list[dict]) -> np.ndarray:
         before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
         x[i, :6] = b["words"], b["links"], before["words"] if before else 0, before["links"] if before else 1, after["words"] if after else 0, after["links"] if after else 1
         for k, kind in enumerate(KINDS):
-            x[i, 6 + k] = kind in b["kinds"] or (kind == "menu" and "hidden" in b["kinds"])
+            x[i, 6 + k] = kind in b["kinds"]
         x[i, -5:] = b["tag"][:1] == "h" and b["tag"][1:].isdigit(), b["tag"] in ("li", "dt", "dd", "td", "th"), i / len(found), b["text"][-1] in ".!?…:;\"'”»)", b["words"] < 40 and _is_legal(b["text"].lower())
     return x
 
@@ -194,6 +194,8 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
         drop = rng.random(len(plan)) < (0.0, 0.35, 0.7, 1.0)[page // 6 % 4]
         marks, source = [], ""
         for k, part in enumerate(plan):
+            if part == "BODY" and page % 9 == 4:
+                continue
             if part == "BODY":
                 source += wrap.format("".join(h for _, h in body))
                 marks += [m for m, h in body for _ in blocks(h)]

@@ -230,7 +230,7 @@ def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFra
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     texts = docs.select((~held_out).alias("train"), as_bytes().alias("text"))
     words = cut(texts.mapInArrow(_count, "h long, word binary, c long").groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c")))
-    total, kinds, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if("c > 0"), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0))).first()
+    total, kinds, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0))).first()
 
     lattice = Lattice(vocabulary)
     first = spark.sparkContext.broadcast(lattice)

@@ -28,17 +28,12 @@ from carecolumns.llm.components import components
 from carecolumns.llm.words import mix, shingle_sets
 
 U = np.uint64
-#: Counters of the sketch of column frequencies: a bound of 2 MB on what is broadcast.
-SKETCH = 1 << 18
+#: Counters of the sketch of column frequencies: a bound of 4 MB on what is broadcast.
+SKETCH = 1 << 20
 #: Bits of a bitmap for each shingle of a set, and its sizes in bytes.
 BITS, LEAST, MOST = 2, 16, 1 << 14
 #: Rows in a block of the product.
 BLOCK = 1024
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x) if hasattr(np, "bitwise_count") else _POPCOUNT[x.view(np.uint8)].reshape(*x.shape, -1).sum(-1)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -73,7 +68,7 @@ def may_link(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes]) -> np
                 out[some] = _fold(np.frombuffer(b"".join(side[i] for i in at[some]), np.uint8).reshape(-1, w), k)
             return out
 
-        apart = _popcount((rows(a) ^ rows(b)).view(np.uint64)).sum(1, dtype=np.int64)
+        apart = np.bitwise_count((rows(a) ^ rows(b)).view(np.uint64)).sum(1, dtype=np.int64)
         # J >= 3/4 <=> 7 * |only one| <= (|a| + |b|)
         ok[at] = 7 * apart <= n[at] + m[at]
     return ok
@@ -90,7 +85,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(sets)
             yield batch(["doc_id", "n", "key", "bits", "slot", "count"], p.column(0), np.array([len(s) for s in sets], np.int64), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
     mean = counts.mean()
-    heavy = np.flatnonzero(counts > mean + 6 * mean**0.5 + 6)
+    heavy = np.flatnonzero(counts > mean + 5 * mean**0.5 + 3)
     if len(heavy):
         n = len(heavy)
         yield batch(["doc_id", "n", "key", "bits", "slot", "count"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), heavy.astype(np.int64), counts[heavy])
@@ -176,9 +171,21 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, n, root = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         if len(rows) < 2 or (root == root[0]).all():
             return
-        bits = [r[4] for r in rows]
         by = np.argsort(n, kind="stable")
-        doc, n, root, bits = doc[by], n[by], root[by], [bits[i] for i in by]
+        doc, n, root = doc[by], n[by], root[by]
+        wide = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))[by]
+        # bitmaps of each size as one matrix; a pair is compared at the smaller size of the two
+        where, whole = np.zeros(len(rows), np.int64), {}
+        for w in set(wide.tolist()):
+            at = np.flatnonzero(wide == w)
+            where[at] = np.arange(len(at))
+            whole[w, w] = np.frombuffer(b"".join(rows[by[i]][4] for i in at), np.uint8).reshape(-1, w).view(U)
+
+        def bitmaps(w: int, size: int) -> np.ndarray:
+            if (w, size) not in whole:
+                whole[w, size] = _fold(whole[w, w].view(np.uint8), size).view(U)
+            return whole[w, size]
+
         found = []
         for i in range(0, len(rows), BLOCK):
             for j in range(i, len(rows), BLOCK):
@@ -187,12 +194,16 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, q = np.nonzero((root[i : i + BLOCK, None] != root[None, j : j + BLOCK]) & (100 * n[i : i + BLOCK, None] >= 75 * n[None, j : j + BLOCK]))
                 p, q = p + i, q + j
                 p, q = p[p < q], q[p < q]
-                for k in range(0, len(p), 50_000):
-                    u, v = p[k : k + 50_000], q[k : k + 50_000]
-                    ok = may_link(n[u], [bits[x] for x in u], n[v], [bits[x] for x in v])
-                    found.append(np.stack((np.minimum(doc[u], doc[v])[ok], np.maximum(doc[u], doc[v])[ok]), 1))
+                for a, b in set(zip(wide[p].tolist(), wide[q].tolist(), strict=True)):
+                    at = np.flatnonzero((wide[p] == a) & (wide[q] == b))
+                    x, y = bitmaps(a, min(a, b)), bitmaps(b, min(a, b))
+                    for k in range(0, len(at), 20_000):
+                        u, v = p[at[k : k + 20_000]], q[at[k : k + 20_000]]
+                        apart = np.bitwise_count(x[where[u]] ^ y[where[v]]).sum(1, dtype=np.int64)
+                        ok = 7 * apart <= n[u] + n[v]
+                        found.append(np.stack((np.minimum(doc[u], doc[v])[ok], np.maximum(doc[u], doc[v])[ok]), 1))
         if found:
-            pairs = np.concatenate(found)
+            pairs = np.unique(np.concatenate(found), axis=0)
             for k in range(0, len(pairs), 50_000):
                 yield batch(["a", "b"], pairs[k : k + 50_000, 0], pairs[k : k + 50_000, 1])
 
@@ -252,7 +263,7 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     texts = docs.select("doc_id", as_bytes().alias("text"))
     first = cut(texts.mapInArrow(_classes, "doc_id long, n long, key binary, bits binary, slot long, count long"))
     rows = first.where("slot is null")
-    weight = np.zeros(SKETCH, np.int64)
+    weight = np.zeros(SKETCH, np.int32)
     heavy = first.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()  # SKETCH rows at most
     weight[heavy["slot"].to_numpy(np.int64)] = heavy["count"]
     order = spark.sparkContext.broadcast(weight)

@@ -13,9 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = r"A-Za-z0-9_+/=\-"
+from carecolumns.llm.single import once
+
+_RUN = r"A-Za-z0-9_+/\-"
 #: Key headers; a value after a name of a secret; a run of 16 or more with a digit.
-RUN = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{_RUN}])(?=[A-Za-z_+/=\-]{{0,64}}[0-9])[{_RUN}]{{16,}}+"
+RUN = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{_RUN}])(?=[A-Za-z_+/\-]{{0,64}}[0-9])[{_RUN}]{{16,}}+={{0,2}}"
 ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|token|key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[^\s\"']{6,}|" + RUN
 #: Without one of these there is no assigned value, and the dearer pattern is not run.
 NAMES = ("passw", "pwd", "secret", "token", "key")
@@ -152,17 +154,12 @@ def scored(docs: DataFrame, trees: list) -> DataFrame:
         named = named | F.contains(F.col("text"), F.lit(n))
     found = docs.withColumn("_found", F.when(named, F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))))
     found = found.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
-    found = _once(found, "_found")
-    found = _once(found.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.when(named, F.split("text", ASSIGNED, -1)).otherwise(F.split("text", RUN, -1)))), "_gaps")
+    found = once(found, "_found")
+    found = once(found.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.when(named, F.split("text", ASSIGNED, -1)).otherwise(F.split("text", RUN, -1)))), "_gaps")
     c, b, a = "_found[i]", f"right(_gaps[i], {BEFORE})", f"left(_gaps[i + 1], {AFTER})"
     each = f"transform(sequence(0, size(_found) - 1), i -> array({', '.join(features(c, b, a))}))"
-    found = _once(found.withColumn("_features", F.when(F.col("_found").isNotNull(), F.expr(each))), "_features")
-    return _once(found.withColumn("_score", F.expr(f"transform(_features, f -> {forest_sql(trees, 'f')})")), "_score").drop("_features")
-
-
-def _once(df: DataFrame, name: str) -> DataFrame:
-    """df with a column that is evaluated once a row: the optimizer does not copy expressions across a generator into each place that names them."""
-    return df.withColumn("_held", F.explode(F.array(F.struct(name)))).withColumn(name, F.col(f"_held.{name}")).drop("_held")
+    found = once(found.withColumn("_features", F.when(F.col("_found").isNotNull(), F.expr(each))), "_features")
+    return once(found.withColumn("_score", F.expr(f"transform(_features, f -> {forest_sql(trees, 'f')})")), "_score").drop("_features")
 
 
 def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -173,7 +170,7 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = scored(docs.select("doc_id", "text"), forest(docs.sparkSession))
     start = "aggregate(slice(_gaps, 1, i + 1), 0L, (s, g) -> s + length(g)) + aggregate(slice(_found, 1, i), 0L, (s, g) -> s + length(g))"
     each = F.expr(f"if(_score is null, null, transform(filter(sequence(0, size(_found) - 1), i -> _score[i] >= {threshold}D), i -> struct({start} as start, length(_found[i]) as length, _found[i] as secret, _score[i] as score)))")
-    out = _once(out.select("doc_id", each.alias("each")), "each")
+    out = once(out.select("doc_id", each.alias("each")), "each")
     return out.select("doc_id", F.explode("each").alias("x")).select("doc_id", "x.start", F.col("x.length").cast("long").alias("length"), "x.secret", "x.score")
 
 
@@ -182,7 +179,7 @@ def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = scored(docs, forest(docs.sparkSession))
     text: Column = F.expr(f"concat(array_join(transform(_found, (c, i) -> concat(_gaps[i], if(_score[i] >= {threshold}D, '{MASK}', c))), ''), element_at(_gaps, -1))")
     hit = F.coalesce(F.expr(f"exists(_score, s -> s >= {threshold}D)"), F.lit(False))
-    out = _once(out.withColumn("_new", F.when(hit, text)), "_new")
+    out = once(out.withColumn("_new", F.when(hit, text)), "_new")
     hit, text = F.col("_new").isNotNull(), F.col("_new")
     new = {"text": F.when(hit, text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
