@@ -39,7 +39,7 @@ CUES = {
 }
 _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 KINDS = ("menu", "header", "footer", "side", "ad", "notice", "form", "comment", "article")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *KINDS, "heading", "item", "place", "stop", "legal")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *KINDS, "around", "heading", "item", "place", "stop", "legal")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _LEGAL = ("©", "copyright", "all rights reserved", "cookie", "subscribe", "sign up", "advertisement", "privacy policy")
@@ -150,7 +150,8 @@ def features(found: list[dict]) -> np.ndarray:
         x[i, :6] = b["words"], b["links"], before["words"] if before else 0, before["links"] if before else 1, after["words"] if after else 0, after["links"] if after else 1
         for k, kind in enumerate(KINDS):
             x[i, 6 + k] = kind in b["kinds"]
-        x[i, -5:] = b["tag"][:1] == "h" and b["tag"][1:].isdigit(), b["tag"] in ("li", "dt", "dd", "td", "th"), i / len(found), b["text"][-1] in ".!?…:;\"'”»)", b["words"] < 40 and _is_legal(b["text"].lower())
+        x[i, 6 + len(KINDS)] = len(b["kinds"] - {"article"})
+        x[i, -5:] = b["tag"][:1] == "h" and b["tag"][1:].isdigit(), b["tag"] in ("li", "dt", "dd", "td", "th"), i / len(found), b["text"][-1] in ".!?…:;\"'”»)", b["words"] < 40 and "article" not in b["kinds"] and _is_legal(b["text"].lower())
     return x
 
 
