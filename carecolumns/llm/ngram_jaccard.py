@@ -15,6 +15,7 @@ So no link between different components is lost, while groups of copies are neve
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,12 @@ from carecolumns.llm.components import components
 from carecolumns.llm.words import mix, shingle_sets
 
 U = np.uint64
-#: Counters of the sketch of column frequencies: a bound of 4 MB on what is broadcast.
-SKETCH = 1 << 20
+#: Counters of the sketch of column frequencies (a bound of 8 MB on what is broadcast), and in one block of it.
+SKETCH, PART = 1 << 21, 1 << 17
 #: Bits of a bitmap for each shingle of a set, and its sizes in bytes.
 BITS, LEAST, MOST = 2, 16, 1 << 14
-#: Rows in a block of the product.
-BLOCK = 1024
+#: Rows in a block of the product, and rows of columns that are multiplied many at a time.
+BLOCK, SHORT = 1024, 64
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -75,20 +76,31 @@ def may_link(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes]) -> np
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, key, bits) of each text, and for counters well above a partition's mean (slot, count)."""
+    """(doc_id, text) to (doc_id, n, key, bits) of each text, and at the end the partition's counters, block by block (slot, key: packed)."""
     counts = np.zeros(SKETCH, np.int64)
+    names = ["doc_id", "n", "key", "bits", "slot"]
     for b in batches:
         for p in pieces(b, "text"):
             sets = shingle_sets(p.column(1))
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            np.add.at(counts, (np.concatenate([*sets, np.zeros(0, U)]) & U(SKETCH - 1)).astype(np.int64), 1)
             n = len(sets)
-            yield batch(["doc_id", "n", "key", "bits", "slot", "count"], p.column(0), np.array([len(s) for s in sets], np.int64), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
-    mean = counts.mean()
-    heavy = np.flatnonzero(counts > mean + 5 * mean**0.5 + 3)
-    if len(heavy):
-        n = len(heavy)
-        yield batch(["doc_id", "n", "key", "bits", "slot", "count"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), heavy.astype(np.int64), counts[heavy])
+            yield batch(names, p.column(0), np.array([len(s) for s in sets], np.int64), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(n, pa.int64()))
+    for k in range(SKETCH // PART):
+        part = counts[k * PART : (k + 1) * PART]
+        if part.any():
+            packed = zlib.compress(np.minimum(part, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+            yield batch(names, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary()), pa.nulls(1, pa.binary()), np.array([k], np.int64))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (slot, packed) of many partitions, added up one after the other."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+            held[k] = held[k] + part if k in held else part
+    for k, part in held.items():
+        yield batch(["slot", "packed"], np.array([k], np.int64), pa.array([np.minimum(part, 2**31 - 1).astype(np.int32).tobytes()], pa.binary()))
 
 
 def _prefixes(order):
@@ -165,7 +177,6 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc, n, root, bits) sorted by h: in blocks of each column's rows, pairs of different components that may link."""
-    held: list = []
 
     def column(rows: list) -> Iterator[pa.RecordBatch]:
         doc, n, root = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
@@ -207,13 +218,52 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(pairs), 50_000):
                 yield batch(["a", "b"], pairs[k : k + 50_000, 0], pairs[k : k + 50_000, 1])
 
+    def short(h: np.ndarray, doc: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Columns of few rows, all at once: row i against i + 1, i + 2 and so on."""
+        found = []
+        for step in range(1, SHORT):
+            i = np.flatnonzero(h[step:] == h[:-step]) if step < len(h) else []
+            if not len(i):
+                break
+            j = i + step
+            ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= 75 * np.maximum(n[i], n[j]))
+            found.append(np.stack((i[ok], j[ok]), 1))
+        if not found or not sum(map(len, found)):
+            return
+        at = np.concatenate(found)
+        u, v = at[:, 0], at[:, 1]
+        pairs, first = np.unique(np.stack((np.minimum(doc[u], doc[v]), np.maximum(doc[u], doc[v])), 1), axis=0, return_index=True)
+        u, v = u[first], v[first]
+        ok = may_link(n[u], [bits[x] for x in u], n[v], [bits[x] for x in v])
+        if ok.any():
+            yield batch(["a", "b"], pairs[ok, 0], pairs[ok, 1])
+
+    def rows_of(b: list) -> Iterator[pa.RecordBatch]:
+        h, doc, n, root, bits = b
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(begin, len(h)))
+        few = np.repeat(size <= SHORT, size)
+        at = np.flatnonzero(few)
+        if len(at):
+            yield from short(h[at], doc[at], n[at], root[at], [bits[i] for i in at])
+        for k in np.flatnonzero(size > SHORT):
+            yield from column([(h[i], doc[i], n[i], root[i], bits[i]) for i in range(begin[k], begin[k] + size[k])])
+
+    held = None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                yield from column(held)
-                held = []
-            held.append(row)
-    yield from column(held)
+        now = [np.asarray(b.column(k)).astype(np.int64) for k in range(4)] + [b.column(4).to_pylist()]
+        if held:
+            now = [np.concatenate((held[k], now[k])) for k in range(4)] + [held[4] + now[4]]
+        h = now[0]
+        if not len(h):
+            continue
+        # the last column may go on in the next batch
+        end = int(np.searchsorted(h, h[-1]))
+        if end:
+            yield from rows_of([x[:end] for x in now])
+        held = [x[end:] for x in now]
+    if held:
+        yield from rows_of(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +311,11 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", as_bytes().alias("text"))
-    first = cut(texts.mapInArrow(_classes, "doc_id long, n long, key binary, bits binary, slot long, count long"))
+    first = cut(texts.mapInArrow(_classes, "doc_id long, n long, key binary, bits binary, slot long"))
     rows = first.where("slot is null")
     weight = np.zeros(SKETCH, np.int32)
-    heavy = first.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()  # SKETCH rows at most
-    weight[heavy["slot"].to_numpy(np.int64)] = heavy["count"]
+    for r in first.where("slot is not null").select("slot", "key").repartition(SKETCH // PART, "slot").mapInArrow(_summed, "slot long, packed binary").toLocalIterator():  # SKETCH counters in all
+        weight[r.slot * PART : (r.slot + 1) * PART] = np.frombuffer(r.packed, np.int32)
     order = spark.sparkContext.broadcast(weight)
 
     classes = cut(rows.where("key is not null and doc_id is not null").groupBy("key", "n").agg(F.min(F.struct("doc_id", "bits")).alias("one")).select("key", "n", F.col("one.doc_id").alias("doc"), F.col("one.bits").alias("bits")))
