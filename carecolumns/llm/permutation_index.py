@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pivots, fitted on a sample of SAMPLE vectors of least hash (k-means++ like spreading); every vector is indexed.
-PIVOTS, SAMPLE, NEAREST = 128, 4096, 24
+PIVOTS, SAMPLE, NEAREST = 256, 4096, 48
 SHARD, BLOCK = 8192, 1024
 #: Share of a shard that is reranked, and the least number.
-RERANKED, LEAST = 0.15, 400
+RERANKED, LEAST = 0.2, 400
 
 
 def usable(c: Column) -> Column:
