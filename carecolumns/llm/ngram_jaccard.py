@@ -314,7 +314,7 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     first = cut(texts.mapInArrow(_classes, "doc_id long, n long, key binary, bits binary, slot long"))
     rows = first.where("slot is null")
     weight = np.zeros(SKETCH, np.int32)
-    for r in first.where("slot is not null").select("slot", "key").repartition(SKETCH // PART, "slot").mapInArrow(_summed, "slot long, packed binary").toLocalIterator():  # SKETCH counters in all
+    for r in first.where("slot is not null").select("slot", "key").repartition(SKETCH // PART, "slot").mapInArrow(_summed, "slot long, packed binary").collect():  # SKETCH counters in all
         weight[r.slot * PART : (r.slot + 1) * PART] = np.frombuffer(r.packed, np.int32)
     order = spark.sparkContext.broadcast(weight)
 
