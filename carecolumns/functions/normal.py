@@ -3,8 +3,11 @@
 import math
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
+from carecolumns.shipping import ship
+
 
 def _phi(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
@@ -12,4 +15,5 @@ def _phi(x: pd.Series) -> pd.Series:
 
 def normal_cdf(z):
     """P(Z <= z)."""
+    ship(SparkSession.getActiveSession())
     return pandas_udf(_phi, "double")(z)
