@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carecolumns.shipping import ship
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +49,8 @@ def release(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that batches of long texts fit in a Python worker and those of short rows stay large."""
+    """Bound Arrow batches by bytes, so that batches of long texts fit in a Python worker and those of short rows stay large; see that workers have this package."""
+    ship(spark)
     for k, v in (("maxBytesPerBatch", "8m"), ("maxRecordsPerBatch", "20000")):
         if spark.conf.get(f"spark.sql.execution.arrow.{k}") != v:
             spark.conf.set(f"spark.sql.execution.arrow.{k}", v)

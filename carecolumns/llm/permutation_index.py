@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carecolumns.shipping import ship
+
 #: Pivots, fitted on a sample of SAMPLE vectors of least hash (k-means++ like spreading); every vector is indexed.
 PIVOTS, SAMPLE, NEAREST = 256, 4096, 48
 SHARD, BLOCK = 8192, 1024
@@ -89,6 +91,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     frequent one. Ties go to smaller ids. Repeated rows are candidates of their own; a repeated query is asked once. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "size").limit(1).collect()
