@@ -6,7 +6,7 @@ A text is its words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end. The pr
 
 where P0 of a word is its marginal probability in the subword lattice: the sum over all segmentations into pieces of a public vocabulary, by a forward
 recursion in log space. The vocabulary's own scores give the first weights of its pieces (score -r: weight 1 / (1 + r); byte pieces, which have no rank,
-the least); one expectation step over every distinct training word adapts them, with the first weights as prior. A word's first piece, its later pieces and
+the least); expectation steps over every distinct training word adapt them, with the first weights as prior. A word's first piece, its later pieces and
 its stop have probabilities of their own, so P0 sums to one at most. alpha is the value on a grid that gives training words the highest
 leave-one-out likelihood. All counts cover all training texts; nothing is sampled.
 """
@@ -29,7 +29,9 @@ END = -1
 #: Words with at least 1 / HEAVY of all training tokens: HEAVY of them at most (5 MB), looked up without a shuffle.
 HEAVY = 200_000
 #: Weight of the vocabulary's own scores in the adapted piece probabilities, in pieces.
-PRIOR = 500.0
+PRIOR = 50.0
+#: Expectation steps over the distinct training words.
+STEPS = 3
 #: Distinct words that a task counts before it passes them on.
 HELD = 600_000
 
@@ -233,12 +235,14 @@ def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFra
     total, kinds, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0))).first()
 
     lattice = Lattice(vocabulary)
-    first = spark.sparkContext.broadcast(lattice)
-    expected = words.where(f"c > 0 and h <> {END}").select("word").mapInArrow(_expect(first), "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece
-    e = np.zeros(len(lattice.pieces))
-    real = expected["piece"] >= 0
-    e[expected["piece"][real].to_numpy(np.int64)] = expected["e"][real]
-    lattice.adapt(e, float(expected["e"][~real].sum()))
+    types = words.where(f"c > 0 and h <> {END}").select("word")
+    for _ in range(STEPS):
+        sent = spark.sparkContext.broadcast(lattice)
+        expected = types.mapInArrow(_expect(sent), "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()  # a row a piece
+        e = np.zeros(len(lattice.pieces))
+        real = expected["piece"] >= 0
+        e[expected["piece"][real].to_numpy(np.int64)] = expected["e"][real]
+        lattice.adapt(e, float(expected["e"][~real].sum()))
     adapted = spark.sparkContext.broadcast(lattice)
     share = max(ends, 1) / max(total, 1)
     p0 = F.when(F.col("h") == END, F.lit(share)).otherwise(F.exp("lp") * (1 - share))
