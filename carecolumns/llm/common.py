@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,12 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps: it does so when the driver's collector finds that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that batches of long texts fit in a Python worker and those of short rows stay large; see that workers have this package."""
     ship(spark)

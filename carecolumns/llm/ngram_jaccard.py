@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import as_bytes, batch, cut, keep_ids, pieces, small_batches
+from carecolumns.llm.common import as_bytes, batch, collect_garbage, cut, keep_ids, pieces, small_batches
 from carecolumns.llm.components import components
 from carecolumns.llm.words import mix, shingle_sets
 
@@ -35,6 +35,8 @@ SKETCH, PART = 1 << 21, 1 << 17
 BITS, LEAST, MOST = 2, 16, 1 << 14
 #: Rows in a block of the product, and rows of columns that are multiplied many at a time.
 BLOCK, SHORT = 1024, 64
+#: Pairs that a task remembers to give once, and tasks over which the columns of one group are dealt.
+SEEN, SHARES = 500_000, 8
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -177,6 +179,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc, n, root, bits) sorted by h: in blocks of each column's rows, pairs of different components that may link."""
+    seen: set[tuple[int, int]] = set()
 
     def column(rows: list) -> Iterator[pa.RecordBatch]:
         doc, n, root = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
@@ -214,7 +217,11 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ok = 7 * apart <= n[u] + n[v]
                         found.append(np.stack((np.minimum(doc[u], doc[v])[ok], np.maximum(doc[u], doc[v])[ok]), 1))
         if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
+            # columns of one group follow one another: a pair that the last ones gave is not given again
+            pairs = np.array([x for x in map(tuple, np.unique(np.concatenate(found), axis=0).tolist()) if x not in seen], np.int64).reshape(-1, 2)
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(map(tuple, pairs.tolist()))
             for k in range(0, len(pairs), 50_000):
                 yield batch(["a", "b"], pairs[k : k + 50_000, 0], pairs[k : k + 50_000, 1])
 
@@ -258,7 +265,8 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(h):
             continue
         # the last column may go on in the next batch
-        end = int(np.searchsorted(h, h[-1]))
+        other = np.flatnonzero(h != h[-1])
+        end = int(other[-1]) + 1 if len(other) else 0
         if end:
             yield from rows_of([x[:end] for x in now])
         held = [x[end:] for x in now]
@@ -324,6 +332,7 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     postings = own.mapInArrow(_prefixes(order), "h long, doc long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = cut(postings.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, "h long, doc long, n int"))
+    collect_garbage(spark)
     bits = classes.select("doc", "n", "bits")
 
     trial = shared.withColumn("r", F.xxhash64("h", "doc")).select("h", "r", "doc", "n").repartition(parts, "h").sortWithinPartitions("h", "r")
@@ -352,12 +361,14 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     links = links.unionByName(more)
     roots = joined(links)
 
+    collect_garbage(spark)
     # what neighbours did not settle: columns that meet several components
     root = roots.select(F.col("node").alias("doc"), "root")
     here = shared.join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_columns = here.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    here = here.join(open_columns, "h", "left_semi").join(bits.select("doc", "bits"), "doc").select("h", "doc", "n", "root", "bits")
-    last = here.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_product, "a long, b long").distinct()
+    open_columns = here.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "low")
+    here = here.join(open_columns, "h").join(bits.select("doc", "bits"), "doc").select("h", "doc", "n", "root", "bits", "low")
+    here = here.repartition(parts, "low", F.pmod("h", F.lit(SHARES))).sortWithinPartitions("low", "h").drop("low")
+    last = here.mapInArrow(_product, "a long, b long").distinct()
     last = cut(last.join(trial, ["a", "b"], "left_anti"))
     final = cut(_exact(last, sets_of(last)))
     roots = joined(links, final)
