@@ -41,7 +41,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     out = out.withColumn("level", left / F.sum("weight").over(rest))
     # this row is below its cap if its share at this level is
     out = out.withColumn("free", F.col("level") * F.col("weight") <= F.lit(MOST_COPIES) * F.col("words"))
-    out = out.withColumn("final", F.min(F.when(F.col("free") & (F.col("words") > 0), F.col("level"))).over(all_rows))
+    # the first such row in order: levels of later rows take sources for full that are not
+    first = F.min(F.when(F.col("free") & (F.col("words") > 0), F.struct("place", "level"))).over(all_rows)
+    out = out.withColumn("place", F.row_number().over(by_level)).withColumn("final", first["level"])
     target = F.when(F.col("words") == 0, F.lit(0.0)).otherwise(F.least(F.lit(MOST_COPIES) * F.col("words"), F.coalesce(F.col("final") * F.col("weight"), F.lit(MOST_COPIES) * F.col("words"))))
     return out.select("source", "words", "docs", target.alias("target"))
 
@@ -111,10 +113,12 @@ s as (select source, sum(size)::bigint as words, count(*) as docs from d group b
 w as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
 l as (
   select *, (1.5::double * sum(words) over () - 2::double * coalesce(sum(words) over (order by words::double / weight, source rows between unbounded preceding and 1 preceding), 0))
-    / sum(weight) over (order by words::double / weight, source rows between current row and unbounded following) as level
+    / sum(weight) over (order by words::double / weight, source rows between current row and unbounded following) as level,
+    row_number() over (order by words::double / weight, source) as place
   from w),
+f as (select arg_min(level, place) as final from l where words > 0 and level * weight <= 2::double * words),
 t as (
-  select source, words, docs, case when words = 0 then 0 else least(2::double * words, coalesce(min(case when words > 0 and level * weight <= 2::double * words then level end) over () * weight, 2::double * words)) end as target from l),
+  select source, words, docs, case when words = 0 then 0 else least(2::double * words, coalesce(f.final * weight, 2::double * words)) end as target from l, f),
 r as (select *, case when words > 0 then floor(target / words) else 0 end as sure from t),
 k as (
   select d.doc_id, d.size, d.source, d.u, r.words, r.target, r.sure, r.target - r.sure * r.words as need, r.words::double / r.docs as mean

@@ -49,3 +49,22 @@ def test_mixed_keeps_columns_and_reruns_agree(spark):
     assert a.columns == df.columns
     assert sorted(r.doc_id or -1 for r in a.collect()) == sorted(r.doc_id or -1 for r in b.collect())
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_uneven_sources(spark):
+    # weights 5, 2, 1 over many sources of like size: some reach their cap, some do not
+    rows = [(k * 100 + j, "w " * (20 + (k * 7 + j) % 13), f"s{k:02d}") for k in range(20) for j in range(8)]
+    out = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("words"), F.sum(F.col("copies") * F.col("size")).alias("taken")).orderBy("source").collect()
+    # the rule itself: cap what is above, reshare the excess by weight, until nothing is above
+    weight, total = {r.source: (5, 2, 1)[k % 3] for k, r in enumerate(out)}, 1.5 * sum(r.words for r in out)
+    full: set[str] = set()
+    while True:
+        level = (total - sum(2 * r.words for r in out if r.source in full)) / sum(weight[r.source] for r in out if r.source not in full)
+        above = {r.source for r in out if r.source not in full and level * weight[r.source] > 2 * r.words}
+        if not above:
+            break
+        full |= above
+    assert 0 < len(full) < 20
+    for r in out:
+        assert r.target == pytest.approx(2 * r.words if r.source in full else level * weight[r.source])
+        assert abs(r.taken - r.target) <= 33
