@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecolumns.llm.common import as_bytes, batch, cut, pieces, small_batches
@@ -220,6 +220,11 @@ def _score(heavy):
     return run
 
 
+def _log_mass(c: Column, alpha: float) -> Column:
+    """Natural log of c + alpha * P0 from lp, the log of P0: nothing of it is lost where P0 itself is too small for a double."""
+    return F.when(c > 0, F.log(c + alpha * F.exp("lp"))).otherwise(F.col("lp") + math.log(alpha))
+
+
 def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFrame:
     """docs (doc_id long, text string, others ignored) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -244,17 +249,17 @@ def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFra
         e[expected["piece"][real].to_numpy(np.int64)] = expected["e"][real]
         lattice.adapt(e, float(expected["e"][~real].sum()))
     adapted = spark.sparkContext.broadcast(lattice)
-    share = max(ends, 1) / max(total, 1)
-    p0 = F.when(F.col("h") == END, F.lit(share)).otherwise(F.exp("lp") * (1 - share))
-    known = cut(words.mapInArrow(_marginal(adapted), "h long, c long, lp double").select("h", "c", p0.alias("p0")))
+    share = max(ends, 1) / max(total, max(ends, 1) + 1)  # below one also where no training text holds a word
+    lp = F.when(F.col("h") == END, F.lit(math.log(share))).otherwise(F.col("lp") + math.log1p(-share))
+    known = cut(words.mapInArrow(_marginal(adapted), "h long, c long, lp double").select("h", "c", lp.alias("lp")))
 
     grid = [max(kinds, 1) * 2.0**k for k in range(-6, 5)]
-    left_out = [F.sum(F.col("c") * F.log((F.col("c") - 1 + a * F.col("p0") + 1e-300) / (total - 1 + a))).alias(f"a{k}") for k, a in enumerate(grid)]
+    left_out = [F.sum(F.col("c") * (_log_mass(F.col("c") - 1, a) - math.log(max(total, 1) - 1 + a))).alias(f"a{k}") for k, a in enumerate(grid)]
     held = known.where("c > 0").agg(*left_out).first()
     alpha = max(zip([v if v is not None else -math.inf for v in held], grid, strict=True))[1]
 
     base = F.log10((F.col("c") + 1) / F.lit(float(total + kinds + 1)))
-    model = F.log10((F.col("c") + alpha * F.col("p0") + 1e-300) / F.lit(total + alpha))
+    model = (_log_mass(F.col("c"), alpha) - math.log(total + alpha)) / math.log(10)
     priced = known.select("h", "c", base.alias("base"), model.alias("model"))
     frequent = priced.where(f"h <> {END} and c >= {max(1, math.ceil(total / heavy))}").toPandas().sort_values("h")  # `heavy` rows at most
     tables = spark.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["base"].to_numpy(float), frequent["model"].to_numpy(float)))
