@@ -23,7 +23,12 @@ from carecolumns.llm.common import batch, small_batches
 #: Fixed values of HTML: tags that do not end a block, tags without content, tags whose content is no text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video map head title select datalist textarea button option".split())
+SILENT = frozenset("script style noscript template iframe object svg math canvas audio video map title select datalist textarea button option".split())
+#: Of these, those whose content is code to the end of the page if no end tag follows (as browsers have it), and those that may stand in themselves.
+CODE = frozenset(("script", "style"))
+NESTED = frozenset("template object svg math".split())
+#: Tags that may stand in the head: another start tag ends it.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 #: Containers by tag, by ARIA role and by words in class or id.
 TAG_KIND = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "dialog": "notice", "fieldset": "form", "article": "article", "main": "article"}
 ROLE_KIND = {"navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alertdialog": "notice", "alert": "notice", "main": "article", "article": "article"}
@@ -41,7 +46,7 @@ _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 KINDS = ("menu", "header", "footer", "side", "ad", "notice", "form", "comment", "article")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *KINDS, "around", "heading", "item", "place", "stop", "legal")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _LEGAL = ("©", "copyright", "all rights reserved", "cookie", "subscribe", "sign up", "advertisement", "privacy policy")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -50,9 +55,13 @@ def _kind(tag: str, attributes: str) -> str | None:
     """What a container's tag, role, class and id say it is; 'hidden' if it is not shown."""
     if not attributes.strip():
         return TAG_KIND.get(tag)
-    found = TAG_KIND.get(tag)
+    found, seen = TAG_KIND.get(tag), set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
+        # of equal names the first counts
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return "hidden"
         if name == "role":
@@ -65,6 +74,20 @@ def _kind(tag: str, attributes: str) -> str | None:
     return found
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Starts of a tag's elements that have an end tag of their own, with the place behind it."""
+    out, open_ = {}, []
+    for m in re.finditer(rf"<{tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</{tag}\s*>", page, re.I):
+        if m[0][1] == "/":
+            if open_:
+                out[open_.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            if tag not in NESTED:
+                open_.clear()
+            open_.append(m.start())
+    return out
+
+
 def blocks(page: str) -> list[dict]:
     """The text blocks of a page in order: text, words, words in links, kinds of the containers around, tag."""
     out: list[dict] = []
@@ -72,13 +95,14 @@ def blocks(page: str) -> list[dict]:
     text: list[str] = []
     linked = 0
     silent = ""
+    ends: dict[str, dict[int, int]] = {}
     at = 0
 
     def flush() -> None:
         nonlocal text, linked
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
         if whole and not any(k == "hidden" for _, k in stack):
-            kinds = {k for _, k in stack if k}
+            kinds = {k for _, k in stack if k and k != "silent"}
             # a header within an article heads the article
             if "article" in kinds:
                 inner = max(i for i, (_, k) in enumerate(stack) if k == "article")
@@ -89,14 +113,14 @@ def blocks(page: str) -> list[dict]:
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece and not silent:
+        if piece and not any(k == "silent" for _, k in stack):
             text.append(piece)
             if any(t == "a" for t, _ in stack):
                 linked += len(html.unescape(piece).split())
 
     while True:
         if silent:
-            # content of these elements runs to their end tag, whatever stands between
+            # code runs to its end tag, whatever stands between
             m = re.compile(rf"</{silent}\s*>", re.I).search(page, at)
             if not m:
                 break
@@ -110,6 +134,8 @@ def blocks(page: str) -> list[dict]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and stack and stack[-1][0] == "head" and tag not in HEAD:
+            stack.pop()
         if m[1]:
             if tag not in INLINE:
                 flush()
@@ -121,21 +147,36 @@ def blocks(page: str) -> list[dict]:
         elif tag in SILENT:
             if tag not in INLINE and tag not in ("svg", "math"):
                 flush()
-            if not m[3].endswith("/"):
+            if m[3].endswith("/"):
+                continue
+            if tag in CODE:
                 silent = tag
+                continue
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            # with an end tag the content runs to it; without one the element ends with its parent or where a block begins
+            if m.start() in ends[tag]:
+                at = ends[tag][m.start()]
+            else:
+                stack.append((tag, "silent"))
         elif tag in VOID:
             if tag in ("br", "hr"):
                 flush()
         else:
             if tag not in INLINE:
                 flush()
+                unclosed = next((i for i, (_, k) in enumerate(stack) if k == "silent"), None)
+                if unclosed is not None:
+                    del stack[unclosed:]
+                if stack and stack[-1][0] == "head":
+                    stack.pop()
                 # inline elements and open paragraphs end where a block begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", "font", "small") and (tag in ("p", "div", "ul", "ol", "table", "section", "article", "footer", "header", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")):
                     stack.pop()
                 if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
             if not m[3].endswith("/"):
-                stack.append((tag, _kind(tag, m[3])))
+                stack.append((tag, None if tag == "head" else _kind(tag, m[3])))
     rest = page[at:] if not silent else ""
     add(rest if "<" not in rest else rest[: rest.index("<")] if re.match(r"<[a-zA-Z/!?]", rest[rest.index("<") :]) else rest)
     flush()
@@ -269,7 +310,8 @@ def main_text(pages: list[str], model=None) -> list[tuple[str, int, int]]:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, others ignored) to page_id, url, text, n_chars, n_blocks, n_kept.
 
-    Null and empty pages have an empty text. Whole pages are read, also broken ones (open tags end with the page). Repeated rows and rows without an id come
+    Null and empty pages have an empty text. Whole pages are read, also broken ones (open tags end with the page, elements whose content is no text with their
+    parent or at the next block). Repeated rows and rows without an id come
     out one by one.
     """
     small_batches(pages.sparkSession)

@@ -38,3 +38,26 @@ def test_table(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract(df).collect())
     assert [g[0] for g in got] == [0, 1, 2, 2] and got[0][2] == got[1][2] == "" and all(g[3] == len(g[2]) for g in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_unclosed_head_and_silent_elements_keep_the_page():
+    article, want = "<article><h1>Title</h1><p>Some words stand in this paragraph.</p></article>", "Title Some words stand in this paragraph."
+    assert one(f"<html><head><title>T</title><body>{article}") == want
+    assert one(f"<html><head><title>T</title><meta charset=x>{article}") == want
+    assert one(f"<html><head><noscript><link href=x><title>T<body>{article}") == want
+    for tag in ("button", "noscript", "object", "canvas", "video", "audio", "select", "template", "textarea", "iframe", "svg"):
+        for page in (f"<div><{tag}>Menu</div>{article}", f"<{tag}>Menu{article}", f"{article}<div><{tag}>Menu</div>", f"<div><{tag}>Menu</div>{article}<div><{tag}>Ok</{tag}></div>"):
+            assert one(f"<html><body>{page}</body></html>") == want, page
+        assert one(f"<html><body><{tag}><b>Menu</b></i></{tag}>{article}</body></html>") == want
+    assert one(f"<object>a<object>b</object>c</object>{article}") == want
+    assert one(f"{article}<script>var t = '<p>code") == want
+
+
+def test_only_a_real_hidden_attribute_hides():
+    p = "<p>Some words stand in this paragraph.</p>"
+    for attributes in ('data-hidden="false"', 'title="a hidden gem"', "onclick='x.hidden=true'", "data-x=hidden", 'class="a-hidden"', 'alt="style=display:none"', 'data-style="display:none"', 'x-aria-hidden="true"'):
+        for tag in ("body", "article", "div"):
+            assert [b["text"] for b in blocks(f"<{tag} {attributes}>{p}</{tag}>")] == ["Some words stand in this paragraph."], attributes
+    for attributes in ("hidden", "HIDDEN=''", 'title="x" hidden', "title='x'hidden", 'aria-hidden="true"', "style='color:red; display: none'", "data-hidden=0 hidden/"):
+        assert blocks(f"<div {attributes} >{p}</div>") == [], attributes
+    assert blocks('<div data-class="ad" title="class=nav" class="post">words</div>')[0]["kinds"] == set()
