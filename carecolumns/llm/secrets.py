@@ -18,9 +18,15 @@ from carecolumns.llm.single import once
 _RUN = r"A-Za-z0-9_+/\-"
 #: Key headers; a value after a name of a secret; a run of 16 or more with a digit.
 RUN = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{_RUN}])(?=[A-Za-z_+/\-]{{0,64}}[0-9])[{_RUN}]{{16,}}+={{0,2}}"
-ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|token|key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[^\s\"']{6,}|" + RUN
-#: Without one of these there is no assigned value, and the dearer pattern is not run.
-NAMES = ("passw", "pwd", "secret", "token", "key")
+#: Names in any case, with an optional scheme (Authorization: Bearer ...) before the value; the first lookbehind only spares the second one most places.
+_NAMED = "token|secret|password|passwd|pwd|key|private|credentials?|auth|bearer|authorization"
+_SCHEME = "(?:bearer|basic|digest|token)"
+ASSIGNED = (
+    rf"(?<=[=:\"' \t])(?<=(?i:(?:{_NAMED})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?(?:{_SCHEME}[ \t]{{1,3}})?|(?<![a-z])bearer[ \t]{{1,3}}[\"']?))"
+    rf"(?!(?i:{_SCHEME})[ \t])[^\s\"']{{6,}}|" + RUN
+)
+#: Without one of these (in lower case) there is no assigned value, and the dearer pattern is not run.
+NAMES = ("passw", "pwd", "secret", "token", "key", "private", "credential", "auth", "bearer")
 
 
 #: Words that make a candidate readable, that announce a secret, that announce something else.
@@ -149,17 +155,19 @@ def forest(spark: SparkSession) -> list:
 
 def scored(docs: DataFrame, trees: list) -> DataFrame:
     """docs with arrays _gaps (the text between candidates), _found (candidates) and _score (probability of each); null where there is no candidate."""
-    named = F.lit(False)
+    low, named = F.lower("text"), F.lit(False)
     for n in NAMES:
-        named = named | F.contains(F.col("text"), F.lit(n))
-    found = docs.withColumn("_found", F.when(named, F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))))
+        named = named | F.contains(low, F.lit(n))
+    found = once(docs.withColumn("_named", named), "_named")
+    named = F.col("_named")
+    found = found.withColumn("_found", F.when(named, F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))))
     found = found.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
     found = once(found, "_found")
     found = once(found.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.when(named, F.split("text", ASSIGNED, -1)).otherwise(F.split("text", RUN, -1)))), "_gaps")
     c, b, a = "_found[i]", f"right(_gaps[i], {BEFORE})", f"left(_gaps[i + 1], {AFTER})"
     each = f"transform(sequence(0, size(_found) - 1), i -> array({', '.join(features(c, b, a))}))"
     found = once(found.withColumn("_features", F.when(F.col("_found").isNotNull(), F.expr(each))), "_features")
-    return once(found.withColumn("_score", F.expr(f"transform(_features, f -> {forest_sql(trees, 'f')})")), "_score").drop("_features")
+    return once(found.withColumn("_score", F.expr(f"transform(_features, f -> {forest_sql(trees, 'f')})")), "_score").drop("_features", "_named")
 
 
 def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
