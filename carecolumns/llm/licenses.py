@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare tokens. DataFrame functions only.
 
 Templates are short licence statements, as words. Their inverted index (word -> template, place) is small. The document frequency of every word of
-the templates is counted over all documents; a file looks up only its RAREST words of highest inverse document frequency. A posting at place p that meets the
-file's word at place w proposes the template at w - p; proposals are intersected by that relative place. A template is found where the matched words hold at
+the templates is counted over all documents; each template is indexed by its TEMPLATE_WORDS words of highest inverse document frequency, and a file looks up
+all of its words that are in the index (the templates bound them). A posting at place p that meets the file's word at place w proposes the template at w - p; proposals are intersected by that relative place. A template is found where the matched words hold at
 least ENOUGH of the weight of its own rarest words and one of its key phrases stands in the file within its reach.
 """
 
@@ -44,8 +44,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("proprietary", "all rights reserved proprietary and confidential", ["all rights reserved"]),
 ]
-#: Words of a file, and of a template, that the index uses.
-RAREST = 64
+#: Words of a template that the index uses.
 TEMPLATE_WORDS = 6
 ENOUGH = 0.8
 WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -140,7 +139,7 @@ def _chosen(statement: str, idf: dict[str, float]) -> list[int]:
 
 
 def _proposals(found: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """found with a row for each posting that one of the file's rarest words meets: p.template, p.at, p.weight."""
+    """found with a row for each posting that one of the file's words meets: p.template, p.at, p.weight."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for k, (_, statement, _) in enumerate(TEMPLATES):
         for i in _chosen(statement, idf):
@@ -150,11 +149,7 @@ def _proposals(found: DataFrame, idf: dict[str, float]) -> DataFrame:
     index = F.array(*[F.array(*[F.struct(F.lit(k).alias("template"), F.lit(i).alias("place"), F.lit(idf[w]).alias("weight")) for k, i in postings[w]]) for w in order])
     ranked = F.transform(F.filter("found", lambda x: x["word"].isin(order)), lambda x: F.struct(F.element_at(rank, x["word"]).alias("rank"), x["place"].alias("place")))
     found = once(found.withColumn("ranked", ranked), "ranked")
-    # the rank of the last word that is used: a number, so that each word is tested against it alone
-    last = F.element_at(F.slice(F.array_sort(F.array_distinct(F.transform("ranked", lambda x: x["rank"]))), 1, RAREST), -1)
-    found = once(found.where("size(ranked) > 0").withColumn("last", last), "last")
-    mine = F.filter("ranked", lambda x: x["rank"] <= F.col("last"))
-    each = F.flatten(F.transform(mine, lambda x: F.transform(F.get(index, x["rank"]), lambda p: F.struct(p["template"].alias("template"), (x["place"] - p["place"]).alias("at"), p["weight"].alias("weight")))))
+    each = F.flatten(F.transform("ranked", lambda x: F.transform(F.get(index, x["rank"]), lambda p: F.struct(p["template"].alias("template"), (x["place"] - p["place"]).alias("at"), p["weight"].alias("weight")))))
     return once(found.withColumn("ps", each), "ps").select("row", "keys", F.explode("ps").alias("p"))
 
 

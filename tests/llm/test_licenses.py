@@ -39,3 +39,14 @@ def test_base_matches_brute_force(spark):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_file_with_every_template(spark):
+    every = [t for _, t, _ in licenses.TEMPLATES]
+    filler = [(100 + i, f"plain words of file {i} the license is of no matter here") for i in range(50)]
+    data = [(1, "\n\n".join(every)), (2, "\n\n".join(reversed(every))), *((10 + k, t) for k, t in enumerate(every)), *filler]
+    by = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    labels = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert by[1] == labels and by[2] == labels
+    assert all(label in by[10 + k].split(",") for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+    assert all(by[i] == "" for i, _ in filler)
