@@ -236,7 +236,7 @@ def _run(path: str, column: str, keep: list[str], whole: bool):
     return run
 
 
-def encode_texts(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """docs (doc_id long, text string, others ignored) to doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the ids' text).
 
     With ids=True the ids themselves come too, as array<int>. Null and empty texts have no ids. Rows come out one by one, repeated ones and those

@@ -46,7 +46,7 @@ def op7_pareto_mixing(spark, sf_dir):
 
 
 def op8_bpe(spark, sf_dir):
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False)
 
 
 def op9_quality(spark, sf_dir):

@@ -32,8 +32,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoded documents."""
-    return bpe.encode_texts(docs, tokenizer("byte_bpe_50k.json"))
+    """The encoded documents: token ids, their number and digests."""
+    return bpe.encode_texts(docs, tokenizer("byte_bpe_50k.json"), ids=True)
 
 
 STAGES = [

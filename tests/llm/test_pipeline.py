@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from carecolumns.llm import mixing
+from carecolumns.llm import bpe, mixing
 from tests.llm.test_ngram_jaccard import brute
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -68,5 +68,7 @@ def test_stages_and_run(spark, tmp_path):
     for r, text in ((r, {x.doc_id: x.text for x in rows[3]}[r.doc_id]) for r in rows[4]):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    back = bpe.decode_ids(frame, public.path("byte_bpe_50k.json")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text or "") for r in rows[3])
     whole = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in rows[4])
