@@ -13,12 +13,16 @@ No source is sorted as a whole: words are summed by source and BINS bins of Q fi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carecolumns.llm.common import cut
+
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES, BINS = 1.5, 2.0, 4096
+#: Equal rows that one task deals out at a time.
+BLOCK = 10_000
 #: Hexadecimal digits of the hash that make U.
 DIGITS = 12
 
@@ -48,60 +52,85 @@ def targets(sizes: DataFrame) -> DataFrame:
     return out.select("source", "words", "docs", target.alias("target"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, others kept) with size, source_size, target, copies (0, 1 or 2).
-
-    size is the number of `[^\\x20\\x09-\\x0D]+` (null: 0). A null source is a source of its own, the last. Texts without words get no copy. Repeated rows are
-    documents of their own with the same order; a null doc_id hashes like the empty text. An empty table gives an empty result.
-    Columns of docs named like the new ones are replaced.
-    """
-    from carecolumns.llm.common import cut
-
+def _taken(docs: DataFrame) -> DataFrame:
+    """docs with _size, _words (of the source), _target and _copies."""
     spark = docs.sparkSession
-    new = ("size", "source_size", "target", "copies")
-    docs = docs.drop(*new)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**DIGITS))
-    rows = docs.withColumns({"size": size, "_u": u})
-    slim = cut(rows.select("source", "size", "_u", "doc_id"))
-    whole = targets(slim.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")))
+    rows = docs.withColumns({"_size": size, "_u": u})
+    slim = cut(rows.select("source", "_size", "_u", "doc_id"))
+    whole = targets(slim.groupBy("source").agg(F.sum("_size").alias("words"), F.count("*").alias("docs")))
     whole = cut(whole.withColumns({"sure": F.floor(F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0))}))
     #: sources are few beside documents, but nothing bounds them: broadcast behind a count only
     few = whole.count() <= 100_000
-    site = whole.select(F.col("source").alias("_s"), F.col("words").alias("source_size"), "target", "sure", (F.col("target") - F.col("sure") * F.col("words")).alias("need"), (F.col("words") / F.col("docs")).alias("mean"))
+    site = whole.select(F.col("source").alias("_s"), F.col("words").alias("_words"), F.col("target").alias("_target"), F.col("sure").alias("_sure"), (F.col("target") - F.col("sure") * F.col("words")).alias("_need"), (F.col("words") / F.col("docs")).alias("_mean"))
 
-    def with_site(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(site) if few else site, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    def by_source(df: DataFrame, other: DataFrame, name: str, how: str = "inner", *also: Column) -> DataFrame:
+        on = F.col("source").eqNullSafe(F.col(name))
+        for c in also:
+            on = on & c
+        return df.join(F.broadcast(other) if few else other, on, how)
 
     def ordered(df: DataFrame) -> DataFrame:
-        f = F.col("need") / F.col("source_size")
-        odds = f / (1 - f) * F.sqrt(F.col("size") / F.col("mean"))
-        q = F.when((F.col("size") > 0) & (F.col("need") > 0) & (f < 1), F.col("_u") / (1 - F.col("_u")) / odds)
-        return with_site(df).withColumns({"_q": q}).withColumns({"_bin": F.floor(F.col("_q") / (1 + F.col("_q")) * BINS)})
+        f = F.col("_need") / F.col("_words")
+        odds = f / (1 - f) * F.sqrt(F.col("_size") / F.col("_mean"))
+        q = F.when((F.col("_size") > 0) & (F.col("_need") > 0) & (f < 1), F.col("_u") / (1 - F.col("_u")) / odds)
+        return by_source(df, site, "_s").drop("_s").withColumns({"_q": q}).withColumns({"_bin": F.floor(F.col("_q") / (1 + F.col("_q")) * BINS)})
 
     keyed = ordered(slim)
-    bins = keyed.where("_q is not null").groupBy("source", "_bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    bins = keyed.where("_q is not null").groupBy("source", "_bin").agg(F.sum("_size").alias("words"), F.first("_need").alias("need"))
     so_far = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
     edge = cut(bins.where("before < need and before + words >= need").select(F.col("source").alias("_es"), F.col("_bin").alias("_eb"), F.col("need").alias("_en"), "before"))
-    edge_cols = F.broadcast(edge) if few else edge
-    inside = keyed.join(edge_cols, F.col("source").eqNullSafe(F.col("_es")) & (F.col("_bin") == F.col("_eb")))
-    to_here = Window.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_so_far", F.col("before") + F.coalesce(F.sum("size").over(to_here), F.lit(0)))
+    inside = by_source(keyed, edge, "_es", "inner", F.col("_bin") == F.col("_eb"))
+    # repeated rows tie: they are counted before they are ranked, and as many of them are taken as fit
+    inside = inside.groupBy("source", "_q", "doc_id", "_size").agg(F.count("*").alias("_m"), F.first("_en").alias("_en"), F.first("before").alias("before"))
+    to_here = Window.partitionBy("source").orderBy("_q", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_so_far", F.col("before") + F.coalesce(F.sum(F.col("_size") * F.col("_m")).over(to_here), F.lit(0)))
     # a document goes in if that brings the source nearer to its words
-    cutoff = inside.where(F.col("_so_far") + F.col("size") / 2 <= F.col("_en"))
-    last = cut(cutoff.groupBy("source").agg(F.max(F.struct("_q", F.col("doc_id"), F.col("size"))).alias("last")).select(F.col("source").alias("_ls"), "last"))
-    last_cols = F.broadcast(last) if few else last
-    full = ordered(rows).join(edge_cols.select("_es", "_eb"), F.col("source").eqNullSafe(F.col("_es")), "left").join(last_cols, F.col("source").eqNullSafe(F.col("_ls")), "left")
-    more = (F.col("_bin") < F.col("_eb")) | ((F.col("_bin") == F.col("_eb")) & (F.struct("_q", F.col("doc_id"), F.col("size")) <= F.col("last")))
-    count = F.when(F.col("size") > 0, F.col("sure") + F.when(F.col("need") > 0, F.coalesce(more, F.lit(False)).cast("int")).otherwise(0)).otherwise(0).cast("int")
-    return full.select(*docs.columns, "size", "source_size", "target", count.alias("copies"))
+    fits = lambda n: F.col("_so_far") + (n - 1) * F.col("_size") + F.col("_size") / 2 <= F.col("_en")
+    n = F.floor((F.col("_en") - F.col("_so_far")) / F.col("_size") + 0.5)
+    inside = inside.withColumn("_n", F.greatest(F.lit(0), F.least(F.col("_m"), F.when(~fits(n), n - 1).when(fits(n + 1), n + 1).otherwise(n))))
+    key = F.struct("_q", "doc_id", F.col("_size").alias("size"))
+    last = inside.where("_n > 0").groupBy("source").agg(F.max(F.struct(key.alias("key"), F.col("_n").alias("n"), F.col("_m").alias("m"))).alias("x"))
+    last = cut(last.select(F.col("source").alias("_ls"), F.col("x.key").alias("_last"), F.col("x.n").alias("_n"), F.col("x.m").alias("_m")))
+    full = by_source(by_source(ordered(rows), edge.select("_es", "_eb"), "_es", "left"), last, "_ls", "left")
+    at_edge = F.col("_bin") == F.col("_eb")
+    tied = F.coalesce(at_edge & (key == F.col("_last")) & (F.col("_n") < F.col("_m")), F.lit(False))
+    more = F.coalesce((F.col("_bin") < F.col("_eb")) | (at_edge & (key <= F.col("_last"))), F.lit(False)).cast("int")
+    count = F.when(F.col("_size") > 0, F.col("_sure") + F.when(F.col("_need") > 0, F.col("_more")).otherwise(0)).otherwise(0).cast("int")
+    new = ["_size", "_words", "_target"]
+    if last.where("_n < _m").isEmpty():
+        return full.withColumn("_more", more).select(*docs.columns, *new, count.alias("_copies"))
+    apart = full.where(~tied).withColumn("_more", more).select(*docs.columns, *new, count.alias("_copies"))
+    # of equal rows it does not matter which are taken: they are counted, ranked by a hash where they differ in other columns, and dealt out again in blocks
+    rest = [c for c in full.columns if c not in ("_es", "_eb", "_ls", "_last", "_u", "_m")]
+    equal = full.where(tied).groupBy(*rest).agg(F.count("*").alias("_m"))
+    up_to = Window.partitionBy("source").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("_tie", F.struct(F.xxhash64(*docs.columns), *docs.columns)).withColumn("_before", F.coalesce(F.sum("_m").over(up_to), F.lit(0))).drop("_tie")
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / BLOCK)))
+    dealt = equal.withColumn("_block", block).repartition(F.xxhash64("source", "_before", "_block"))
+    place = F.explode(F.sequence(F.col("_block") * BLOCK, F.least(F.col("_m"), (F.col("_block") + 1) * BLOCK) - 1))
+    dealt = dealt.withColumn("_place", place).withColumn("_more", (F.col("_before") + F.col("_place") < F.col("_n")).cast("int"))
+    return apart.unionByName(dealt.select(*docs.columns, *new, count.alias("_copies")))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, source, others kept) with size, source_size, target, copies (0, 1 or 2).
+
+    size is the number of `[^\\x20\\x09-\\x0D]+` (null: 0), whatever the text's length. A null source is a source of its own, the last. Texts without words get no
+    copy. Repeated rows are documents of their own: where a source's words run out among equal rows, as many of them are taken as fit. A null doc_id hashes
+    like the empty text. An empty table gives an empty result. Columns of docs named like the new ones are replaced.
+    """
+    new = {"size": "_size", "source_size": "_words", "target": "_target", "copies": "_copies"}
+    docs = docs.drop(*new)
+    return _taken(docs).select(*docs.columns, *[F.col(v).alias(k) for k, v in new.items()])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it takes them, with the columns of docs."""
-    out = copies(docs)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The documents of the mix, each as often as it takes them, with the columns of docs as they are. Null texts and empty ones are never taken."""
+    out = _taken(docs)
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 SQL = r"""

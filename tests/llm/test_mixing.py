@@ -68,3 +68,23 @@ def test_uneven_sources(spark):
     for r in out:
         assert r.target == pytest.approx(2 * r.words if r.source in full else level * weight[r.source])
         assert abs(r.taken - r.target) <= 33
+
+
+def test_repeated_rows_at_the_cut(spark):
+    # one row a hundred times, and clusters of repeated ids of many sizes: as many equal rows are taken as fit
+    data = [(1, "w " * 10, "a", 0)] * 100 + [(k, "v " * n, s, 0) for s in ("b", "c") for k, n, m in ((10, 7, 40), (11, 3, 5), (12, 30, 20)) for _ in range(m)]
+    data += [(50, "x y z", "d", k) for k in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, size int")
+    got = sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.copies(df).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")).collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [d[:3] for d in data])
+    assert got == sorted(con.execute(f"select doc_id, size, source_size, target, taken from ({mixing.SQL})").fetchall())
+    by, cuts = defaultdict(int), defaultdict(set)
+    for doc, size, _, target, taken in got:
+        by[target] += taken
+        cuts[doc].add(taken)
+    assert len(got) == len(data) and all(abs(taken - target) <= 15 for target, taken in by.items()) and max(map(len, cuts.values())) == 2
+    mix = mixing.mixed(df)
+    assert mix.schema == df.schema and sorted(r.doc_id for r in mix.collect()) == sorted(doc for doc, size, *_, taken in got for _ in range(taken // size if size else 0))
+    assert sorted(map(tuple, mixing.mixed(df).collect())) == sorted(map(tuple, mixing.mixed(df.repartition(3)).collect()))
