@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare tokens. DataFrame functions only.
 
-Templates are short licence statements, as words. Their inverted index (word -> template, place) is small. The document frequency of every word of
-the templates is counted over all documents; each template is indexed by its TEMPLATE_WORDS words of highest inverse document frequency, and a file looks up
-all of its words that are in the index (the templates bound them). A posting at place p that meets the file's word at place w proposes the template at w - p; proposals are intersected by that relative place. A template is found where the matched words hold at
-least ENOUGH of the weight of its own rarest words and one of its key phrases stands in the file within its reach.
+Templates are short licence statements, as words. Their inverted index (word -> template, place) is small. The words of every document are read, and the
+document frequency of each word of the templates is counted over all of them; each template is indexed by its TEMPLATE_WORDS words of highest inverse
+document frequency, and a file looks up all of its words that are in the index. A posting at place p that meets the file's word at place w proposes the
+template at w - p; proposals are intersected by that relative place. A template is found where the matched words hold at least ENOUGH of the weight of its
+own rarest words and one of its key phrases stands in the file within its reach.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ TEMPLATES = [
 #: Words of a template that the index uses.
 TEMPLATE_WORDS = 6
 ENOUGH = 0.8
-WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,32 +71,20 @@ def index_words() -> list[str]:
     return sorted({w for _, t, keys in TEMPLATES for w in t.split(" ")} | {w for _, _, keys in TEMPLATES for k in keys for w in k.split(" ")} | {w for p in BASE for w in p.split(" ")})
 
 
-#: Every base phrase and key phrase holds one of these: files with none of them hold no phrase.
-TRIGGERS = ("licen", "obtaining", "agreed", "source", "software", "attribution", "reserved", "bsd", "cc")
-
-
-def triggered(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.contains(low, F.lit(TRIGGERS[0]))
-    for t in TRIGGERS[1:]:
-        out = out | F.contains(low, F.lit(t))
-    return out
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, others ignored) to doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Null and empty texts have 0 words and empty labels. first_word and last_word
     are the smallest and largest start of a base phrase. score is the best template's share of matched weight, 1 where a base phrase stands, else 0.
-    Rows come out one by one, repeated ones and those without an id as well. An empty table gives an empty result.
+    Whole texts are read, whatever their length. Rows come out one by one, repeated ones and those without an id as well; columns named like the new ones do not
+    matter. An empty table gives an empty result.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
     vocabulary = index_words()
-    words = F.when(triggered(F.col("text")), F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(WORD), F.lit(0)))
-    rows = rows.select("row", "doc_id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), words.alias("words"))
-    rows = once(rows, "n_words", "words")
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda x: x["word"].isin(vocabulary))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    rows = once(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words")), "words")
+    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("place")))), lambda x: x.isNotNull())
     rows = once(rows.withColumn("found", places), "found")
     nowhere = F.array().cast("array<int>")
     phrases = sorted({*BASE, *(k for _, _, ks in TEMPLATES for k in ks)})

@@ -50,3 +50,53 @@ def test_one_file_with_every_template(spark):
     assert by[1] == labels and by[2] == labels
     assert all(label in by[10 + k].split(",") for k, (label, _, _) in enumerate(licenses.TEMPLATES))
     assert all(by[i] == "" for i, _ in filler)
+
+
+def plain_scan(data):
+    """labels and score of each text, by loops over words, templates and places."""
+    import math
+
+    texts = [licenses.normal_words(t) for _, t in data]
+    vocabulary = {w for _, t, keys in licenses.TEMPLATES for x in (t, *keys) for w in x.split(" ")} | {w for p in licenses.BASE for w in p.split(" ")}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in set(x) for x in texts) + 0.5)) for w in vocabulary}
+    out = []
+    for words, (_, text) in zip(texts, data, strict=True):
+        n, count, *_, base = brute(text)
+        labels, best = set(filter(None, base.split(","))), 1.0 if count else 0.0
+        for label, statement, keys in licenses.TEMPLATES:
+            parts = statement.split(" ")
+            rare = sorted(range(len(parts)), key=lambda i: (-idf[parts[i]], i))[: licenses.TEMPLATE_WORDS]
+            whole = sum(idf[parts[i]] for i in rare)
+            for at in range(-len(parts), n):
+                share = sum(idf[parts[i]] for i in rare if 0 <= at + i < n and words[at + i] == parts[i]) / whole
+                if share >= licenses.ENOUGH - 1e-12 and any(words[a : a + len(k.split(" "))] == k.split(" ") for k in keys for a in range(max(at - 2, 0), at + len(parts) + 3)):
+                    labels.add(label)
+                    best = max(best, min(share, 1.0))
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+def test_labels_match_a_plain_version(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(("er", "on", "th", "ou")) for _ in range(r.randint(1, 3)))
+    data = []
+    for i in range(80):
+        parts = [" ".join(word() for _ in range(r.randint(0, 12))) for _ in range(2)]
+        for _ in range(r.choice([0, 1, 1, 3])):
+            w = r.choice(licenses.TEMPLATES)[1].split(" ")
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                w[r.randrange(len(w))] = r.choice([word(), "software", "license"])
+            parts.insert(r.randrange(3), " ".join(w).title())
+        data.append((i, "; ".join(parts)))
+    data += [(80 + k, "plain words of no matter " * k) for k in range(40)]
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for (i, _), (labels, score) in zip(data, plain_scan(data), strict=True):
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9
+
+
+def test_frequencies_come_from_all_texts(spark):
+    # "by" is common in texts that hold no licence word at all, so it is not among the rarest words of its template
+    data = [(1, "licensed under cc by 4 0")] + [(10 + k, "made by hand by nobody") for k in range(60)]
+    rows = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows}[1] == "cc-by" and all(r.n_words == 5 for r in rows if r.doc_id >= 10)
+    assert dict(zip([i for i, _ in data], plain_scan(data), strict=True))[1][0] == "cc-by"
