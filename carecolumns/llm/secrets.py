@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from carecolumns.llm.single import once
 
 _RUN = r"A-Za-z0-9_+/\-"
-#: Key headers; a value after a name of a secret; a run of 16 or more with a digit.
-RUN = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{_RUN}])(?=[A-Za-z_+/\-]{{0,64}}[0-9])[{_RUN}]{{16,}}+={{0,2}}"
+#: Private keys to their end line (or, where it is missing, to their last line of base64: 400 lines of 32 or more, longer than any key in use; what follows
+#: is found as runs); a run of 16 or more with a digit.
+_KEY_NAME = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_KEY = rf"-----BEGIN {_KEY_NAME}(?:[^-]*+(?:-(?!----)[^-]*+){{0,20}}+-----END {_KEY_NAME}|(?:[\s\\rn]{{1,6}}[A-Za-z0-9+/]{{32,}}+={{0,2}}){{0,400}}+)"
+RUN = rf"{_KEY}|(?<![{_RUN}])(?=[A-Za-z_+/\-]*+[0-9])[{_RUN}]{{16,}}+={{0,2}}"
 #: Names in any case, with an optional scheme (Authorization: Bearer ...) before the value; the first lookbehind only spares the second one most places.
 _NAMED = "token|secret|password|passwd|pwd|key|private|credentials?|auth|bearer|authorization"
 _SCHEME = "(?:bearer|basic|digest|token)"
@@ -34,7 +37,8 @@ DICTIONARY = "example test sample placeholder changeme your dummy image photo fi
 ANNOUNCE = "token secret password passwd pwd apikey api_key api-key access_key private credential credentials auth bearer authorization".split()
 DENY = "commit sha sha1 sha256 md5 hash checksum digest uuid guid id card phone call order invoice isbn build revision etag session page ref number account fingerprint blob".split()
 MASK = "[SECRET]"
-#: Of a candidate's surroundings so much counts.
+#: Code points beside a candidate that the patterns for names, signs and quotes read: more than any of them can reach but through blanks. The word that a
+#: candidate ends (a path, an address) is read to its begin.
 BEFORE, AFTER = 60, 20
 TREES, DEPTH, LEAST = 25, 6, 3
 
@@ -46,7 +50,7 @@ FEATURES = {
     "hexadecimal": "cast({c} rlike '^[0-9a-f]+$' as int) + 0.0D",
     "distinct": "size(array_distinct(split({c}, ''))) / cast(least(length({c}), 40) as double)",
     "coverage": f"(length({{c}}) - length(regexp_replace({{c}}, '(?i){'|'.join(sorted(DICTIONARY, key=len, reverse=True))}', ''))) / cast(length({{c}}) as double)",
-    "path": r"regexp_count({c}, '[/.]') + 5.0D * cast({b} rlike '(://|www[.]|/|[.])[^ ]*$' as int)",
+    "path": r"regexp_count({c}, '[/.]') + 5.0D * cast({w} rlike '[/.]' as int)",
     "grouped": r"cast({c} rlike '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-' as int) + 0.0D",
     "header": "cast({c} like '-----BEGIN%' as int) + 0.0D",
     "prefix": r"cast({c} rlike '^(AKIA|ASIA|gh[pousr]_|sk-|sk_live|xox[abpr]-|AIza|eyJ|glpat-)' as int) + 0.0D",
@@ -58,8 +62,9 @@ FEATURES = {
 
 
 def features(c: str, before: str, after: str) -> list[str]:
-    """SQL of each feature over the SQL of a candidate and what stands before and after it."""
-    return [v.format(c=c, b=before, a=after) for v in FEATURES.values()]
+    """SQL of each feature over the SQL of a candidate and of all that stands before and after it, up to the next candidates."""
+    near = {"b": f"right({before}, {BEFORE})", "a": f"left({after}, {AFTER})", "w": rf"substring_index(translate({before}, '\n\r\t', '   '), ' ', -1)"}
+    return [v.format(c=c, **near) for v in FEATURES.values()]
 
 
 def labelled_findings(seed: int = 11, each: int = 16) -> list[tuple[str, str, str, int]]:
@@ -79,6 +84,9 @@ def labelled_findings(seed: int = 11, each: int = 16) -> list[tuple[str, str, st
                 out.append((lead() + name + sign + q, value, q + r.choice([" ", "\n", ""]) + word(), 1))
         for value in ("AKIA" + pick(up + dig, 16), "ghp_" + pick(every, 36), "sk-" + pick(every, 40), "AIza" + pick(every + "-_", 35), "glpat-" + pick(every, 20), "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"):
             out.append((lead(), value, r.choice([" ", "\n", '"']), 1))
+        kind = r.choice(["", "RSA ", "EC ", "ENCRYPTED "])
+        body = "\n".join(pick(every + "+/", 64) for _ in range(r.randint(2, 26))) + "\n" + pick(every + "+/", r.randint(32, 63)) + "="
+        out.append((lead(), f"-----BEGIN {kind}PRIVATE KEY-----\n{body}" + r.choice([f"\n-----END {kind}PRIVATE KEY-----", ""]), r.choice(["\n", '"']) + word(), 1))
         out.append((lead() + r.choice(["password", "passwd", "pwd"]) + r.choice([" = ", ": ", "="]) + '"', pick(low, 5) + pick(dig, 3) + pick("!#%&", 1) + pick(up, 2), '"', 1))
         for _ in range(4):
             out.append((lead(), pick(dig, r.choice([16, 16, 17, 20])), " " + word(), 0))
@@ -164,8 +172,7 @@ def scored(docs: DataFrame, trees: list) -> DataFrame:
     found = found.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
     found = once(found, "_found")
     found = once(found.withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.when(named, F.split("text", ASSIGNED, -1)).otherwise(F.split("text", RUN, -1)))), "_gaps")
-    c, b, a = "_found[i]", f"right(_gaps[i], {BEFORE})", f"left(_gaps[i + 1], {AFTER})"
-    each = f"transform(sequence(0, size(_found) - 1), i -> array({', '.join(features(c, b, a))}))"
+    each = f"transform(sequence(0, size(_found) - 1), i -> array({', '.join(features('_found[i]', '_gaps[i]', '_gaps[i + 1]'))}))"
     found = once(found.withColumn("_features", F.when(F.col("_found").isNotNull(), F.expr(each))), "_features")
     return once(found.withColumn("_score", F.expr(f"transform(_features, f -> {forest_sql(trees, 'f')})")), "_score").drop("_features", "_named")
 
@@ -173,7 +180,8 @@ def scored(docs: DataFrame, trees: list) -> DataFrame:
 def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs (doc_id, text, others ignored) to one row a secret: doc_id, start (code points from 0), length, secret, score.
 
-    Null and empty texts have none. Repeated rows give repeated findings; a null doc_id stays null. An empty table gives an empty result.
+    Null and empty texts have none. Whole texts are read, whatever their length; candidates do not overlap, the leftmost begins first. Repeated rows give
+    repeated findings; a null doc_id stays null; other columns do not matter. An empty table gives an empty result.
     """
     out = scored(docs.select("doc_id", "text"), forest(docs.sparkSession))
     start = "aggregate(slice(_gaps, 1, i + 1), 0L, (s, g) -> s + length(g)) + aggregate(slice(_found, 1, i), 0L, (s, g) -> s + length(g))"
@@ -183,7 +191,11 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with every secret in `text` replaced by MASK and n_chars set to the new length (where it changed); columns are those of docs."""
+    """docs with every secret in `text` replaced by MASK and n_chars set to the new length (where it changed); columns are those of docs.
+
+    Null and empty texts stay as they are, repeated rows stay repeated, an empty table stays empty. Names of docs' columns do not matter but for those that begin
+    with an underscore and one of the names of scored().
+    """
     out = scored(docs, forest(docs.sparkSession))
     text: Column = F.expr(f"concat(array_join(transform(_found, (c, i) -> concat(_gaps[i], if(_score[i] >= {threshold}D, '{MASK}', c))), ''), element_at(_gaps, -1))")
     hit = F.coalesce(F.expr(f"exists(_score, s -> s >= {threshold}D)"), F.lit(False))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from carecolumns.llm import secrets
 
@@ -57,3 +58,80 @@ def test_names_in_any_case_and_short_values(spark):
         assert found[i].secret == text.strip("\"'").split(" ")[-1].split("=\"")[-1].split("='")[-1].strip("\"'").removeprefix("API_KEY=")
         assert out[i] == text.replace(found[i].secret, "[SECRET]")
     assert [out[len(data) + k] for k in range(len(plain))] == plain
+
+
+def plain_runs(text):
+    """Runs of 16 or more letters, digits, _ + / - with a digit, with up to two = behind, by a loop over characters."""
+    out, at = [], 0
+    of = lambda c: c.isascii() and (c.isalnum() or c in "_+/-")
+    while at < len(text):
+        if not of(text[at]):
+            at += 1
+            continue
+        end = at
+        while end < len(text) and of(text[end]):
+            end += 1
+        if end - at >= 16 and any(c.isdigit() for c in text[at:end]):
+            more = end
+            while more < min(end + 2, len(text)) and text[more] == "=":
+                more += 1
+            out.append((at, text[at:more]))
+        at = end
+    return out
+
+
+def plain_features(text, at, c, before_end, after_begin):
+    """The features that a loop can tell: length, transitions, digits, upper, distinct, path."""
+    kind = lambda x: "d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "o"
+    pairs = [kind(a) + kind(b) for a, b in zip(c, c[1:], strict=False)]
+    moves = sum(p in ("ld", "ud", "dl", "du", "lu", "ul") for p in pairs)
+    last = text[before_end:at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")[-1]
+    return [len(c), moves / len(c), sum(x.isdigit() for x in c) / len(c), sum(x.isupper() for x in c) / len(c), len(set(c)) / min(len(c), 40), sum(x in "/." for x in c) + 5.0 * any(x in "/." for x in last)]
+
+
+def test_candidates_and_features_match_a_plain_version(spark):
+    import random
+
+    r = random.Random(4)
+    data = []
+    for i in range(120):
+        parts = []
+        for _ in range(r.randint(1, 8)):
+            n = r.choice([1, 5, 15, 16, 17, 40, 120])
+            parts.append("".join(r.choice(r.choice(("abcdefXYZ", "0123456789", "_+/-", "é.:")) if n < 100 else "abcDEF") for _ in range(n)) + r.choice(["", "=", "===", "7"]))
+        data.append((i, r.choice([" ", "\n", ", ", "\t"]).join(parts)))
+    data += [(200, "aB" * 40 + HEX), (201, "see https://" + "x." * 80 + "example/" + HEX), (202, "x" * 100_000 + " " + HEX), (203, "/" * 50_000 + HEX)]
+    rows = secrets.scored(spark.createDataFrame(data, "doc_id long, text string"), secrets.forest(spark)).select("doc_id", "text", "_found", "_gaps").collect()
+    names = list(secrets.FEATURES)
+    told = [names.index(k) for k in ("length", "transitions", "digits", "upper", "distinct", "path")]
+    checks = []
+    for row in rows:
+        want = plain_runs(row.text)
+        assert (row._found or []) == [c for _, c in want]
+        end = 0
+        for k, (at, c) in enumerate(want):
+            checks.append((row._gaps[k], c, row._gaps[k + 1], plain_features(row.text, at, c, end, at + len(c))))
+            end = at + len(c)
+    df = spark.createDataFrame([(i, b, c, a) for i, (b, c, a, _) in enumerate(checks)], "i int, b string, c string, a string").coalesce(1)
+    got = {x.i: x.f for x in df.select("i", F.expr(f"array({', '.join(secrets.features('c', 'b', 'a'))})").alias("f")).collect()}
+    for i, (*_, want) in enumerate(checks):
+        assert np.allclose([got[i][k] for k in told], want)
+
+
+def test_keys_go_with_their_bodies(spark):
+    line = "MIIEowIBAAKCAQEA7bq0k3" + "aB3/" * 10
+    ending = "".join(f"{line}\n" for _ in range(30)) + "c2hvcnQgbGFzdCBsaW5l\n"
+    data = [
+        (1, f"before\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{ending}-----END RSA PRIVATE KEY-----\nafter it all"),
+        (2, f"cut off\n-----BEGIN PRIVATE KEY-----\n{line}\n{line}\n{line}"),
+        (3, "key = \"-----BEGIN EC PRIVATE KEY-----\\n" + line + "\\n" + line + "\\n-----END EC PRIVATE KEY-----\" and more words"),
+        (4, "-----BEGIN PRIVATE KEY-----\n" + f"{line}\n" * 60_000),
+    ]
+    out = {r.doc_id: r.text for r in secrets.masked(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out[1] == "before\n[SECRET]\nafter it all" and out[2] == "cut off\n[SECRET]" and "aB3/" not in out[3] and out[3].endswith("and more words")
+    assert out[4].startswith("[SECRET]")
+
+
+def test_runs_with_late_digits_are_candidates(spark):
+    found = secrets.scored(spark.createDataFrame([(1, "aB" * 4000 + HEX)], "doc_id long, text string"), secrets.forest(spark)).first()._found
+    assert found == ["aB" * 4000 + HEX]
