@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from carecolumns.llm.common import batch, small_batches
 
-#: Chunks that a worker keeps encoded (some 150 MB), and pairs that it keeps decided, before it starts anew.
-KEPT_CHUNKS, KEPT_PAIRS = 600_000, 2_000_000
+#: Bytes of encoded chunks (by a rule of thumb for Python objects) and decided pairs that a worker keeps before it starts anew.
+KEPT_BYTES, KEPT_PAIRS = 160_000_000, 1_500_000
 #: Symbols up to which merging scans the word for its best pair; longer words use a heap.
 SHORT = 48
 
@@ -98,8 +98,8 @@ class Codec:
         self.apart = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
-        self.pairs = np.zeros(0, np.int64)
-        self.holds = np.zeros(0, bool)
+        self.kept_bytes = 0
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the leftmost pair of least rank first."""
@@ -158,19 +158,18 @@ class Codec:
     def verified(self, pairs: np.ndarray) -> np.ndarray:
         """Which packed pairs (a << 32 | b) of tokens keep apart when their bytes are merged."""
         if len(self.pairs) > KEPT_PAIRS:
-            self.pairs, self.holds = self.pairs[:0], self.holds[:0]
-        new = np.setdiff1d(pairs, self.pairs)
-        if len(new):
-            right = [self.merge(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)]
-            every = np.concatenate((self.pairs, new))
-            by = np.argsort(every, kind="stable")
-            self.pairs, self.holds = every[by], np.concatenate((self.holds, np.array(right, bool)))[by]
-        return self.holds[np.searchsorted(self.pairs, pairs)]
+            self.pairs.clear()
+        each, to = np.unique(pairs, return_inverse=True)
+        decided, raw, single = self.pairs, self.bytes, self.merge
+        for p in set(each.tolist()) - decided.keys():
+            a, b = p >> 32, p & 0xFFFFFFFF
+            decided[p] = single(raw[a] + raw[b]) == [a, b]
+        return np.fromiter(map(decided.__getitem__, each.tolist()), bool, len(each))[to]
 
     def learn(self, words: list[str]) -> None:
         """Encode new words: speculate, verify all adjacent pairs at once, merge those that fail."""
         raw = [w.encode() for w in words]
-        guess = [self.greedy(b) if len(b) <= 1000 else self.merge(b) for b in raw]
+        guess = [self.greedy(b) for b in raw]
         size = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter(chain.from_iterable(guess), np.int64, int(size.sum()))
         word = np.repeat(np.arange(len(guess)), size)
@@ -197,9 +196,10 @@ class Codec:
                 split.append([*parts, self.chunks(t[at:])])
             else:
                 split.append([self.chunks(t)])
-        if len(self.kept) > KEPT_CHUNKS:
+        if self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
             self.known.clear()
+            self.kept_bytes = 0
         kept, known = self.kept, self.known
         new = set().union(*(p for parts in split for p in parts if not isinstance(p, int))) - kept.keys()
         if new:
@@ -207,7 +207,9 @@ class Codec:
             if unknown := {w for ws in words.values() for w in ws} - known.keys():
                 self.learn(list(unknown))
             for c, ws in words.items():
-                kept[c] = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws)))
+                kept[c] = ids = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws)))
+                # the chunk, its words, their ids, and the entries of two tables
+                self.kept_bytes += 220 + 4 * len(c) + 16 * len(ids)
         for parts in split:
             yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(kept.__getitem__, p)) for p in parts))
 

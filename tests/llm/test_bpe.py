@@ -45,3 +45,28 @@ def test_query_shape_nulls_and_round_trip(spark):
     for r in got.collect():
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
     assert encode_texts(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_are_speculated_and_verified_too():
+    import tokenizers
+
+    reference, codec = tokenizers.Tokenizer.from_file(PATH), Codec(PATH)
+    r = random.Random(21)
+    words = ["".join(r.choice(("the", "ing", "er", "zq", "on", "é", "文")) for _ in range(n)) for n in (400, 900, 5000)] + ["".join(r.choice("abcdefghij") for _ in range(3000))]
+    merged = []
+    exact = codec.merge
+    codec.merge = lambda b: merged.append(len(b)) or exact(b)
+    assert all(ids == reference.encode(w, add_special_tokens=False).ids for w, ids in zip(words, codec.encode(words), strict=True))
+    assert min(merged) < 64  # pairs were decided, not only whole words merged
+
+
+def test_kept_chunks_are_bounded_by_bytes(monkeypatch):
+    from carecolumns.llm import bpe
+
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 50_000)
+    codec = Codec(PATH)
+    r = random.Random(2)
+    for _ in range(30):
+        text = " ".join("".join(r.choice("aeinorsth") for _ in range(12)) for _ in range(100))
+        assert codec.decode(next(iter(codec.encode([text])))) == text
+        assert codec.kept_bytes < 50_000 + 40_000 and len(codec.kept) < 300
