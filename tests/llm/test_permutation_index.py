@@ -14,10 +14,30 @@ def brute(ids, x, queries, k):
     return out
 
 
+def test_recall_on_vectors_without_structure(spark):
+    rng = np.random.default_rng(5)
+    for n in (300, 1500, 6000):
+        x = rng.normal(size=(n, 32)).astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in index.nearest(df, F.col("vec_id") % 60 == 0, 20).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(np.arange(n), x, range(0, n, 60), 20)
+        assert all(len(got[q]) == 20 for q in want) and sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_footrule():
+    rng = np.random.default_rng(2)
+    mine, theirs = (np.array([rng.permutation(40)[:12] for _ in range(n)], np.int16) for n in (50, 9))
+    saved = index.footrule_saved(mine, theirs, 40)
+    for i, a in enumerate(mine.tolist()):
+        for j, b in enumerate(theirs.tolist()):
+            assert saved[i, j] == sum(12 - abs(a.index(p) - b.index(p)) for p in a if p in b)
+
+
 def test_recall_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(index, "SHARD", 900)
+    monkeypatch.setattr(index, "SPLIT", 200)
     monkeypatch.setattr(index, "BLOCK", 40)
-    monkeypatch.setattr(index, "LEAST", 150)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(10, 64))
     x = centres[rng.integers(0, 10, 3000)] * rng.choice([0, 0.15, 1], 3000)[:, None] + rng.normal(size=(3000, 64))
