@@ -7,8 +7,9 @@ passages out of the product. The remaining product is taken column block by colu
 
 1. neighbours along each column give trial pairs; pairs whose parity bitmaps bound their overlap below 3/7 (p + q) go, the others' overlaps are counted
    exactly, nearest partners first, and linked rows are contracted to components;
-2. columns that still meet several components are multiplied out in blocks of rows, where the size and bitmap bounds discard pairs before any
-   row is emitted; the survivors' overlaps are counted exactly.
+2. columns that still meet several components are multiplied out, short ones first and long ones after another contraction; a long column is cut into blocks
+   by size class and hash, and pairs of blocks are dealt as keys, so no column is one task's work. The size and bitmap bounds discard pairs before any row is
+   emitted; the survivors' overlaps are counted exactly.
 
 So no link between different components is lost, while groups of copies are never expanded into all pairs.
 """
@@ -24,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import as_bytes, batch, cut, keep_ids, pieces, small_batches
+from carecolumns.llm import common
+from carecolumns.llm.common import FEW_IDS, as_bytes, batch, keep_ids, pieces, small_batches
 from carecolumns.llm.components import components
 from carecolumns.llm.words import mix, shingle_sets
 
@@ -37,6 +39,8 @@ BITS, LEAST, MOST = 2, 16, 1 << 14
 BLOCK, SHORT = 1024, 64
 #: Pairs that a task remembers to give once, and tasks over which the columns of one group are dealt.
 SEEN, SHARES = 500_000, 8
+#: Rows of a column beyond which it is dealt by pairs of blocks of about so many rows.
+LONG = 1024
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -178,15 +182,18 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, n, root, bits) sorted by h: in blocks of each column's rows, pairs of different components that may link."""
+    """Rows (h, doc, n, root, side, bits) sorted by h: in blocks of each column's rows, pairs of different components that may link.
+
+    side tells the two blocks of a dealt pair apart (1 and 2: only pairs across), 0 stands for whole columns.
+    """
     seen: set[tuple[int, int]] = set()
 
     def column(rows: list) -> Iterator[pa.RecordBatch]:
-        doc, n, root = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        doc, n, root, side = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
         if len(rows) < 2 or (root == root[0]).all():
             return
         by = np.argsort(n, kind="stable")
-        doc, n, root = doc[by], n[by], root[by]
+        doc, n, root, side = doc[by], n[by], root[by], side[by]
         wide = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))[by]
         # bitmaps of each size as one matrix; a pair is compared at the smaller size of the two
         where, whole = np.zeros(len(rows), np.int64), {}
@@ -205,7 +212,8 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(i, len(rows), BLOCK):
                 if 100 * n[min(i + BLOCK, len(rows)) - 1] < 75 * n[j]:
                     break
-                p, q = np.nonzero((root[i : i + BLOCK, None] != root[None, j : j + BLOCK]) & (100 * n[i : i + BLOCK, None] >= 75 * n[None, j : j + BLOCK]))
+                across = (side[i : i + BLOCK, None] == 0) | (side[i : i + BLOCK, None] != side[None, j : j + BLOCK])
+                p, q = np.nonzero(across & (root[i : i + BLOCK, None] != root[None, j : j + BLOCK]) & (100 * n[i : i + BLOCK, None] >= 75 * n[None, j : j + BLOCK]))
                 p, q = p + i, q + j
                 p, q = p[p < q], q[p < q]
                 for a, b in set(zip(wide[p].tolist(), wide[q].tolist(), strict=True)):
@@ -246,21 +254,22 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(["a", "b"], pairs[ok, 0], pairs[ok, 1])
 
     def rows_of(b: list) -> Iterator[pa.RecordBatch]:
-        h, doc, n, root, bits = b
+        h, doc, n, root, side, bits = b
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(begin, len(h)))
-        few = np.repeat(size <= SHORT, size)
+        short_one = (size <= SHORT) & (np.maximum.reduceat(side, begin) == 0)
+        few = np.repeat(short_one, size)
         at = np.flatnonzero(few)
         if len(at):
             yield from short(h[at], doc[at], n[at], root[at], [bits[i] for i in at])
-        for k in np.flatnonzero(size > SHORT):
-            yield from column([(h[i], doc[i], n[i], root[i], bits[i]) for i in range(begin[k], begin[k] + size[k])])
+        for k in np.flatnonzero(~short_one):
+            yield from column([(h[i], doc[i], n[i], root[i], bits[i], side[i]) for i in range(begin[k], begin[k] + size[k])])
 
     held = None
     for b in batches:
-        now = [np.asarray(b.column(k)).astype(np.int64) for k in range(4)] + [b.column(4).to_pylist()]
+        now = [np.asarray(b.column(k)).astype(np.int64) for k in range(5)] + [b.column(5).to_pylist()]
         if held:
-            now = [np.concatenate((held[k], now[k])) for k in range(4)] + [held[4] + now[4]]
+            now = [np.concatenate((held[k], now[k])) for k in range(5)] + [held[5] + now[5]]
         h = now[0]
         if not len(h):
             continue
@@ -309,15 +318,53 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
 
+def _dealt(rows: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """Rows (h, doc, n, root, bits) of long columns, once for each pair of blocks that theirs is in: (h, doc, n, root, side, bits), sorted by h, a number of the pair.
+
+    Rows of sizes p <= q with p >= 0.75 q are in the same or in neighbouring size classes, the powers of 4/3. sizes: (h, class, rows).
+    """
+    blocks = F.ceil(F.col("rows") / LONG).cast("int")
+    own = sizes.select("h", "class", blocks.alias("own"))
+    next_up = sizes.select("h", (F.col("class") - 1).alias("class"), blocks.alias("up"))
+    next_down = sizes.select("h", (F.col("class") + 1).alias("class"), blocks.alias("down"))
+    sizes = common.cut(own.join(next_up, ["h", "class"], "left").join(next_down, ["h", "class"], "left").select("h", "class", "own", F.coalesce("up", F.lit(0)).alias("up"), F.coalesce("down", F.lit(0)).alias("down")))
+    few = sizes.count() <= FEW_IDS
+    rows = rows.withColumn("class", _size_class()).join(F.broadcast(sizes) if few else sizes, ["h", "class"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("own")).cast("int"))
+    pair = lambda low, i, j, side: F.struct(low.alias("low"), i.alias("i"), j.alias("j"), side.alias("side"))
+    up_to = lambda m: F.when(F.col(m) > 0, F.sequence(F.lit(0), F.col(m) - 1)).otherwise(F.array().cast("array<int>"))
+    block, own_class = F.col("block"), F.col("class")
+    # within a class the smaller block is side 1, the larger side 2, and a block with itself is a column of its own; then the class above, then that below
+    same = F.transform(up_to("own"), lambda j: pair(own_class * 2, F.least(block, j), F.greatest(block, j), F.when(j == block, 0).when(j > block, 1).otherwise(2)))
+    above = F.transform(up_to("up"), lambda j: pair(own_class * 2 + 1, block, j, F.lit(1)))
+    below = F.transform(up_to("down"), lambda j: pair(own_class * 2 - 1, j, block, F.lit(2)))
+    dealt = rows.select("h", "doc", "n", "root", "bits", F.explode(F.concat(same, above, below)).alias("p")).select("h", "doc", "n", "root", "bits", "p.*")
+    key = F.xxhash64("h", "low", "i", "j")
+    dealt = dealt.withColumn("key", key).repartition(parts, "key").sortWithinPartitions("key", "h", "low", "i", "j")
+    # equal numbers of two pairs would only compare more rows
+    return dealt.select(F.col("key").alias("h"), "doc", "n", "root", "side", "bits")
+
+
+def _size_class():
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+
+
 def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     """docs (doc_id long, text string, others ignored) to (doc_id, n_shingles long, component_id long).
 
     Two texts link when 100 * intersection >= 75 * union of their sets of distinct five-word shingles (see words.py). Null and empty texts, and texts of
-    white space, have size 0, link with nothing and are their own component. Repeated rows come out as often as they came in; rows with a null doc_id
-    link nothing themselves and get the component of a text with the same set, else null. Equal sets are one class whatever their number.
+    white space, have size 0, link with nothing and are their own component. Repeated rows come out as often as they came in; rows of one id with different
+    texts are one document with all their links, so they share a component. Rows with a null doc_id link nothing themselves and get the component of a text
+    with the same set, else null. Equal sets are one class whatever their number. Texts of any length are read whole; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    made: list[DataFrame] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        made.append(common.cut(df))
+        return made[-1]
+
     texts = docs.select("doc_id", as_bytes().alias("text"))
     first = cut(texts.mapInArrow(_classes, "doc_id long, n long, key binary, bits binary, slot long"))
     rows = first.where("slot is null")
@@ -326,9 +373,20 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
         weight[r.slot * PART : (r.slot + 1) * PART] = np.frombuffer(r.packed, np.int32)
     order = spark.sparkContext.broadcast(weight)
 
-    classes = cut(rows.where("key is not null and doc_id is not null").groupBy("key", "n").agg(F.min(F.struct("doc_id", "bits")).alias("one")).select("key", "n", F.col("one.doc_id").alias("doc"), F.col("one.bits").alias("bits")))
-    copies = cut(rows.where("key is not null and doc_id is not null").join(classes.select("key", "doc"), "key").where("doc_id <> doc").select("doc_id"))
-    own = keep_ids(texts.where("doc_id is not null"), copies, "doc_id", "left_anti")
+    named = rows.where("key is not null and doc_id is not null")
+    classes = cut(named.groupBy("key", "n").agg(F.min(F.struct("doc_id", "bits")).alias("one")).select("key", "n", F.col("one.doc_id").alias("doc"), F.col("one.bits").alias("bits")))
+    # rows of one id are one document: they join the classes of their sets
+    again = cut(named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("rows")).where("rows > 1"))
+    several = keep_ids(named.select("doc_id", "key"), cut(again.where("a <> b").select("doc_id")), "doc_id").join(classes.select("key", "doc"), "key").where("doc_id <> doc")
+    several = cut(several.select(F.least("doc_id", "doc").alias("a"), F.greatest("doc_id", "doc").alias("b")).distinct())
+    texts = texts.where("doc_id is not null")
+    if not again.isEmpty():
+        repeated = cut(again.select("doc_id"))
+        texts = keep_ids(texts, repeated, "doc_id", "left_anti").unionByName(keep_ids(texts, repeated, "doc_id").distinct())
+    # texts of ids that stand for no class are equal to others'
+    copies = named.join(classes.select("key", "doc"), "key").where("doc_id <> doc").select("doc_id").distinct()
+    copies = cut(copies.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti"))
+    own = keep_ids(texts, copies, "doc_id", "left_anti")
     postings = own.mapInArrow(_prefixes(order), "h long, doc long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = cut(postings.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, "h long, doc long, n int"))
@@ -344,8 +402,8 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
         return cut(keep_ids(texts, cut(ends), "doc_id").mapInArrow(_sets, "doc long, set binary"))
 
     def joined(*links: DataFrame) -> DataFrame:
-        every = links[0]
-        for x in links[1:]:
+        every = several
+        for x in links:
             every = every.unionByName(x)
         return cut(components(every, one_task))
 
@@ -361,26 +419,53 @@ def link_components(docs: DataFrame, one_task: int = 500_000) -> DataFrame:
     roots = joined(links)
 
     # what neighbours did not settle: columns that meet several components
-    root = roots.select(F.col("node").alias("doc"), "root")
-    here = shared.join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_columns = here.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "low")
-    here = here.join(open_columns, "h").join(bits.select("doc", "bits"), "doc").select("h", "doc", "n", "root", "bits", "low")
-    here = here.repartition(parts, "low", F.pmod("h", F.lit(SHARES))).sortWithinPartitions("low", "h").drop("low")
-    last = here.mapInArrow(_product, "a long, b long").distinct()
-    last = cut(last.join(trial, ["a", "b"], "left_anti"))
-    final = cut(_exact(last, sets_of(last)))
-    roots = joined(links, final)
+    def multiplied(links: DataFrame, roots: DataFrame, done: list[DataFrame], long: bool) -> DataFrame:
+        root = roots.select(F.col("node").alias("doc"), "root")
+        here = shared.join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        open_columns = here.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
+        open_columns = open_columns.where(F.col("many") > LONG if long else F.col("many") <= LONG).select("h", "low")
+        if long:
+            open_columns = cut(open_columns)
+            if open_columns.isEmpty():
+                return links
+        here = here.join(open_columns, "h").join(bits.select("doc", "n", "bits"), ["doc", "n"]).select("h", "doc", "n", "root", "bits", "low")
+        if long:
+            here = cut(here)
+            sizes = here.groupBy("h", _size_class().alias("class")).agg(F.count("*").alias("rows"))
+            here = _dealt(here, sizes, parts)
+        else:
+            here = here.withColumn("side", F.lit(0)).repartition(parts, "low", F.pmod("h", F.lit(SHARES))).sortWithinPartitions("low", "h").select("h", "doc", "n", "root", "side", "bits")
+        last = here.mapInArrow(_product, "a long, b long").distinct()
+        for pairs in done:
+            last = last.join(pairs, ["a", "b"], "left_anti")
+        last = cut(last)
+        done.append(last)
+        return links.unionByName(cut(_exact(last, sets_of(last))))
+
+    done = [trial]
+    links = multiplied(links, roots, done, False)
+    roots = joined(links)
+    longer = multiplied(links, roots, done, True)
+    if longer is not links:
+        roots = joined(longer)
 
     members = rows.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    # the result reads these three tables; nothing reads the others again
+    common.release(*(df for df in made if df is not first and df is not classes and df is not roots))
     named = classes.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", F.coalesce("root", "doc").alias("root"))
     return members.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, repeated rows once; rows without an id or without words are kept as they are.
+    """The rows of docs whose doc_id is the smallest of its component; rows without an id or without words are kept as they are.
 
-    Columns are those of docs.
+    Several rows of that id stay where their texts differ; of those with the same text one does, that of the least other columns. Columns are those of docs.
     """
-    marked = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(marked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    marked = common.cut(link_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    once, again = (common.cut(marked.where(f"rows {test} 1").select("doc_id")) for test in ("=", ">"))
+    out = keep_ids(docs, once, "doc_id").unionByName(docs.where("doc_id is null"))
+    if again.isEmpty():
+        return out
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = keep_ids(docs, again, "doc_id").groupBy("doc_id", "text").agg(F.min(others).alias("o"))
+    return out.unionByName(kept.select("doc_id", "text", "o.*").select(*docs.columns))

@@ -81,6 +81,52 @@ def test_empty_table_nulls_and_repeated_rows(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4]
 
 
+def test_rows_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(0, a), (1, a), (1, b), (2, b + " more"), (5, "u v w x y z"), (5, "u v w x y z"), (5, " ".join(f"c{k}" for k in range(30))), (6, " ".join(f"c{k}" for k in range(30)) + " end"), (7, b + " more"), (8, "alone in the world with six words")]
+    df = spark.createDataFrame([(i, t, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = {(r.doc_id, r.component_id) for r in link_components(df).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (7, 0), (5, 5), (6, 5), (8, 8)}
+    kept = sorted((r.doc_id, r.text, r.n) for r in one_of_each(df).collect())
+    assert kept == sorted([(0, a, 0), (5, "u v w x y z", 1), (5, rows[6][1], 0), (8, rows[9][1], 0)])
+
+
+def test_long_columns_are_dealt_in_blocks(spark, monkeypatch):
+    from carecolumns.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "LONG", 20)
+    r = random.Random(3)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for i in range(500):
+        # all share a passage; few others than near copies link
+        w = passage + [f"x{i % 160}y{k}" for k in range(18 + i % 160 % 25)]
+        for _ in range(r.choice([0, 1, 3])):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    dealt = []
+    whole = ngram_jaccard._dealt
+    monkeypatch.setattr(ngram_jaccard, "_dealt", lambda rows, sizes, parts: dealt.append(whole(rows, sizes, parts)) or dealt[-1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and dealt
+
+
+def test_block_pairs_cover_every_pair_once(spark, monkeypatch):
+    from carecolumns.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "LONG", 15)
+    r = random.Random(9)
+    rows = [(1, i, r.choice([5, 6, 8, 30, 33, 41, 100, 133]), i, b"\0" * 16) for i in range(300)]
+    df = spark.createDataFrame(rows, "h long, doc long, n int, root long, bits binary")
+    sizes = df.groupBy("h", ngram_jaccard._size_class().alias("class")).agg(F.count("*").alias("rows"))
+    tiles = defaultdict(list)
+    for x in ngram_jaccard._dealt(df, sizes, 4).collect():
+        tiles[x.h].append((x.doc, x.n, x.side))
+    pairs = [tuple(sorted((a[0], b[0]))) for t in tiles.values() for k, a in enumerate(t) for b in t[:k] if a[2] == 0 or a[2] != b[2]]
+    assert max(map(len, tiles.values())) <= 60 and len(pairs) == len(set(pairs))
+    assert {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and min(a[2], b[2]) >= 0.75 * max(a[2], b[2])} <= set(pairs)
+
+
 def test_components_over_many_tasks(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(r.randrange(1000, 3000), r.randrange(1000, 3000)) for _ in range(1500)]
