@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import as_bytes, arrow_offsets, batch, cut, keep_ids, pieces, small_batches
+from carecolumns.llm.common import FEW_IDS, arrow_offsets, as_bytes, batch, cut, keep_ids, pieces, small_batches
 from carecolumns.llm.words import Words
 
 #: Labelled documents that the classifier is fitted on: those of least hash, if there are more. Host and path posteriors use every document.
@@ -107,14 +107,15 @@ def _judged(model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """The classifier of labels (doc_id, quality 0 or 1), or None if they have not both kinds."""
+    """The classifier of labels (doc_id, quality 0 or 1), or None if they have not both kinds. Of conflicting labels of an id 1 counts; of several rows of an id
+    one does, that of the least measures."""
     few = cut(labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    got = keep_ids(docs.select("doc_id", as_bytes().alias("text")), few.select("doc_id"), "doc_id").mapInArrow(_measured, "doc_id long, x array<double>").join(few, "doc_id").select("x", "quality").toPandas()  # `sample` rows
+    got = keep_ids(docs.select("doc_id", as_bytes().alias("text")), few.select("doc_id"), "doc_id").mapInArrow(_measured, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).join(few, "doc_id").orderBy("doc_id").select("x", "quality").toPandas()  # `sample` rows
     y = got["quality"].to_numpy(float)
     return Classifier(np.stack(got["x"].to_list()), y) if 0 < y.sum() < len(y) else None
 
 
-def _shrunk(groups: DataFrame, by: list[str]) -> float:
+def _shrunk(groups: DataFrame) -> float:
     """Pseudo-documents of a prior over groups (n, good, parent share `prior`), by the method of moments: within-group over between-group variance."""
     p, prior = F.col("good") / F.col("n"), F.col("prior")
     row = groups.where("n >= 2").agg(F.count("*"), F.sum(F.col("n")), F.sum(F.col("n") * (p - prior) ** 2), F.sum(prior * (1 - prior)), F.sum(F.col("n") * prior * (1 - prior))).first()
@@ -128,38 +129,49 @@ def _shrunk(groups: DataFrame, by: list[str]) -> float:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text, source, lang, others ignored) to doc_id, source, lang, evidence, global_share, host_share, path_share, quality, keep.
 
-    Null and empty texts are judged by their (empty) statistics; null hosts and paths are groups of their own. Without labels of both kinds there is no
-    evidence, and everything is kept. Rows come out one by one, repeated ones and those without an id as well.
+    Null and empty texts are judged by their (empty) statistics, long ones as a whole; null hosts and paths are groups of their own. Without labels of both kinds
+    there is no evidence, and everything is kept. Rows come out one by one, repeated ones and those without an id as well. An empty table gives an empty result.
     """
+    return _judged_rows(docs.withColumn("mark", F.lit(0).cast("long")), labels, threshold, sample).drop("mark")
+
+
+def _judged_rows(docs: DataFrame, labels: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """judge() with the column `mark` carried along."""
     spark = docs.sparkSession
     small_batches(spark)
     model = fit(docs, labels, sample)
-    slim = docs.select("doc_id", "source", "lang", as_bytes().alias("text"))
+    slim = docs.select("doc_id", "source", "lang", "mark", as_bytes().alias("text"))
     if model is None:
-        found = slim.select("doc_id", "source", "lang", F.lit(0.0).alias("evidence"), F.lit(1.0).alias("p"))
+        found = slim.select("doc_id", "source", "lang", "mark", F.lit(0.0).alias("evidence"), F.lit(1.0).alias("p"))
     else:
         sent = spark.sparkContext.broadcast(model)
-        found = slim.mapInArrow(_judged(sent), "doc_id long, source string, lang string, odds double")
-        found = found.select("doc_id", "source", "lang", (F.col("odds") - model.prior).alias("evidence"), (1 / (1 + F.exp(-F.col("odds")))).alias("p"))
+        found = slim.mapInArrow(_judged(sent), "doc_id long, source string, lang string, mark long, odds double")
+        found = found.select("doc_id", "source", "lang", "mark", (F.col("odds") - model.prior).alias("evidence"), (1 / (1 + F.exp(-F.col("odds")))).alias("p"))
     found = cut(found)
     paths = cut(found.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("p").alias("good")))
     all_n, all_good = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0.0))).first()
     share = (all_good + 1) / (all_n + 2)
     hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(share))
-    m = _shrunk(hosts, ["source"])
+    m = _shrunk(hosts)
     hosts = hosts.select(F.col("source").alias("_h"), ((F.col("good") + m * share) / (F.col("n") + m)).alias("host_share"))
     sites = paths.join(hosts, F.col("source").eqNullSafe(F.col("_h"))).withColumn("prior", F.col("host_share"))
-    m = _shrunk(sites, ["source", "lang"])
+    m = _shrunk(sites)
     sites = cut(sites.select(F.col("source").alias("_h"), F.col("lang").alias("_p"), "host_share", ((F.col("good") + m * F.col("host_share")) / (F.col("n") + m)).alias("path_share")))
     # sites are few beside documents, but nothing bounds them: broadcast behind a count only
     few = sites.count() <= 100_000
     joined = found.join(F.broadcast(sites) if few else sites, F.col("source").eqNullSafe(F.col("_h")) & F.col("lang").eqNullSafe(F.col("_p")))
     q: Column = 1 / (1 + F.exp(-F.col("evidence") - F.log(F.col("path_share") / (1 - F.col("path_share")))))
-    out = joined.select("doc_id", "source", "lang", "evidence", F.lit(share).alias("global_share"), "host_share", "path_share", q.alias("quality"))
+    out = joined.select("doc_id", "source", "lang", "mark", "evidence", F.lit(share).alias("global_share"), "host_share", "path_share", q.alias("quality"))
     return out.withColumn("keep", (F.col("quality") >= threshold) | F.lit(model is None))
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns; rows without an id are kept."""
-    out = cut(judge(docs.where("doc_id is not null"), labels, threshold).where("not keep").select("doc_id").distinct())
-    return keep_ids(docs, out, "doc_id", "left_anti")
+    """The rows of docs that judge() keeps, with their columns; rows without an id are kept.
+
+    Rows of one id are judged one by one: of those that differ in text, source or language some may go and others stay. Empty tables stay empty.
+    """
+    mark = F.xxhash64("text", "source", "lang")
+    judged = _judged_rows(docs.where("doc_id is not null").withColumn("mark", mark), labels, threshold, SAMPLE)
+    out = cut(judged.where("not keep").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
+    few = out.count() <= FEW_IDS
+    return docs.join(F.broadcast(out) if few else out, (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
