@@ -13,11 +13,12 @@ text of the next one.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecolumns.llm.common import batch, small_batches
@@ -151,31 +152,63 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = held[-1:]
 
 
+#: Bytes of text in a range, and the most ranges (a range is streamed and may be larger).
+RANGE_BYTES, MOST_RANGES = 64_000_000, 10_000
+_LEAST = -(2**63)
+
+
+def _place(bounds: list[tuple[int, int]], low: int = 0) -> Column:
+    """The number of bounds (turned key, hash) at or before a row: a search tree of comparisons, whose depth is the logarithm of their number."""
+    if not bounds:
+        return F.lit(low)
+    k = len(bounds) // 2
+    turned, h = bounds[k]
+    reached = (F.col("turned") > turned) | ((F.col("turned") == turned) & (F.col("hash") >= h)) if h > _LEAST else F.col("turned") >= turned
+    return F.when(reached, _place(bounds[k + 1 :], low + k + 1)).otherwise(_place(bounds[:k], low))
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Bounds of ranges of like size in the order of (turned key, hash). Only sketches of the keys are gathered, and of the texts' hashes where one key spans ranges."""
+    if parts < 2:
+        return []
+    cuts = rows.agg(F.percentile_approx("turned", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100_000)).alias("q")).first().q or []
+    often = {t: n + 1 for t, n in Counter(cuts).items() if n > 1}
+    out = [(t, _LEAST) for t in set(cuts)]
+    if often:
+        most = max(often.values())
+        for r in rows.where(F.col("turned").isin(*often)).groupBy("turned").agg(F.percentile_approx("hash", F.array(*[F.lit(k / most) for k in range(1, most)]), F.lit(10_000)).alias("q")).collect():  # a row a range at most
+            out += [(r.turned, h) for h in set(r.q)]
+    return sorted(set(out))
+
+
 def fingerprint_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs (doc_id long, text string, others ignored) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller doc_id; after the last comes the first. Null texts are empty. Repeated ids stand next to each other by
-    text; rows without an id come after all others. A single row is its own next. An empty table gives an empty result.
+    The next document is that of the next smaller doc_id; after the last comes the first. Null texts are empty. Rows of one id, and the rows without an id, which
+    come after all others, stand by a hash of their text, then by the text, so large groups of them are dealt over many ranges as well (all but rows that are
+    equal as a whole). A single row is its own next. Texts of any length are parsed whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # ranges of equal size, as bounds of descending ids; sketches of the ids are all that is gathered
-    bounds = rows.select("key").agg(F.percentile_approx("key", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100_000)).alias("q")).first().q if parts > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("key")))
-    rows = rows.withColumn("part", part)
-    firsts = rows.groupBy("part").agg(F.max("key").alias("key")).collect()  # a row a range
-    heads = sorted((r.part, r.key) for r in firsts)
-    if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    closes = {heads[(k + 1) % len(heads)][1]: heads[k][0] for k in range(len(heads))}
-    ahead = F.element_at(F.create_map(*[x for k, p in closes.items() for x in (F.lit(k), F.lit(p))]), F.col("key"))
-    rows = rows.withColumn("to", F.when(ahead.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(ahead.alias("part"), F.lit(True).alias("ahead")))))
-    dealt = rows.select(F.explode("to").alias("to"), "key", "doc_id", "text").select("to.part", "to.ahead", "key", "doc_id", "text")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc("key"), "text")
-    return dealt.select("part", "ahead", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # ids in descending order are these numbers in ascending order
+    turned = F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(_LEAST)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"turned": turned, "hash": F.xxhash64("text")})
+    if not parts:
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES)))
+    rows = rows.withColumn("part", _place(_bounds(rows, parts)))
+    first = {r.part: (r.at.turned, r.at.hash) for r in rows.groupBy("part").agg(F.min(F.struct("turned", "hash")).alias("at")).collect()}  # a row a range
+    if not first:
+        return spark.createDataFrame([], schema)
+    # the first text of each range closes the range before it, that of the first range the last
+    used = sorted(first)
+    before = {p: used[k - 1] for k, p in enumerate(used)}
+    at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("part"))
+    every = range(used[-1] + 1)
+    head = (F.col("turned") == at([first.get(p, (0, 0))[0] for p in every])) & (F.col("hash") == at([first.get(p, (0, 0))[1] for p in every]))
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))
+    rows = rows.withColumn("to", F.when(head, F.array(own, F.struct(at([before.get(p, 0) for p in every]).alias("part"), F.lit(True).alias("ahead")))).otherwise(F.array(own)))
+    dealt = rows.select(F.explode("to").alias("to"), "turned", "hash", "doc_id", "text").select("to.part", "to.ahead", "turned", "hash", "doc_id", "text")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "turned", "hash", "text")
+    return dealt.select("part", "ahead", "doc_id", "text").mapInArrow(_compare, schema)

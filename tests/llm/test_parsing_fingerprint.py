@@ -42,3 +42,23 @@ def test_empty_single_null_and_repeated(spark):
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     rows = [(5, "abc"), (5, "abc"), (None, "x"), (None, None), (7, "abcdef")]
     assert fingerprint_neighbours(spark.createDataFrame(rows, schema)).count() == 5
+
+
+def test_rows_without_an_id_are_dealt_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from carecolumns.llm import parsing_fingerprint
+
+    data = [(None, f"text of row {k} " * (k % 5)) for k in range(300)] + [(7, f"other {k}") for k in range(200)] + [(k, f"id {k}") for k in range(100, 160)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rows = df.select(F.bitwise_not(F.coalesce("doc_id", F.lit(-(2**63)))).alias("turned"), F.xxhash64("text").alias("hash"), "doc_id", "text")
+    rows = rows.withColumn("part", parsing_fingerprint._place(parsing_fingerprint._bounds(rows, 8)))
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 200
+    want = {}
+    order = sorted(rows.collect(), key=lambda r: (r.turned, r.hash, r.text))
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        n = len(a.text) // 3
+        want.setdefault((a.doc_id, a.text), set()).add(hashlib.sha256((a.text[: len(a.text) - n] + b.text[:n]).encode()).hexdigest())
+    got = fingerprint_neighbours(df, 8).collect()
+    assert len(got) == len(data) and {r.edited_sha256 for r in got} == set().union(*want.values())
