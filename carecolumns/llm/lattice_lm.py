@@ -6,7 +6,7 @@ A text is its words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end. The pr
 
 where P0 of a word is its marginal probability in the subword lattice: the sum over all segmentations into pieces of a public vocabulary, by a forward
 recursion in log space. The vocabulary's own scores give the first weights of its pieces (score -r: weight 1 / (1 + r); byte pieces, which have no rank,
-the least); expectation steps over every distinct training word adapt them, with the first weights as prior. A word's first piece, its later pieces and
+the least); expectation steps over every distinct training word adapt them, and the first weights keep a share of PRIOR. A word's first piece, its later pieces and
 its stop have probabilities of their own, so P0 sums to one at most. alpha is the value on a grid that gives training words the highest
 leave-one-out likelihood. All counts cover all training texts; nothing is sampled.
 """
@@ -28,12 +28,12 @@ from carecolumns.llm.words import Words
 END = -1
 #: Words with at least 1 / HEAVY of all training tokens: HEAVY of them at most (5 MB), looked up without a shuffle.
 HEAVY = 200_000
-#: Weight of the vocabulary's own scores in the adapted piece probabilities, in pieces.
-PRIOR = 50.0
+#: Share of the vocabulary's own scores in the adapted piece probabilities, the same at every size of corpus.
+PRIOR = 0.1
 #: Expectation steps over the distinct training words.
 STEPS = 3
-#: Distinct words that a task counts before it passes them on.
-HELD = 600_000
+#: Bytes of distinct words and their counts (by a rule of thumb for Python objects) that a task holds before it passes them on.
+HELD = 150_000_000
 
 
 class Lattice:
@@ -76,7 +76,8 @@ class Lattice:
         """Take over expected piece counts of so many words."""
         self.p = self.prior.copy()
         for part in (self.first, ~self.first):
-            self.p[part] = (expected[part] + PRIOR * self.prior[part]) / (expected[part].sum() + PRIOR)
+            total = expected[part].sum()
+            self.p[part] = (1 - PRIOR) * expected[part] / total + PRIOR * self.prior[part] if total > 0 else self.prior[part]
         self.stop = (words + 1) / (expected.sum() + 3)
 
     def _arcs(self, text: np.ndarray) -> list[np.ndarray]:
@@ -148,7 +149,7 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(train, text) to (h, word, c): words of the partition with their counts in training texts."""
-    held, words, ends = {}, {}, 0
+    held, words, ends, size = {}, {}, 0, 0
 
     def out() -> Iterator[pa.RecordBatch]:
         h = np.fromiter(held, np.uint64, len(held)).view(np.int64)
@@ -169,9 +170,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[k] += n
                 else:
                     held[k], words[k] = n, w.bytes(i)
-        if len(held) > HELD:
-            yield from out()
-            held, words = {}, {}
+                    size += 250 + len(words[k])
+            if size > HELD:
+                yield from out()
+                held, words, size = {}, {}, 0
     yield from out()
     yield batch(["h", "word", "c"], np.array([END], np.int64), pa.array([b""], pa.binary()), np.array([ends], np.int64))
 
@@ -230,7 +232,7 @@ def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFra
 
     Texts with crc32(doc_id as text) mod 7 = 2 are held out of training (a null doc_id counts as the empty text: trained). base_score is the sum
     over tokens of log10((c + 1) / (N + V + 1)). A null or empty text is its end alone. Repeated rows are counted and scored as often as they stand there.
-    An empty table gives an empty result.
+    Words and texts of any length are scored as a whole, in log space. Other columns do not matter. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -272,7 +274,7 @@ def score_texts(docs: DataFrame, vocabulary: str, heavy: int = HEAVY) -> DataFra
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("model")).alias("model"))
     texts = found.where("h is null").select("row", "doc_id", "held_out", F.col("n").alias("tokens"), "known", "base", "model")
     sums = texts.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
-    return sums.select("doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.round(F.col("base") + end_base, 8).alias("base_score"), F.round(F.col("model") + end_model, 8).alias("score"))
+    return sums.select("doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.round(F.col("base") + end_base, 10).alias("base_score"), F.round(F.col("model") + end_model, 10).alias("score"))
 
 
 def _with_ids(score):
