@@ -106,13 +106,13 @@ def scan(docs: DataFrame) -> DataFrame:
         chosen = _chosen(statement, idf)
         share = F.col("weight") / F.lit(sum(idf[statement.split(" ")[i]] for i in chosen) or 1.0)
         near = _key_near(phrases, len(statement.split(" ")))
-        checked = F.when((F.col("template") == k) & (share >= ENOUGH) & near, F.struct(F.lit(label).alias("label"), F.least(share, F.lit(1.0)).alias("score"))).otherwise(checked)
+        checked = F.when((F.col("template") == k) & (share >= ENOUGH - 1e-12) & near, F.struct(F.lit(label).alias("label"), F.least(share, F.lit(1.0)).alias("score"))).otherwise(checked)
     labels = labels.select("row", checked.alias("c")).where("c is not null").groupBy("row").agg(F.collect_set("c.label").alias("found"), F.max("c.score").alias("score"))  # a set of template labels at most
     out = held.drop("found").join(labels, "row", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
-        F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", every).alias("labels"), F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", every).alias("labels"), F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.round(F.coalesce("score", F.lit(0.0)), 9)).alias("score"),
     )
 
 
@@ -145,3 +145,35 @@ def _proposals(found: DataFrame, idf: dict[str, float]) -> DataFrame:
 def normal_words(text: str) -> list[str]:
     """The words of one text, for tests and tools."""
     return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def sql() -> str:
+    """The scan as SQL over `documents`, from the same tables of phrases and templates."""
+    text = lambda t: "'" + t + "'"
+    words = lambda t: "[" + ", ".join(map(text, t.split(" "))) + "]"
+    base = ", ".join(f"({text(label)}, {words(p)})" for p, label in BASE.items())
+    templates = ", ".join(f"({k}, {text(label)}, {words(t)})" for k, (label, t, _) in enumerate(TEMPLATES))
+    keys = ", ".join(f"({k}, {words(p)})" for k, (_, _, ps) in enumerate(TEMPLATES) for p in ps)
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+base(label, parts) as (values {base}), template(k, label, parts) as (values {templates}), phrase(k, parts) as (values {keys}),
+vocabulary as (select distinct unnest(parts) as word from (select parts from base union all select parts from template union all select parts from phrase)),
+spot as (select r, word, i - 1 as place from (select r, unnest(ws) as word, generate_subscripts(ws, 1) as i from d) semi join vocabulary using (word)),
+starts as (select d.r, b.label, a.place from base b join spot a on a.word = b.parts[1] join d on d.r = a.r where d.ws[a.place + 1 : a.place + len(b.parts)] = b.parts),
+found as (select r, count(*) as n, min(place) as first, max(place) as last, list_sort(list_distinct(list(label))) as labels from starts group by r),
+idf as (select word, ln(((select greatest(count(*), 1) from d) + 1) / (coalesce(many, 0) + 0.5::double)) as weight from vocabulary left join (select word, count(distinct r) as many from spot group by word) using (word)),
+rare as (
+  select k, label, place, word, weight, size, sum(weight) over (partition by k) as whole from (
+    select t.k, t.label, i - 1 as place, word, weight, len(t.parts) as size, row_number() over (partition by t.k order by weight desc, i) as rank
+    from (select k, label, parts, unnest(parts) as word, generate_subscripts(parts, 1) as i from template) t join idf using (word)) where rank <= {TEMPLATE_WORDS}),
+proposal as (select a.r, rare.k, rare.label, a.place - rare.place as start, sum(rare.weight) / any_value(rare.whole) as share, any_value(rare.size) as size from spot a join rare using (word) group by all),
+key as (select d.r, p.k, a.place from phrase p join spot a on a.word = p.parts[1] join d on d.r = a.r where d.ws[a.place + 1 : a.place + len(p.parts)] = p.parts),
+hit as (
+  select p.r, list(distinct p.label) as labels, max(least(p.share, 1)) as score from proposal p
+  where p.share >= {ENOUGH} - 1e-12 and exists (select 1 from key where key.r = p.r and key.k = p.k and key.place between p.start - 2 and p.start + p.size + 2) group by p.r)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(f.n, 0)::bigint as n_base, f.first::bigint as first_word, f.last::bigint as last_word, coalesce(array_to_string(f.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(h.labels, [])))), ','), '') as labels,
+  case when f.n > 0 then 1::double else round(coalesce(h.score, 0)::double, 9) end as score
+from d left join found f on f.r = d.r left join hit h on h.r = d.r
+"""

@@ -469,3 +469,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
     kept = keep_ids(docs, again, "doc_id").groupBy("doc_id", "text").agg(F.min(others).alias("o"))
     return out.unionByName(kept.select("doc_id", "text", "o.*").select(*docs.columns))
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) >= 5 then list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as shingles from w),
+c as (select list_sort(shingles) as shingles, min(doc_id) as doc, len(any_value(shingles)) as n from s where len(shingles) > 0 group by 1),
+u as (select doc, n, unnest(shingles) as x from c),
+e as (
+  select a.doc as a, b.doc as b from u a join u b on a.x = b.x and a.doc < b.doc and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by a.doc, b.doc, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+g as (select a, b from e union all select b, a from e),
+r(doc, root) as (select doc, doc from c union select g.b, r.root from r join g on r.doc = g.a),
+t as (select doc, min(root) as root from r group by doc)
+select s.doc_id, len(s.shingles)::bigint as n_shingles, coalesce(t.root, s.doc_id) as component_id
+from s left join c on c.shingles = list_sort(s.shingles) left join t on t.doc = c.doc
+"""

@@ -59,4 +59,4 @@ def op10_license_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lattice_lm, op3_secret_scan, op4_permutation_index, op5_ngram_jaccard, op6_parsing_fingerprint, op7_pareto_mixing, op8_bpe, op9_quality, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": ngram_jaccard.SQL, "op7_pareto_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
