@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecolumns.functions.values import MIXED, STR, Value, python_round
-from carecolumns.operators.inputs import error, given, validate
+from carecolumns.operators.inputs import error, validate
+from carecolumns.operators import tables
 from carecolumns.plans import schedule
 
 FAILED = "the calculation has no value for these inputs"
@@ -40,11 +41,46 @@ def _output(o: dict, v: Value, ok: Column, decimals: int | None) -> Column:
     return F.struct(F.when(ok, value).alias("value"), F.when(ok, text).alias("text"), F.lit(o.get("base_unit")).cast("string").alias("unit"), F.when(ok, finite).alias("finite"))
 
 
-def formula(df: DataFrame, spec: dict, strict_units: bool = True) -> DataFrame:
-    """df with ok, errors, warnings and outputs: a struct of (value, text, unit, finite) by output key. Outputs are null where a row has any error."""
+def ladders(spec: dict) -> list[schedule.Ladders]:
+    """The reference tables of a specification as steps: those that write the same columns are one step, chosen between by their selectors."""
+    by_columns: dict[tuple[str, ...], list[dict]] = {}
+    for t in (spec.get("tables") or {}).get("lookups") or []:
+        columns = tuple(t.get("columns") or sorted({k for r in t["rows"] for k in r if k != "threshold"}))
+        by_columns.setdefault(columns, []).append(t)
+    return [schedule.Ladders(columns, tables) for columns, tables in by_columns.items()]
+
+
+def lookups_used(spec: dict, env: dict[str, Value]) -> Column:
+    """The row of each reference table that applies to a subject: (key, row_index, lookup_value, threshold, select_value, outside). Values above every threshold
+    show the last row, with `outside` set."""
+    found = []
+    for group in ladders(spec):
+        for t in group.tables:
+            name = group.key_of(t, env)
+            if name is None or not t["rows"]:
+                continue
+            x, error = env[name].numeric()
+            index = tables.ladder_index(x, t["rows"], t.get("operator") or "<")
+            last = len(t["rows"]) - 1
+            at = F.coalesce(index, F.lit(last))
+            row = F.struct(
+                F.lit(t["key"]).alias("key"), at.alias("row_index"), x.alias("lookup_value"), F.get(F.array(*[F.lit(r.get("threshold")).cast("double") for r in t["rows"]]), at).alias("threshold"),
+                F.lit(None if t.get("select_value") is None else str(t["select_value"])).cast("string").alias("select_value"), index.isNull().alias("outside"),
+            )
+            found.append(F.when(group.chosen(t, env) & ~error & x.isNotNull(), row))
+    empty = F.array().cast("array<struct<key:string,row_index:int,lookup_value:double,threshold:double,select_value:string,outside:boolean>>")
+    return F.array_compact(F.array(*found)) if found else empty
+
+
+def formula(df: DataFrame, spec: dict, strict_units: bool = True, lookups: bool = False) -> DataFrame:
+    """df with ok, errors, warnings and outputs: a struct of (value, text, unit, finite) by output key. Outputs are null where a row has any error.
+
+    Ladders among the specification's tables are looked up as soon as the value that they are keyed by is known. With lookups=True a column lookups_used tells the
+    rows that were read, and values outside a table are warned of, as are the specification's own notes.
+    """
     columns = df.columns
     rows, env = validate(df, spec, strict_units)
-    done = schedule.run(rows, with_variants(spec, env), items(spec))
+    done = schedule.run(rows, with_variants(spec, env), [*ladders(spec), *items(spec)])
     valid = F.size("errors") == 0
     errors = F.when(valid & done.failed, F.array(error("", FAILED))).otherwise(F.col("errors"))
     ok = valid & ~done.failed
@@ -52,7 +88,11 @@ def formula(df: DataFrame, spec: dict, strict_units: bool = True) -> DataFrame:
     outs = [(o, done.outputs[o["key"]]) for o in (spec.get("compute") or {}).get("outputs") or [] if o["key"] in done.outputs]
     outputs = F.struct(*[_output(o, v, ok, decimals).alias(o["key"]) for o, v in outs])
     endless = [F.when(ok & v.num.isNotNull() & (F.isnan(v.num) | (F.abs(v.num) == float("inf"))), F.lit(f"{o.get('label') or o['key']} is not finite")) for o, v in outs]
-    return done.df.select(*[f"`{c}`" for c in columns], ok.alias("ok"), errors.alias("errors"), F.array_compact(F.array(*endless)).alias("warnings"), outputs.alias("outputs"))
+    used = F.when(ok, lookups_used(spec, done.env)).alias("lookups_used")
+    if lookups:
+        endless.append(F.when(ok & F.exists(lookups_used(spec, done.env), lambda x: x["outside"]), F.lit("a value is outside its printed table; the nearest row is shown")))
+        endless += [F.lit(n if isinstance(n, str) else n.get("text")) for n in (spec.get("content") or {}).get("conditional_notes") or []]
+    return done.df.select(*[f"`{c}`" for c in columns], ok.alias("ok"), errors.alias("errors"), F.array_compact(F.array(*endless)).cast("array<string>").alias("warnings"), outputs.alias("outputs"), *[used] * lookups)
 
 
 def titration(df: DataFrame, spec: dict, strict_units: bool = True, always: bool = False) -> DataFrame:
@@ -68,7 +108,7 @@ def titration(df: DataFrame, spec: dict, strict_units: bool = True, always: bool
         ladder = []
     rows = rows.where(F.size("errors") == 0).withColumn("__dose", F.explode(F.array(*[F.lit(float(x)) for x in ladder]) if ladder else F.array().cast("array<double>")))
     env = with_variants(spec, env) | {compute["row_variable"]: Value("number", F.col("__dose"), None, F.lit(False))}
-    done = schedule.run(rows, env, items(spec))
+    done = schedule.run(rows, env, [*ladders(spec), *items(spec)])
     shown = [s["key"] for s in by_row] or [o["key"] for o in compute["outputs"]]
     cells = [F.when(~done.env[k].error, python_round(done.env[k].num, 2)).alias(k) for k in shown]
     keep = [c for c in columns if c not in {"dose", *shown}]
@@ -100,15 +140,16 @@ def score(subjects: DataFrame, picks: DataFrame, spec: dict, key: str = "subject
     the first in option order counts. multiple=True or False overrides every group's own kind. Subjects without picks have the errors of required groups.
     """
     groups = spec["scoring"]["groups"]
-    spark = subjects.sparkSession
-    known = [(g["key"].lower(), (g.get("label") or g["key"]).lower(), i, bool(g.get("required")), (g.get("selection") == "multiple") if multiple is None else multiple) for i, g in enumerate(groups)]
-    options = [(i, j, o["key"], (o.get("label") or o["key"]).lower(), float(o["points"])) for i, g in enumerate(groups) for j, o in enumerate(g["options"])]
-    group_rows = spark.createDataFrame(known, "g_key string, g_label string, g int, required boolean, multiple boolean")
-    option_rows = spark.createDataFrame(options, "og int, o int, o_key string, o_label string, points double")
-    # tables of one specification: some dozens of rows
-    at = picks.select(F.col(key).alias("__id"), F.lower(F.trim("group")).alias("__group"), F.trim("option").alias("__option"))
-    at = at.join(F.broadcast(group_rows), (F.col("__group") == F.col("g_key")) | (F.col("__group") == F.col("g_label")), "left")
-    at = at.join(F.broadcast(option_rows), (F.col("og") == F.col("g")) & ((F.col("__option") == F.col("o_key")) | (F.lower("__option") == F.col("o_label"))), "left")
+    many = [(g.get("selection") == "multiple") if multiple is None else multiple for g in groups]
+    # literal maps of one specification, keys before labels: picks meet no other table
+    group_of = {(g.get("label") or g["key"]).lower(): i for i, g in enumerate(groups)} | {g["key"].lower(): i for i, g in enumerate(groups)}
+    by_label = {f"{i}|{(o.get('label') or o['key']).lower()}": (j, float(o["points"])) for i, g in enumerate(groups) for j, o in reversed(list(enumerate(g["options"])))}
+    by_key = {f"{i}|{o['key']}": (j, float(o["points"])) for i, g in enumerate(groups) for j, o in reversed(list(enumerate(g["options"])))}
+    literal = lambda m, value: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), value(v))])
+    option = lambda v: F.struct(F.lit(v[0]).alias("o"), F.lit(v[1]).alias("points"))
+    at = picks.select(F.col(key).alias("__id"), F.try_element_at(literal(group_of, F.lit), F.lower(F.trim("group"))).alias("g"), F.trim("option").alias("option"))
+    name = lambda c: F.concat(F.col("g").cast("string"), F.lit("|"), c)
+    at = at.select("__id", "g", F.coalesce(F.try_element_at(literal(by_key, option), name(F.col("option"))), F.try_element_at(literal(by_label, option), name(F.lower("option")))).alias("x")).select("__id", "g", "x.o", "x.points")
     each = at.groupBy("__id").agg(
         *[F.min(F.when(F.col("g") == i, F.struct("o", "points"))).alias(f"first{i}") for i in range(len(groups))],
         *[F.sum(F.when((F.col("g") == i) & F.col("o").isNotNull(), F.col("points"))).alias(f"sum{i}") for i in range(len(groups))],
@@ -119,13 +160,13 @@ def score(subjects: DataFrame, picks: DataFrame, spec: dict, key: str = "subject
     rows = subjects.select(F.col(key).alias("__id")).join(each, "__id", "left")
     errors, parts = [F.when(F.col("bad_groups") > 0, error("", "unknown group"))], []
     for i, g in enumerate(groups):
-        n, name, many = F.coalesce(F.col(f"n{i}"), F.lit(0)), g.get("label") or g["key"], known[i][4]
+        n, name = F.coalesce(F.col(f"n{i}"), F.lit(0)), g.get("label") or g["key"]
         if g.get("required"):
             errors.append(F.when(n == 0, error(g["key"], f"{name} needs a choice")))
         errors.append(F.when(F.col(f"bad{i}") > 0, error(g["key"], f"{name}: unknown choice")))
-        if not many:
+        if not many[i]:
             errors.append(F.when(n > 1, error(g["key"], f"{name} takes one choice")))
-        parts.append(F.coalesce(F.col(f"sum{i}") if many else F.col(f"first{i}.points"), F.lit(0.0)))
+        parts.append(F.coalesce(F.col(f"sum{i}") if many[i] else F.col(f"first{i}.points"), F.lit(0.0)))
     total = reduce(lambda a, b: a + b, parts)
     found = F.array_compact(F.array(*errors))
     out = rows.select(F.col("__id").alias(key), found.alias("errors"), total.alias("total"))
@@ -173,6 +214,3 @@ def tree(df: DataFrame, spec: dict, answers: str = "answers") -> DataFrame:
     walked = F.aggregate(F.coalesce(F.col(answers), F.array().cast("array<string>")), start, step)
     return df.withColumn("__walk", walked).withColumns({"node": F.col("__walk.node"), "done": F.col("__walk.node").isin(*outcomes), "steps": F.col("__walk.steps")}).drop("__walk")
 
-
-def given_text(df: DataFrame, key: str) -> Column:
-    return given(df, key)

@@ -1,10 +1,12 @@
-"""Inputs of a calculator over rows of subjects: coercion, options, units, defaults, requirement and bounds, with every error as data.
+"""Inputs of a specification over rows of subjects: coercion, options, units, defaults, requirement and bounds, with every error as data.
 
 A row gives a field in a column of its key (any type; texts are read as numbers) and, if its unit varies, the unit's code in `<key>__unit`.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +43,18 @@ def as_number(raw: Column) -> Column:
 
 
 def _option(raw: Column, options: list[dict]) -> tuple[Column, Column, Column]:
-    """(number, text, found): the first option that a row's value means: by value, then within 1e-9, then by label, then by key."""
+    """(number, text, found): the first option, in their order, that a row's value means by its value, a number within 1e-9, its label or its key; failing
+    all of them, the first with that label in other letter case."""
     x = as_number(raw)
     num, text, found = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(False)
     tests = []
     for o in options:
-        v = o["value"]
-        tests.append((o, raw == str(v)))
-    for o in options:
+        means = (raw == str(o["value"])) | (raw == str(o.get("label", "")))
         if isinstance(o["value"], (int, float)):
-            tests.append((o, F.abs(x - float(o["value"])) < CLOSE))
+            means = means | F.coalesce(F.abs(x - float(o["value"])) < CLOSE, F.lit(False))
+        tests.append((o, means | (raw == o["key"]) if o.get("key") else means))
     for o in options:
         tests.append((o, _same(raw, str(o.get("label", "")))))
-    for o in options:
-        if o.get("key"):
-            tests.append((o, raw == o["key"]))
     for o, test in reversed(tests):
         test = F.coalesce(test, F.lit(False))
         v = o["value"]
@@ -116,7 +115,8 @@ def validate(df: DataFrame, spec: dict, strict_units: bool = True) -> tuple[Data
         raw, label = given(df, key), f.get("label") or key
         required = F.lit(bool(f.get("required")))
         if f.get("required_when"):
-            required = _matches(df, fields, f["required_when"])
+            # while the control is unanswered, nothing is asked for, whatever its default
+            required = given(df, f["required_when"]["field"]).isNotNull() & _matches(df, fields, f["required_when"])
         if f.get("visible_when"):
             # a hidden field is not asked for; one whose control is unanswered is shown
             control = given(df, f["visible_when"]["field"])
@@ -158,3 +158,47 @@ def unknown_keys(df: DataFrame, spec: dict, also: tuple[str, ...] = ()) -> list[
     """Columns that no input of the specification reads."""
     keys = {f["key"] for f in spec.get("inputs", [])}
     return [c for c in df.columns if c not in keys and c.removesuffix("__unit") not in keys and c not in also]
+
+
+def squashed(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "", name.lower())
+
+
+def by_any_name(df: DataFrame, spec: dict) -> tuple[DataFrame, list[str]]:
+    """df with columns renamed to the keys of the inputs that they mean: the key itself, else the label, else the key in other spelling; and the names of the columns
+    that mean none. A unit column keeps its suffix; a key that is there already is not taken a second time."""
+    keys = [f["key"] for f in spec.get("inputs", [])]
+    labels = {squashed(f["label"]): f["key"] for f in spec.get("inputs", []) if f.get("label")}
+    folded = {squashed(k): k for k in keys}
+    new, unknown, taken = {}, [], set(df.columns)
+    for c in df.columns:
+        name, unit, _ = c.partition("__unit")
+        to = name if name in keys else labels.get(squashed(name)) or folded.get(squashed(name))
+        if to is None:
+            unknown.append(c)
+        elif to + unit not in taken:
+            new[c] = to + unit
+            taken.add(to + unit)
+    return df.withColumnsRenamed(new), unknown
+
+
+def bounds_in(f: dict, code: str | None) -> dict:
+    """The bounds of an input as its form shows them in a unit: converted back from the base unit to 12 digits, turned round where the factor is negative."""
+    c, shown_code = f.get("constraints") or {}, code or f.get("display_unit") or f.get("base_unit")
+    low, high = c.get("min", c.get("exclusive_min")), c.get("max", c.get("exclusive_max"))
+    out = {"min": low, "max": high, "open_min": "exclusive_min" in c, "open_max": "exclusive_max" in c, "unit": shown_code}
+    unit = next((u for u in f.get("units") or [] if squashed(u["code"]) == squashed(shown_code or "")), None)
+    if unit is None or squashed(shown_code) == squashed(f.get("base_unit") or ""):
+        return out
+    back = lambda v: None if v is None else float(f"{(v - (unit.get('offset') or 0.0)) / unit['factor']:.12g}")
+    a, b = back(low), back(high)
+    if a is not None and b is not None and a > b:
+        return out | {"min": b, "max": a, "open_min": out["open_max"], "open_max": out["open_min"]}
+    return out | {"min": a, "max": b}
+
+
+def units_of(f: dict) -> list[dict]:
+    """The units of an input, that of its base first, then by code."""
+    base = f.get("base_unit") or next((u["code"] for u in f.get("units") or []), None)
+    units = f.get("units") or ([{"code": base}] if base else [])
+    return [{"code": u["code"], "label": u.get("label") or u["code"], "is_base": u["code"] == base} for u in sorted(units, key=lambda u: (u["code"] != base, u["code"]))]

@@ -15,6 +15,9 @@ CHAIN = 64
 def ladder_value(x: Column, rows: list[dict], columns: list[str], operator: str = "<", fallback: dict | None = None) -> Column:
     """The columns (a struct) of the first row with x < threshold (or <=), else of the fallback, else null."""
     pick = lambda r: F.struct(*[F.lit(float(r[c])).alias(c) for c in columns])
+    if len(rows) > CHAIN:
+        other = pick(fallback) if fallback else F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in columns) + ">")
+        return F.when(x.isNotNull() & ~F.isnan(x), F.coalesce(F.get(F.array(*map(pick, rows)), ladder_index(x, rows, operator)), other))
     out = pick(fallback) if fallback else F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in columns) + ">")
     for r in reversed(rows):
         t = F.lit(float(r["threshold"]))
@@ -22,23 +25,48 @@ def ladder_value(x: Column, rows: list[dict], columns: list[str], operator: str
     return F.when(x.isNotNull() & ~F.isnan(x), out)
 
 
+def ladder_index(x: Column, rows: list[dict], operator: str = "<") -> Column:
+    """The place (from 0) of the first row with x < threshold (or <=), null if there is none. Rows without a threshold do not count."""
+    limits = [(i, float(r["threshold"])) for i, r in enumerate(rows) if r.get("threshold") is not None]
+    passed = lambda t: x > t if operator == "<=" else x >= t
+    if len(limits) == len(rows) and all(a <= b for (_, a), (_, b) in zip(limits, limits[1:], strict=False)):
+        at = F.size(F.filter(F.array(*[F.lit(t) for _, t in limits]), passed))
+        out = F.when(at < len(limits), at)
+    else:
+        out = F.lit(None).cast("int")
+        for i, t in reversed(limits):
+            out = F.when(~passed(F.lit(t)), i).otherwise(out)
+    return F.when(x.isNotNull() & ~F.isnan(x), out)
+
+
 def ladder_join(df: DataFrame, ladder: DataFrame, value: str, select: list[str] | None = None, operator: str = "<") -> DataFrame:
     """As-of lookup in a long ladder (threshold, [select columns], others): each row of df meets the first threshold above its value, within equal select columns.
 
-    The ladder is cut to half-open intervals by lag, and df is joined on them; a reference table is small and is broadcast if Spark finds it so. Rows above every
-    threshold, and null values, get nulls.
+    Rows and steps are sorted together once, by select columns and value, and each row takes the first step at or behind it: no pairs of rows and steps are made.
+    Without select columns the ladder, a reference table, is cut to half-open intervals by lag and df is joined on them. Rows above every threshold, null values
+    and NaN get nulls. Of equal thresholds the least others count.
     """
     select = select or []
-    w = Window.partitionBy(*select).orderBy("threshold") if select else Window.orderBy("threshold")
-    steps = ladder.withColumn("__low", F.lag("threshold").over(w))
-    steps = steps.select(*[F.col(c).alias(f"__s_{c}") for c in select], "__low", "threshold", *[c for c in ladder.columns if c not in (*select, "threshold")])
-    x = F.col(value)
-    above = F.col("__low").isNull() | ((x > F.col("__low")) if operator == "<=" else (x >= F.col("__low")))
-    below = (x <= F.col("threshold")) if operator == "<=" else (x < F.col("threshold"))
-    on = above & below & ~F.isnan(x)
+    others = [c for c in ladder.columns if c not in (*select, "threshold")]
+    step = F.struct("threshold", *others)
+    steps = ladder.where("threshold is not null").groupBy(*select, "threshold").agg(F.min(F.struct(*others)).alias("o")) if others else ladder.select(*select, "threshold").distinct()
+    steps = steps.select(*select, "threshold", *[F.col(f"o.{c}").alias(c) for c in others])
+    if not select:
+        steps = steps.withColumn("__low", F.lag("threshold").over(Window.orderBy("threshold")))
+        x = F.col(value)
+        above = F.col("__low").isNull() | ((x > F.col("__low")) if operator == "<=" else (x >= F.col("__low")))
+        below = (x <= F.col("threshold")) if operator == "<=" else (x < F.col("threshold"))
+        return df.join(steps, above & below & ~F.isnan(x), "left").drop("__low")
+    # at equal values a step stands behind the row where it counts for it, else before it
+    rank = 1 if operator == "<=" else -1
+    rows = df.select(*select, F.col(value).cast("double").alias("__x"), F.lit(0).alias("__kind"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(steps.select(step.alias("s")).schema["s"].dataType).alias("__step"))
+    marks = steps.select(*select, F.col("threshold").cast("double").alias("__x"), F.lit(rank).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), step.alias("__step"))
+    ahead = Window.partitionBy(*select).orderBy("__x", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    out = rows.unionByName(marks).withColumn("__step", F.first("__step", ignorenulls=True).over(ahead)).where("__kind = 0")
+    found = F.when(F.col("__x").isNotNull() & ~F.isnan("__x"), F.col("__step"))
     for c in select:
-        on = on & (F.col(c) == F.col(f"__s_{c}"))
-    return df.join(steps, on, "left").drop("__low", *[f"__s_{c}" for c in select])
+        found = F.when(F.col(c).isNotNull(), found)
+    return out.select("__row", found.alias("__step")).select("__row.*", "__step.*")
 
 
 def lms(x: Column, row: Column) -> tuple[Column, Column]:

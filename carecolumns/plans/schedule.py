@@ -34,6 +34,42 @@ class Item:
         self.tree = parse(self.source)
 
 
+@dataclass
+class Ladders:
+    """Reference tables that write the same columns: each is keyed by a value, and may apply to one choice of a selector only."""
+
+    columns: tuple[str, ...]
+    tables: list[dict]
+
+    @staticmethod
+    def key_of(table: dict, known) -> str | None:
+        """The name that a table is keyed by, in any of its spellings."""
+        key = table.get("key") or ""
+        return next((k for k in (key, key.lower(), key.replace("_", "").lower()) if k in known), None)
+
+    def ready(self, known) -> bool:
+        return all(self.key_of(t, known) and (t.get("select_key") is None or t["select_key"] in known) for t in self.tables)
+
+    @staticmethod
+    def chosen(table: dict, env: dict[str, Value]) -> Column:
+        if table.get("select_key") is None:
+            return F.lit(True)
+        v, want = env[table["select_key"]], table.get("select_value")
+        same = F.abs(v.num - float(want)) < 1e-9 if isinstance(want, (int, float)) else v.str == str(want)
+        return F.coalesce(same, F.lit(False))
+
+    def values(self, env: dict[str, Value]) -> tuple[dict[str, Value], Column]:
+        """The columns' Values, and whether a table that applies has no row for its value."""
+        from carecolumns.operators.tables import ladder_value
+
+        row, outside = F.lit(None).cast("struct<" + ",".join(f"`{c}`:double" for c in self.columns) + ">"), F.lit(False)
+        for t in self.tables:
+            x, error = env[self.key_of(t, env)].numeric()
+            here, found = self.chosen(t, env), ladder_value(x, t["rows"], list(self.columns), t.get("operator") or "<", t.get("fallback"))
+            row, outside = F.when(here, F.when(~error, found)).otherwise(row), F.when(here, error | found.isNull()).otherwise(outside)
+        return {c: Value(NUM, row[c], None, row.isNull()) for c in self.columns}, outside
+
+
 @dataclass
 class Compiled:
     """The rows with their steps as columns, the Value of every output, and whether any expression failed."""
@@ -56,13 +92,21 @@ def _kept(df: DataFrame, name: str, v: Value) -> tuple[DataFrame, Value]:
     return df, Value(v.kind, col("n") if v.kind != STR else None, col("s") if v.kind in (STR, MIXED) else None, col("e"))
 
 
-def schedule(items: list[Item], known: set[str]) -> list[tuple[Item, bool]]:
+def schedule(items: list[Item | Ladders], known: set[str]) -> list[tuple[Item | Ladders, bool]]:
     """The order in which items are evaluated, each with whether names are missing in that pass."""
     order, have, waiting = [], set(known), list(items)
     partial: dict[int, int] = {}
     for _ in range(len(items) + ROUNDS):
         left, moved = [], False
         for item in waiting:
+            if isinstance(item, Ladders):
+                if item.ready(have):
+                    order.append((item, False))
+                    have |= set(item.columns)
+                    moved = True
+                else:
+                    left.append(item)
+                continue
             names = free_names(item.tree)
             missing = names - {item.key} - have
             tried = partial.get(id(item), 0)
@@ -84,18 +128,24 @@ def schedule(items: list[Item], known: set[str]) -> list[tuple[Item, bool]]:
         waiting = left
         if not waiting or not moved:
             break
-    never = [i for i in waiting if id(i) not in partial]
+    never = [i for i in waiting if id(i) not in partial and isinstance(i, Item)]
     if never:
         names = sorted(set().union(*(free_names(i.tree) - {i.key} for i in never)) - have)
         raise ScheduleError(f"never evaluated: {', '.join(i.key for i in never)}" + (f"; unknown names: {', '.join(names)}" if names else ""))
     return order
 
 
-def run(df: DataFrame, env: dict[str, Value], items: list[Item], prefix: str = "__v") -> Compiled:
+def run(df: DataFrame, env: dict[str, Value], items: list[Item | Ladders], prefix: str = "__v") -> Compiled:
     """Evaluate items over df. env names the Values of inputs; it is not changed."""
     env, outputs, failed = dict(env), {}, F.lit(False)
     values: dict[int, Value] = {}
     for n, (item, _) in enumerate(schedule(items, set(env))):
+        if isinstance(item, Ladders):
+            found, outside = item.values(env)
+            for k, (name, v) in enumerate(found.items()):
+                df, env[name] = _kept(df, f"{prefix}{n}_{k}", v)
+            failed = failed | outside
+            continue
         v = compile_expression(item.tree, env)
         if id(item) in values:
             # rows that an earlier pass completed keep their value
@@ -107,5 +157,6 @@ def run(df: DataFrame, env: dict[str, Value], items: list[Item], prefix: str = "
         if item.output:
             outputs[item.key] = v
     for item in items:
-        failed = failed | values[id(item)].error
+        if isinstance(item, Item):
+            failed = failed | values[id(item)].error
     return Compiled(df, env, outputs, failed)

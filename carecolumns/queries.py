@@ -1,11 +1,11 @@
-"""Registered queries of the calculators, over cohorts derived from the tables, with their SQL."""
+"""Registered queries of the specifications, over cohorts derived from the tables, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecolumns.operators import calculators, tables
+from carecolumns.operators import evaluation, tables
 from carecolumns.operators.inputs import validate
 from carecolumns.sources import catalog
 from carecolumns.sources.definitions import specifications
@@ -45,7 +45,7 @@ def _formula(name: str, slug: str, fields: dict[str, str], outputs: dict[str, st
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = dict(specifications()[slug]) | {"display": {"decimal_precision": None}}
-        out = calculators.formula(_cohort(spark, sf_dir, **fields), spec)
+        out = evaluation.formula(_cohort(spark, sf_dir, **fields), spec)
         return out.select(F.col("k").alias("subject_id"), "ok", *[F.round(F.col(f"outputs.`{k}`.value"), digits).alias(k) for k in outputs])
 
     sql = ", ".join(f"case when {valid} then round({e}, {digits}) end as {k}" for k, e in outputs.items())
@@ -109,7 +109,7 @@ select c_custkey as subject_id, round((100 + c_custkey % 100) * (case c_custkey
 def units_to_base(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select("c_custkey", F.expr("100 + c_custkey % 100").alias("weight"), F.expr("case c_custkey % 3 when 0 then 'kg' when 1 then 'lbs' end").alias("weight__unit"))
     spec = dict(specifications()["fomepizole"]) | {"display": {}, "compute": {"steps": [], "outputs": [{"key": "ld", "expr": "15 * weight"}]}}
-    return calculators.formula(df, spec).select(F.col("c_custkey").alias("subject_id"), F.round("outputs.ld.value", 6).alias("ld"))
+    return evaluation.formula(df, spec).select(F.col("c_custkey").alias("subject_id"), F.round("outputs.ld.value", 6).alias("ld"))
 
 
 @_register("titration_table", """
@@ -117,7 +117,7 @@ select subject_id, cast(step * 0.5 as double) as dose, round_even(step * 0.5 * w
   select c_custkey as subject_id, cast(50 + 2 * (c_custkey % 30) as double) as weight from customer), (select unnest(range(1, 21)) as step)""")
 def titration_table(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.lit(500).alias("drug_amount"), F.lit(250).alias("infusate_volume"), F.lit(1).alias("dose"), F.expr("50 + 2 * (c_custkey % 30)").alias("weight"))
-    return calculators.titration(df, specifications()["cisatracurium"]).select("subject_id", "dose", "value")
+    return evaluation.titration(df, specifications()["cisatracurium"]).select("subject_id", "dose", "value")
 
 
 def _score_sql(points: str) -> str:
@@ -136,14 +136,14 @@ def score_4t(spark, sf_dir):
     picks = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject_id"), (F.col("o_orderkey") % 4).alias("g")).agg((F.max("o_orderkey") % 3).alias("o"))
     picks = picks.select("subject_id", F.get(keys, F.col("g").cast("int")).alias("group"), F.format_string("opt_%d_%d", "g", "o").alias("option"))
     subjects = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"))
-    return calculators.score(subjects, picks, spec).select("subject_id", "ok", "total", "band")
+    return evaluation.score(subjects, picks, spec).select("subject_id", "ok", "total", "band")
 
 
 @_register("score_bands_first_match", """
 select l_orderkey, l_linenumber, l_quantity / 5 as total, case when l_quantity / 5 >= 6 then 'High probability' when l_quantity / 5 >= 2 then 'Moderate probability' else 'Low probability' end as band from lineitem""")
 def score_bands_first_match(spark, sf_dir):
     total = F.col("l_quantity") / 5
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", total.alias("total"), calculators.band(specifications()["pulmonary-embolism-wells-score"]["scoring"]["bands"], total).alias("band"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", total.alias("total"), evaluation.band(specifications()["pulmonary-embolism-wells-score"]["scoring"]["bands"], total).alias("band"))
 
 
 @_register("convert_temperature", """
@@ -153,7 +153,7 @@ select l_orderkey, l_linenumber, l_linenumber % 3 as pair_index, round(case l_li
   else case when l_orderkey % 2 = 0 then l_quantity * 0.5555555556 + 255.372222 else (l_quantity - 255.372222) / 0.5555555556 end end, 5) as result from lineitem""")
 def convert_temperature(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("pair_index"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") % 2 == 1).alias("reverse"))
-    return calculators.convert(df, specifications()["unit-conversions-temperature"]).select("l_orderkey", "l_linenumber", "pair_index", F.round("result", 5).alias("result"))
+    return evaluation.convert(df, specifications()["unit-conversions-temperature"]).select("l_orderkey", "l_linenumber", "pair_index", F.round("result", 5).alias("result"))
 
 
 @_register("tree_walk", """
@@ -165,7 +165,7 @@ def tree_walk(spark, sf_dir):
     say = lambda c: F.when(c, "Yes").otherwise("no")
     k = F.col("c_custkey")
     df = _table(spark, sf_dir, "customer").select(k.alias("subject_id"), F.array(say(k % 2 != 0), say(k % 3 != 0), say(k % 5 == 0), say(k % 7 == 0)).alias("answers"))
-    return calculators.tree(df, specifications()["rabies-post-exposure-prophylaxis-treecalc"]).select("subject_id", "node")
+    return evaluation.tree(df, specifications()["rabies-post-exposure-prophylaxis-treecalc"]).select("subject_id", "node")
 
 
 LADDER = [{"threshold": float(10 * (i + 1)), "l": 0.5 + i / 10, "m": 10.0 + 3 * i, "s": 0.1 + i / 100} for i in range(10)]
@@ -225,7 +225,6 @@ select c_custkey as subject_id, drug, phase, low, high, volume_low from (select
   ('norepinephrine', 'start', least(0.25 * w, 30)::double, least(0.5 * w, 30)::double, round((least(0.25 * w, 30) / 5)::double, 2)), ('adenosine', 'first', 6.0::double, 6.0::double, 2.0::double), ('adenosine', 'second', 12.0::double, 12.0::double, 4.0::double)) v(drug, phase, low, high, volume_low)""")
 def dose_table(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 80 + 40).alias("weight"))
-    df = df.where("true")
     out = tables.dose_table(df, DRUGS)
     return out.select("subject_id", "drug", "phase", F.col("low"), F.col("high"), "volume_low")
 
@@ -237,34 +236,10 @@ def equivalents_total(spark, sf_dir):
     return tables.equivalents(df, {"oxycodone": 1.5})
 
 
-@_register("catalog_categories", None)
-def catalog_categories(spark, sf_dir):
-    return catalog.categories(catalog.built_in(spark))
-
-
-@_register("catalog_search", """
-select p_partkey, p_name, rank from (select p_partkey, p_name, case when n like 'part 1%' then 0 when n like '%part 1%' then 1 when n like '%part%' and n like '%1%' then 2 else 3 end as rank
-  from (select *, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as n, trim(regexp_replace(lower(p_name || ' ' || p_partkey || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) as hay from part) where hay like '%part%' and hay like '%1%')""")
-def catalog_search(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("slug"), F.col("p_type").alias("category"), F.lit("part").alias("renderer"))
-    return catalog.search(rows, "Part 1").select("p_partkey", "p_name", F.col("rank").cast("int").alias("rank"))
-
-
-@_register("evaluate_all", None)
-def evaluate_all(spark, sf_dir):
-    from carecolumns.operators.checks import evaluate_all
-
-    return evaluate_all(spark, specifications().values())
-
-
-@_register("invariants", None)
-def invariants(spark, sf_dir):
-    from carecolumns.operators.checks import invariants
-
-    return invariants(spark, specifications().values())
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["formula_cockcroft_gault"](spark, sf_dir)
 
 
+
+
+from carecolumns import rule_queries  # noqa: E402, F401  (registers its queries here)

@@ -76,11 +76,11 @@ def names(catalog: DataFrame) -> DataFrame:
 
 
 def categories(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy(F.coalesce("category", F.lit("Uncategorised")).alias("category")).agg(F.count("*").alias("calculators")).orderBy("category")
+    return catalog.groupBy(F.coalesce("category", F.lit("Uncategorised")).alias("category")).agg(F.count("*").alias("specifications")).orderBy("category")
 
 
 def renderers(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy("renderer").agg(F.count("*").alias("calculators")).orderBy("renderer")
+    return catalog.groupBy("renderer").agg(F.count("*").alias("specifications")).orderBy("renderer")
 
 
 def resolve(catalog: DataFrame, name: str) -> dict:
@@ -93,16 +93,26 @@ def resolve(catalog: DataFrame, name: str) -> dict:
     hits = search(catalog, name).select("title", "document").take(5)
     if len(hits) == 1:
         return json.loads(hits[0][1])
-    raise LookupError(f"no calculator {name!r}" + (f"; did you mean {', '.join(h[0] for h in hits)}?" if hits else ""))
+    raise LookupError(f"no specification {name!r}" + (f"; did you mean {', '.join(h[0] for h in hits)}?" if hits else ""))
 
 
 def children(catalog: DataFrame, what: str) -> DataFrame:
-    """Normalised tables of a catalogue: fields, options, units, steps, outputs, groups, group_options, bands, pairs."""
+    """Normalised tables of a catalogue: fields, options, units, steps, outputs, groups, group_options, bands, pairs, steps_of_ladders (dose ladders and lookup
+    tables), edges and nodes (of trees)."""
     field = "key string, label string, widget string, required boolean, base_unit string, display_unit string, default string, constraints struct<min:double,max:double,exclusive_min:double,exclusive_max:double>, options array<struct<label:string,value:string>>, units array<struct<code:string,label:string,factor:double,offset:double>>"
-    schema = f"inputs array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2:', field)}>>, compute struct<steps:array<struct<key:string,expr:string>>,outputs:array<struct<key:string,label:string,expr:string,decimals:int,base_unit:string,kind:string>>>, scoring struct<groups:array<struct<key:string,label:string,selection:string,required:boolean,options:array<struct<key:string,label:string,points:double>>>>,bands:array<struct<min:double,max:double,label:string>>>, tables struct<pairs:array<struct<from:string,to:string,factor:double,offset:double>>>"
+    schema = f"inputs array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2:', field)}>>, compute struct<steps:array<struct<key:string,expr:string>>,outputs:array<struct<key:string,label:string,expr:string,decimals:int,base_unit:string,kind:string>>>, scoring struct<groups:array<struct<key:string,label:string,selection:string,required:boolean,options:array<struct<key:string,label:string,points:double>>>>,bands:array<struct<min:double,max:double,label:string>>>, tables struct<pairs:array<struct<from:string,to:string,factor:double,offset:double>>,dose_ladder:struct<values:array<double>>,lookups:array<struct<key:string,select_value:string,rows:array<struct<threshold:double>>>>,nodes:map<string,struct<yes:string,no:string>>,outcomes:map<string,string>>"
     rows = catalog.select("slug", F.from_json("document", schema).alias("d"))
     at = {"fields": "d.inputs", "steps": "d.compute.steps", "outputs": "d.compute.outputs", "groups": "d.scoring.groups", "bands": "d.scoring.bands", "pairs": "d.tables.pairs"}
     if what in at:
         return rows.select("slug", F.posexplode(at[what]).alias("position", "x")).select("slug", "position", "x.*")
+    if what == "steps_of_ladders":
+        doses = rows.select("slug", F.lit("dose").alias("ladder"), F.posexplode("d.tables.dose_ladder.values").alias("position", "threshold"))
+        lookups = rows.select("slug", F.explode("d.tables.lookups").alias("t")).select("slug", F.concat_ws(" ", "t.key", "t.select_value").alias("ladder"), F.posexplode("t.rows.threshold").alias("position", "threshold"))
+        return doses.unionByName(lookups)
+    if what == "nodes":
+        return rows.select("slug", F.explode(F.concat(F.map_keys("d.tables.nodes"), F.map_keys("d.tables.outcomes"))).alias("node"))
+    if what == "edges":
+        edges = rows.select("slug", F.explode("d.tables.nodes").alias("node", "x"))
+        return edges.select("slug", "node", F.explode(F.array("x.yes", "x.no")).alias("to"))
     parent, nested = {"options": ("fields", "options"), "units": ("fields", "units"), "group_options": ("groups", "options")}[what]
     return children(catalog, parent).select("slug", F.col("key").alias("parent"), F.posexplode(nested).alias("position", "x")).select("slug", "parent", "position", "x.*")

@@ -1,16 +1,16 @@
-"""Calculators over streams: formulas are stateless projections, so they run unchanged on a streaming DataFrame."""
+"""Specifications over streams: formulas are stateless projections, so they run unchanged on a streaming DataFrame."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.operators import calculators
+from carecolumns.operators import evaluation
 
 
 def formula_stream(stream: DataFrame, spec: dict) -> DataFrame:
     """ok, errors, warnings and outputs for each arriving row."""
-    return calculators.formula(stream, spec)
+    return evaluation.formula(stream, spec)
 
 
 def windowed(results: DataFrame, time: str, output: str, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carecolumns.functions.values import number
-from carecolumns.operators import calculators, checks, tables
+from carecolumns.operators import checks, evaluation, tables
 from carecolumns.plans.schedule import Item, ScheduleError, run, schedule
 from carecolumns.sources import catalog
 from carecolumns.sources.definitions import specifications
@@ -14,7 +14,7 @@ SPECS = specifications()
 
 def one(spark, slug, **given):
     df = spark.createDataFrame([tuple(str(v) for v in given.values())], ", ".join(f"`{k}` string" for k in given))
-    return calculators.formula(df, SPECS[slug]).first()
+    return evaluation.formula(df, SPECS[slug]).first()
 
 
 def test_published_values(spark):
@@ -63,7 +63,7 @@ def test_schedule_rules(spark):
 
 def test_every_specification_evaluates(spark):
     rows = checks.evaluate_all(spark, [s for k, s in SPECS.items() if k in ("anion-gap", "dopamine", "meld-score", "epinephrine-weight-based", "water-deficit-in-hypernatremia", "valganciclovir", "bivalirudin", "body-mass-index-bmi")]).collect()
-    assert len(rows) == 7 and all(r.ok > 0 for r in rows)
+    assert len(rows) == 8 and all(r.ok > 0 for r in rows)
     assert {(r.slug, r.rule) for r in checks.invariants(spark, SPECS.values()).collect()} <= {("pulmonary-embolism-wells-score", "band"), ("cha2ds2-vasc-score", "band")}
 
 
@@ -72,21 +72,21 @@ def test_scores_bands_and_tree(spark):
     subjects = spark.createDataFrame([(1,), (2,), (3,), (4,)], "subject_id long")
     keys = [g["key"] for g in spec["scoring"]["groups"]]
     picks = [(1, k, f"opt_{i}_0") for i, k in enumerate(keys)] + [(2, k.upper(), "option 3") for k in keys] + [(3, keys[0], "nothing"), (4, keys[0], "opt_0_0"), (4, keys[0], "opt_0_1")] + [(4, "who", "x")]
-    got = {r.subject_id: r for r in calculators.score(subjects, spark.createDataFrame(picks, "subject_id long, group string, option string"), spec).collect()}
+    got = {r.subject_id: r for r in evaluation.score(subjects, spark.createDataFrame(picks, "subject_id long, group string, option string"), spec).collect()}
     assert (got[1].total, got[1].band, got[2].total, got[2].band) == (8.0, "High probability", 0.0, "Low probability")
     assert len(got[3].errors) == 5 and not got[3].ok and any("one choice" in e.message for e in got[4].errors) and any("group" in e.message for e in got[4].errors)
-    assert calculators.score_range(spec) == (0.0, 8.0) and calculators.score_range(SPECS["modified-wells-score-for-dvt"]) == (-2.0, 9.0)
+    assert evaluation.score_range(spec) == (0.0, 8.0) and evaluation.score_range(SPECS["modified-wells-score-for-dvt"]) == (-2.0, 9.0)
     df = spark.createDataFrame([([],), (["no"],), (["yes", "Y", "1", "true", "no"],), (None,)], "answers array<string>")
-    assert [(r.node, r.done, r.steps) for r in calculators.tree(df, SPECS["rabies-post-exposure-prophylaxis-treecalc"]).collect()] == [("q1", False, 0), ("none", True, 1), ("give_tested", True, 4), ("q1", False, 0)]
+    assert [(r.node, r.done, r.steps) for r in evaluation.tree(df, SPECS["rabies-post-exposure-prophylaxis-treecalc"]).collect()] == [("q1", False, 0), ("none", True, 1), ("give_tested", True, 4), ("q1", False, 0)]
 
 
 def test_convert_titration_and_tables(spark):
     df = spark.createDataFrame([(0, 70.0, False), (0, 154.323583, True), (9, 1.0, False)], "pair_index int, value double, reverse boolean")
-    assert [r.result for r in calculators.convert(df, SPECS["unit-conversions-weight"]).collect()] == [154.323583, 70.0, None]
+    assert [r.result for r in evaluation.convert(df, SPECS["unit-conversions-weight"]).collect()] == [154.323583, 70.0, None]
     df = spark.createDataFrame([(1, 500, 250, 1, 70), (2, 0, 0, 1, 70)], "id int, drug_amount int, infusate_volume int, dose int, weight int")
-    rows = calculators.titration(df, SPECS["cisatracurium"]).collect()
+    rows = evaluation.titration(df, SPECS["cisatracurium"]).collect()
     assert len(rows) == 20 and rows[0].dose == 0.5 and rows[0].value == 1.05
-    assert calculators.titration(df, SPECS["epinephrine"]).count() == 0 and calculators.titration(df, SPECS["epinephrine"], always=True).count() > 0
+    assert evaluation.titration(df, SPECS["epinephrine"]).count() == 0 and evaluation.titration(df, SPECS["epinephrine"], always=True).count() > 0
     drugs = [{"name": "n", "routes": [{"label": "IV", "conc": 4.0, "doses": [{"phase": "s", "amt": [0.1, 0.5], "perKg": True, "unit": "mcg"}, {"phase": "t", "amt": 6.0, "perKg": True, "max": 12.0}]}]}]
     rows = tables.dose_table(spark.createDataFrame([(70.0,), (None,)], "weight double"), drugs).collect()
     assert [(r.low, r.high, r.capped) for r in rows] == [(7.0, 35.0, False), (12.0, 12.0, True), (0.0, 0.0, False), (0.0, 0.0, False)]
@@ -109,8 +109,8 @@ def test_catalogue(spark, tmp_path):
         catalog.resolve(rows, "creatinine")
     titles = [r.title for r in catalog.search(rows, "anion gap").collect()]
     assert titles[0] == "Anion Gap" and len(titles) == 4
-    assert catalog.search(rows, None, category="Unit Conversions").count() == 9 == catalog.categories(rows).where("category = 'Unit Conversions'").first().calculators
-    assert {r.renderer: r.calculators for r in catalog.renderers(rows).collect()}["score"] == 10
+    assert catalog.search(rows, None, category="Unit Conversions").count() == 9 == catalog.categories(rows).where("category = 'Unit Conversions'").first().specifications
+    assert {r.renderer: r.specifications for r in catalog.renderers(rows).collect()}["score"] == 13
     assert catalog.page(catalog.names(rows), 5, 2).count() == 5
     with pytest.raises(ValueError):
         catalog.page(rows, 0)
@@ -119,3 +119,75 @@ def test_catalogue(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text(json.dumps(SPECS[k]))
     (tmp_path / "index.json").write_text("{}")
     assert {r.slug for r in catalog.load(spark, str(tmp_path)).collect()} == {"anion-gap", "4t-score"}
+
+
+def test_normal_distribution_equals_the_library(spark):
+    import math
+
+    from carecolumns.functions.normal import normal_cdf
+
+    xs = [k / 23 for k in range(-600, 600)] + [0.0, math.inf, -math.inf]
+    df = spark.createDataFrame([(x,) for x in [*xs, None, math.nan]], "x double")
+    plan = df.select(normal_cdf(F.col("x")).alias("p"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = [r.p for r in plan.collect()]
+    assert all(math.isclose(p, 0.5 * math.erfc(-x / math.sqrt(2)), rel_tol=1e-12, abs_tol=1e-300) for x, p in zip(xs, got, strict=False))
+    assert got[-2] is None and math.isnan(got[-1])
+
+
+def test_ladders_choose_fall_back_and_fail(spark):
+    rows = [{"threshold": float(t), "a": float(10 * t)} for t in range(1, 101)]
+    spec = {"slug": "s", "renderer": "formula", "inputs": [{"key": "x", "required": True}, {"key": "who", "required": True, "options": [{"value": 1.0, "label": "one"}, {"value": 2.0, "label": "two"}, {"value": 3.0, "label": "none"}]}],
+            "compute": {"steps": [{"key": "month_age", "expr": "x * 2"}], "outputs": [{"key": "y", "expr": "a + 1"}]},
+            "tables": {"lookups": [{"key": "Month_Age", "operator": "<", "columns": ["a"], "rows": rows, "select_key": "who", "select_value": 1.0}, {"key": "monthage", "operator": "<=", "columns": ["a"], "rows": rows[:5], "select_key": "who", "select_value": 2.0, "fallback": {"a": -1.0}}]}}
+    # the second table's key is no name of a step: it is never looked up, and with it the columns that both write
+    with pytest.raises(ScheduleError):
+        evaluation.formula(spark.createDataFrame([(1.0, "one")], "x double, who string"), spec)
+    spec["tables"]["lookups"][1]["key"] = "MONTH_AGE"
+    data = [(1.0, "one"), (1.0, "two"), (0.25, "two"), (49.9, "one"), (50.0, "one"), (9.0, "two"), (1.0, "none")]
+    out = evaluation.formula(spark.createDataFrame(data, "x double, who string"), spec, lookups=True).collect()
+    assert [r.outputs.y.value for r in out] == [31.0, 21.0, 11.0, 1001.0, None, 0.0, None] and [r.ok for r in out] == [True, True, True, True, False, True, False]
+    assert [(u.row_index, u.outside) for r in out[:6] for u in r.lookups_used or []] == [(2, False), (1, False), (0, False), (99, False), (4, True)] and len(out[5].warnings) == 1
+    assert tables.ladder_value(F.lit(1.0), rows[:3], ["a"]) is not None
+
+
+def test_bounds_and_units_of_a_form():
+    from carecolumns.operators.inputs import bounds_in, units_of
+
+    f = {"key": "t", "base_unit": "C", "constraints": {"min": 30.0, "exclusive_max": 45.0}, "units": [{"code": "F", "factor": 5 / 9, "offset": -160 / 9}, {"code": "C", "factor": 1.0}, {"code": "rev", "factor": -1.0, "offset": 0.0}]}
+    assert [bounds_in(f, "F")[k] for k in ("min", "max", "open_min", "open_max")] == [86.0, 113.0, False, True]
+    assert [bounds_in(f, "rev")[k] for k in ("min", "max", "open_min", "open_max")] == [-45.0, -30.0, True, False] and bounds_in(f, None)["min"] == 30.0
+    assert [(u["code"], u["is_base"]) for u in units_of(f)] == [("C", True), ("F", False), ("rev", False)] and units_of({"key": "x", "base_unit": "mg"})[0]["label"] == "mg"
+
+
+def test_random_vectors_against_plain_python(spark):
+    import math
+    import random
+
+    r = random.Random(7)
+    plain = {
+        "anion-gap": lambda v: {"ag": v["na"] - v["cl"] - v["hco3"]},
+        "creatinine-clearance-by-cockcroft-gault-age-16-years": lambda v: {"estimated_creatinine_clearance": v["sex"] * (140 - v["age"]) * v["weight"] / (72 * v["serum_creatinine"])},
+        "meld-score": lambda v: {"meld_score": 9.57 * math.log(4 if v["hemodialysis_twice_in_week_prior"] == 1 else v["creatinine"]) + 3.78 * math.log(v["bilirubin"]) + 11.2 * math.log(v["inr"]) + 6.43},
+        "body-surface-area-mosteller-method": lambda v: {"bsa": math.sqrt(v["height"] * v["weight"] / 3600)},
+    }
+    for slug, formula in plain.items():
+        spec = dict(SPECS[slug]) | {"display": {}}
+        vectors = []
+        for _ in range(200):
+            v = {}
+            for f in spec["inputs"]:
+                c = f.get("constraints") or {}
+                v[f["key"]] = r.choice([o["value"] for o in f["options"]]) if f.get("options") else round(r.uniform(max(c.get("min", 0.5), 0.1), c.get("max", 90)), 4)
+            vectors.append(v)
+        df = spark.createDataFrame([(i, *v.values()) for i, v in enumerate(vectors)], ", ".join(["i int", *[f"`{k}` double" for k in vectors[0]]]))
+        for row in evaluation.formula(df, spec).collect():
+            for k, want in formula(vectors[row.i]).items():
+                assert row.ok and math.isclose(row.outputs[k].value, want, rel_tol=1e-6, abs_tol=1e-6), (slug, vectors[row.i])
+
+
+def test_publish_and_load(spark, tmp_path):
+    made = catalog.frame(spark, [SPECS[k] for k in ("anion-gap", "4t-score")])
+    checks.publish(made, str(tmp_path / "out"))
+    assert checks.difference(made, spark.read.text(str(tmp_path / "out" / "specifications")).select(F.get_json_object("value", "$.slug").alias("slug"), F.col("value").alias("document"))).count() == 0
+    assert {r.slug for r in spark.read.json(str(tmp_path / "out" / "index")).collect()} == {"anion-gap", "4t-score"}

@@ -1,4 +1,4 @@
-"""Every registered calculator query against its SQL in DuckDB."""
+"""Every registered query against its SQL in DuckDB."""
 
 import math
 import os
