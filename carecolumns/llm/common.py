@@ -97,7 +97,7 @@ def batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def pieces(b: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(b: pa.RecordBatch, column: str, most: int = 600_000) -> Iterator[pa.RecordBatch]:
     """Slices of b whose texts hold about `most` bytes; a longer text is a slice of its own."""
     offsets = arrow_offsets(b.column(b.schema.get_field_index(column)))
     begin = 0
