@@ -13,7 +13,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import batch, small_batches
+from carecolumns.llm.common import batch, kept_for, small_batches
 
 #: Bytes of encoded chunks (by a rule of thumb for Python objects) and decided pairs that a worker keeps before it starts anew.
 KEPT_BYTES, KEPT_PAIRS = 80_000_000, 400_000
@@ -58,10 +57,9 @@ def _classes() -> tuple[str, str, str]:
     return ranges(r"\p{L}+"), ranges(r"\p{N}+"), ranges(r"\p{White_Space}+")
 
 
-@lru_cache(2)
 def codec_of(path: str) -> "Codec":
-    """One codec a Python worker, whatever the number of its tasks."""
-    return Codec(path)
+    """One codec a Python worker, whatever the number of its tasks, until another operator's tasks come."""
+    return kept_for("bpe", path, lambda: Codec(path))
 
 
 class Codec:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +79,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
 
 
+#: What this Python worker keeps from task to task, by the operator that it serves.
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept_for(operator: str, what: str = "", make: Callable[[], object] | None = None):
+    """What `make` gives, kept in a Python worker for later tasks of the operator. Workers serve many stages: tasks of another operator let it go."""
+    if others := [k for k in _kept if k[0] != operator]:
+        for k in others:
+            del _kept[k]
+        pa.default_memory_pool().release_unused()
+    if make is not None and (operator, what) not in _kept:
+        _kept[operator, what] = make()
+    return _kept.get((operator, what))
+
+
 #: Ids up to this number (some 30 MB) are sent to every executor; more are joined by a shuffle.
 FEW_IDS = 1_000_000
 

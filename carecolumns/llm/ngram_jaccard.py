@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carecolumns.llm import common
-from carecolumns.llm.common import FEW_IDS, as_bytes, batch, keep_ids, pieces, small_batches
+from carecolumns.llm.common import FEW_IDS, as_bytes, batch, keep_ids, kept_for, pieces, small_batches
 from carecolumns.llm.components import components
 from carecolumns.llm.words import mix, shingle_sets
 
@@ -38,7 +38,7 @@ BITS, LEAST, MOST = 2, 16, 1 << 14
 #: Rows in a block of the product, and rows of columns that are multiplied many at a time.
 BLOCK, SHORT = 1024, 64
 #: Pairs that a task remembers to give once, and tasks over which the columns of one group are dealt.
-SEEN, SHARES = 500_000, 8
+SEEN, SHARES = 200_000, 8
 #: Rows of a column beyond which it is dealt by pairs of blocks of about so many rows.
 LONG = 1024
 
@@ -83,6 +83,7 @@ def may_link(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes]) -> np
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, key, bits) of each text, and at the end the partition's counters, block by block (slot, key: packed)."""
+    kept_for("ngram_jaccard")
     counts = np.zeros(SKETCH, np.int64)
     names = ["doc_id", "n", "key", "bits", "slot"]
     for b in batches:
@@ -111,6 +112,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("ngram_jaccard")
         weight = order.value
         for b in batches:
             for p in pieces(b, "text"):

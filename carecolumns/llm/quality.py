@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import FEW_IDS, arrow_offsets, as_bytes, batch, cut, keep_ids, pieces, small_batches
+from carecolumns.llm.common import FEW_IDS, arrow_offsets, as_bytes, batch, cut, keep_ids, kept_for, pieces, small_batches
 from carecolumns.llm.words import Words
 
 #: Labelled documents that the classifier is fitted on: those of least hash, if there are more. Host and path posteriors use every document.
@@ -90,6 +90,7 @@ class Classifier:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept_for("quality")
     for b in batches:
         for p in pieces(b, "text"):
             yield batch(["doc_id", "x"], p.column(0), pa.array(list(measures(p.column(1))), pa.list_(pa.float64())))
@@ -97,6 +98,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("quality")
         for b in batches:
             for p in pieces(b, "text"):
                 odds = model.value.log_odds(measures(p.column(p.schema.get_field_index("text"))))
