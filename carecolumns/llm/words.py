@@ -1,7 +1,7 @@
 """Words and word shingles of whole batches of texts, hashed with NumPy instead of a loop over words.
 
 A word is `[^\\x20\\x09-\\x0D]+` of the UTF-8 bytes after A-Z are lower-cased. Its hash is a polynomial
-over random 64-bit codes of its bytes, taken from prefix sums over the batch and mixed at the end.
+over random 64-bit codes of its bytes, taken from prefix sums over blocks of the batch and mixed at the end.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Multipliers that give the five words of a shingle their places.
 _PLACES = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 SHINGLE = 5
+#: Bytes whose prefix sums are held at once.
+BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,12 +39,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse; those for words beyond 1 MB are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    steps = [np.full(n, base, np.uint64) for base in (_BASE, _INVERSE)]
+    for x in steps:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    if n <= 1 << 20:
+        _powers[:] = steps
+    return steps[0], steps[1]
 
 
 class Words:
@@ -67,10 +73,19 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.counts = np.bincount(self.doc, minlength=len(texts))
-        up, down = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[raw] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * _PLACES[1])
+        self.hash = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):
+            # the words of the next BLOCK bytes, or one longer word
+            a = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, a + BLOCK, "right")))
+            start, end = self.start[at:to] - a, self.end[at:to] - a
+            size = int(end[-1])
+            up, down = _power(size + 1)
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_CODES[raw[a : a + size]] * up[:size], out=sums[1:])
+            self.hash[at:to] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _PLACES[1])
+            at = to
 
     def bytes(self, i: int) -> bytes:
         return _LOWER[self.data[self.start[i] : self.end[i]]].tobytes()
