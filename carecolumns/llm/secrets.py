@@ -7,6 +7,7 @@ hundreds of rows, on the driver) and compiled to one SQL expression, which the e
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -156,7 +157,9 @@ def forest_sql(trees: list, f: str) -> str:
 def forest(spark: SparkSession) -> list:
     """The forest trained on labelled_findings(), with features computed by the same SQL as in a scan."""
     rows = labelled_findings()
-    df = spark.createDataFrame(rows, "b string, c string, a string, y int").coalesce(1)
+    # rows from a literal: createDataFrame would start Python workers for them
+    lines = F.from_json(F.lit(json.dumps([dict(zip("bcay", r, strict=True)) for r in rows])), "array<struct<b: string, c: string, a: string, y: int>>")
+    df = spark.range(0, 1, 1, 1).select(F.explode(lines).alias("r")).select("r.*")
     got = df.select(F.expr(f"array({', '.join(features('c', 'b', 'a'))})").alias("f"), "y").collect()  # as many rows as labelled
     return train(np.array([r.f for r in got]), np.array([r.y for r in got], float))
 
