@@ -74,7 +74,7 @@ def release(*frames: DataFrame) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that batches of long texts fit in a Python worker and those of short rows stay large; see that workers have this package."""
     ship(spark)
-    for k, v in (("maxBytesPerBatch", "4m"), ("maxRecordsPerBatch", "20000")):
+    for k, v in (("maxBytesPerBatch", "1m"), ("maxRecordsPerBatch", "20000")):
         if spark.conf.get(f"spark.sql.execution.arrow.{k}") != v:
             spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
 
