@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from carecolumns.llm.common import batch, kept_for, small_batches
 
 #: Bytes of encoded chunks (by a rule of thumb for Python objects) and decided pairs that a worker keeps before it starts anew.
-KEPT_BYTES, KEPT_PAIRS = 80_000_000, 400_000
+KEPT_BYTES, KEPT_PAIRS = 50_000_000, 400_000
 #: Symbols up to which merging scans the word for its best pair; longer words use a heap.
 SHORT = 48
 
