@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carecolumns.llm import bpe, html_text, lattice_lm, licenses, mixing, ngram_jaccard, parsing_fingerprint, permutation_index, quality, secrets
+from carecolumns.llm import bpe, hard_negatives, html_text, lattice_lm, lexical_packing, licenses, mixing, ngram_jaccard, parsing_fingerprint, permutation_index, quality, secrets, source_divergence
 from carecolumns.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lattice_lm, op3_secret_scan, op4_permutation_index, op5_ngram_jaccard, op6_parsing_fingerprint, op7_pareto_mixing, op8_bpe, op9_quality, op10_license_scan)}
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": ngram_jaccard.SQL, "op7_pareto_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
+
+def op12_lexical_packing(spark, sf_dir):
+    return lexical_packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lattice_lm, op3_secret_scan, op4_permutation_index, op5_ngram_jaccard, op6_parsing_fingerprint, op7_pareto_mixing, op8_bpe, op9_quality, op10_license_scan, op11_source_divergence, op12_lexical_packing, op13_hard_negatives)}
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": ngram_jaccard.SQL, "op7_pareto_mixing": mixing.SQL, "op10_license_scan": licenses.sql(), "op11_source_divergence": source_divergence.sql(), "op13_hard_negatives": hard_negatives.SQL}
