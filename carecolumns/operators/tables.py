@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecolumns.functions.normal import normal_cdf
 from carecolumns.functions.values import python_round
 
-#: Rows of a ladder up to which it is a chain of conditions; longer ones are joined by intervals.
+#: Rows of a ladder up to which it is a chain of conditions; longer ones are searched as arrays. Ladders that are tables themselves are joined (asof.py).
 CHAIN = 64
 
 
@@ -39,36 +39,6 @@ def ladder_index(x: Column, rows: list[dict], operator: str = "<") -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), out)
 
 
-def ladder_join(df: DataFrame, ladder: DataFrame, value: str, select: list[str] | None = None, operator: str = "<") -> DataFrame:
-    """As-of lookup in a long ladder (threshold, [select columns], others): each row of df meets the first threshold above its value, within equal select columns.
-
-    Rows and steps are sorted together once, by select columns and value, and each row takes the first step at or behind it: no pairs of rows and steps are made.
-    Without select columns the ladder, a reference table, is cut to half-open intervals by lag and df is joined on them. Rows above every threshold, null values
-    and NaN get nulls. Of equal thresholds the least others count.
-    """
-    select = select or []
-    others = [c for c in ladder.columns if c not in (*select, "threshold")]
-    step = F.struct("threshold", *others)
-    steps = ladder.where("threshold is not null").groupBy(*select, "threshold").agg(F.min(F.struct(*others)).alias("o")) if others else ladder.select(*select, "threshold").distinct()
-    steps = steps.select(*select, "threshold", *[F.col(f"o.{c}").alias(c) for c in others])
-    if not select:
-        steps = steps.withColumn("__low", F.lag("threshold").over(Window.orderBy("threshold")))
-        x = F.col(value)
-        above = F.col("__low").isNull() | ((x > F.col("__low")) if operator == "<=" else (x >= F.col("__low")))
-        below = (x <= F.col("threshold")) if operator == "<=" else (x < F.col("threshold"))
-        return df.join(steps, above & below & ~F.isnan(x), "left").drop("__low")
-    # at equal values a step stands behind the row where it counts for it, else before it
-    rank = 1 if operator == "<=" else -1
-    rows = df.select(*select, F.col(value).cast("double").alias("__x"), F.lit(0).alias("__kind"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(steps.select(step.alias("s")).schema["s"].dataType).alias("__step"))
-    marks = steps.select(*select, F.col("threshold").cast("double").alias("__x"), F.lit(rank).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), step.alias("__step"))
-    ahead = Window.partitionBy(*select).orderBy("__x", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = rows.unionByName(marks).withColumn("__step", F.first("__step", ignorenulls=True).over(ahead)).where("__kind = 0")
-    found = F.when(F.col("__x").isNotNull() & ~F.isnan("__x"), F.col("__step"))
-    for c in select:
-        found = F.when(F.col(c).isNotNull(), found)
-    return out.select("__row", found.alias("__step")).select("__row.*", "__step.*")
-
-
 def lms(x: Column, row: Column) -> tuple[Column, Column]:
     """(z, percentile) of a measurement by a row's l, m, s. l = 0 means the logarithm; measurements of 0 or less have none."""
     pos = F.when(x > 0, x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carecolumns.operators import evaluation, tables
+from carecolumns.operators import asof, evaluation, tables
 from carecolumns.operators.inputs import validate
 from carecolumns.sources import catalog
 from carecolumns.sources.definitions import specifications
@@ -187,7 +187,28 @@ def ladder_join(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     ladder = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("threshold")).agg(F.min("p_partkey").alias("step"))
     rows = part.select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_retailprice") * F.lit(0.97)).alias("x"))
-    return tables.ladder_join(rows, ladder, "x", ["brand"], "<=").select("p_partkey", "x", "threshold", "step")
+    return asof.ladder_join(rows, ladder, "x", ["brand"], "<=").select("p_partkey", "x", "threshold", "step")
+
+
+@_register("ladder_join_one_key", """
+with r as (select p_retailprice as threshold, min(p_partkey) as step from part where p_partkey % 3 = 0 group by 1), k as (select l_orderkey, l_linenumber, l_extendedprice / 40 as x from lineitem)
+select l_orderkey, l_linenumber, threshold, step from k asof left join r on k.x < r.threshold""")
+def ladder_join_one_key(spark, sf_dir):
+    ladder = _table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_retailprice").alias("threshold"), F.col("p_partkey").alias("step"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 40).alias("x"))
+    return asof.ladder_join(rows, ladder, "x").select("l_orderkey", "l_linenumber", "threshold", "step")
+
+
+@_register("ladder_interpolated", """
+with r as (select p_brand as brand, p_size::double as threshold, min(p_retailprice) as price from part group by 1, 2), k as (select p_partkey, p_brand as brand, p_retailprice % 60 - 5 as x from part),
+h as (select k.*, n.threshold as high, n.price as high_price from k asof left join r n on k.brand = n.brand and k.x <= n.threshold),
+b as (select h.*, l.threshold as low, l.price as low_price from h asof left join r l on h.brand = l.brand and h.x > l.threshold)
+select p_partkey, round(case when low is null then high_price when high is null then low_price else low_price + (high_price - low_price) * (x - low) / (high - low) end, 6) as price from b""")
+def ladder_interpolated(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    ladder = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("threshold")).agg(F.min("p_retailprice").alias("price"))
+    rows = part.select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_retailprice") % 60 - 5).alias("x"))
+    return asof.interpolated(rows, ladder, "x", ["price"], ["brand"]).select("p_partkey", F.round("price", 6).alias("price"))
 
 
 @_register("lms_scores", f"""
