@@ -263,4 +263,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from carecolumns import rule_queries  # noqa: E402, F401  (registers its queries here)
+from carecolumns import rule_queries, text_queries  # noqa: E402, F401  (they register their queries here)
