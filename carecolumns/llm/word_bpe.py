@@ -1,6 +1,6 @@
 """Ids of whole texts by a word-level BPE vocabulary (lower case, white space dropped, word ends marked), equal to those of the tokenizers library.
 
-Texts of printable ASCII and Latin-1 letters are cut into words by the vocabulary's own rule, and each distinct word is encoded once a Python worker. New words are
+Texts of ASCII and Latin-1 letters are cut into words by the vocabulary's own rule, and each distinct word is encoded once a Python worker. New words are
 merged many at a time: some of about one length stand in one matrix, and each step merges, in every word at once, the leftmost pair of least rank. The rules never join
 what ASCII white space parts, so of other texts only the chunks with other characters go through the library itself, as do special tokens and very long words.
 """
@@ -26,10 +26,12 @@ SIDE_BY_SIDE = 4096
 BLOCK = 1 << 20
 #: Fixed value: the rule by which the public vocabulary cuts words; letters, single digits, and runs of other signs.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same rule over printable ASCII and the letters of Latin-1, in lower case.
+#: The same rule over ASCII and the letters of Latin-1, in lower case.
 _LETTERS = "a-zß-öø-ÿ"
-_words = re.compile(RULE.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", f"{_LETTERS}0-9")).findall
-_plain = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_words = re.compile(RULE.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", rf"\t-\r {_LETTERS}0-9")).findall
+#: The same for texts of ASCII alone.
+_ascii_words = re.compile(RULE.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", r"\t-\r a-z0-9")).findall
+_plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 _chunks = re.compile(r"[^\t-\r ]+").findall
 _gap = re.compile(r"[\t-\r ]").search
 NONE = np.int32(1 << 30)
@@ -162,7 +164,9 @@ class WordCodec:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         split: list[list[str]] = []
         for t in texts:
-            if _plain(t) and "<|" not in t:
+            if t.isascii() and "<|" not in t:
+                split.append(_ascii_words(t.lower()))
+            elif _plain(t) and "<|" not in t:
                 split.append(_words(t.lower()))
             else:
                 # chunks with other characters are marked by a space, which no word holds
