@@ -170,27 +170,32 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums over one range of terms for all pairs of sources, of which one is in block i and the other in block j."""
-    lang, _, i, j = key
-    there = rows["ordinal"].isna()
-    sources = rows[there].sort_values("source")
-    names, width = sources["source"].tolist(), int(sources["width"].iloc[0])
-    p = np.repeat(sources["p"].to_numpy(np.int64)[:, None], width, axis=1)
-    counted = rows[~there]
-    place = {s: k for k, s in enumerate(names)}
-    if width and len(counted):
-        p[counted["source"].map(place).to_numpy(np.int64), counted["ordinal"].to_numpy(np.int64) % TILE_TERMS] = counted["p"].to_numpy(np.int64)
-    block = sources["block"].to_numpy()
-    a, b, value = [], [], []
-    for k in range(len(names)):
-        others = np.flatnonzero(block[k + 1 :] != block[k]) + k + 1 if i != j else np.arange(k + 1, len(names))
-        for at in range(0, len(others), 16):
-            some = others[at : at + 16]
-            value += divergence(p[k][None], p[some]).sum(1).tolist()
-            a += [names[k]] * len(some)
-            b += [names[x] for x in some]
-    return pd.DataFrame({"lang": pd.Series([lang] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "value": np.array(value, np.int64)})
+def _tile(terms: int):
+    """Sums over one range of `terms` terms for all pairs of sources, of which one is in block i and the other in block j."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lang, _, i, j = key
+        there = rows["ordinal"].isna()
+        sources = rows[there].sort_values("source")
+        names, width = sources["source"].tolist(), int(sources["width"].iloc[0])
+        p = np.repeat(sources["p"].to_numpy(np.int64)[:, None], width, axis=1)
+        counted, place = rows[~there], {s: k for k, s in enumerate(names)}
+        if width and len(counted):
+            p[counted["source"].map(place).to_numpy(np.int64), counted["ordinal"].to_numpy(np.int64) % terms] = counted["p"].to_numpy(np.int64)
+        block = sources["block"].to_numpy()
+        a, b, value = [], [], []
+        for k in range(len(names)):
+            others = np.arange(k + 1, len(names))
+            if i != j:
+                others = others[block[k + 1 :] != block[k]]
+            for at in range(0, len(others), 16):
+                some = others[at : at + 16]
+                value += divergence(p[k][None], p[some]).sum(1).tolist()
+                a += [names[k]] * len(some)
+                b += [names[x] for x in some]
+        return pd.DataFrame({"lang": pd.Series([lang] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "value": np.array(value, np.int64)})
+
+    return run
 
 
 #: p of a count among `n_all` counts of `v` kept terms, exact for counts of any size.
@@ -254,7 +259,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = 10, sent_bytes: int =
     rows = counted.join(tiled.select("lang", "source", "block", "blocks"), ["lang", "source"]).select("lang", "source", "block", "blocks", F.floor(F.col("ordinal") / TILE_TERMS).alias("tile"), "ordinal", "p", F.lit(None).cast("int").alias("width"))
     every = there.unionByName(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = every.select("lang", "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "source", "block", "ordinal", "p", "width")
-    sums = every.groupBy("lang", "tile", "i", "j").applyInPandas(_tile, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = every.groupBy("lang", "tile", "i", "j").applyInPandas(_tile(TILE_TERMS), "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = sums.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value").select("lang", "x.source", "x.item", "value")
     pair_rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", pair_rank.alias("rank"))

@@ -155,13 +155,13 @@ class WordCodec:
         """The ids of each text as little-endian numbers of `dtype`."""
         if not self.known_rules:
             return [self.by_library(t) for t in texts]
-        if self.known_bytes > KEPT_BYTES // 2:
-            self.before, self.known, self.known_bytes = self.known, {}, 0
         if max(map(len, texts), default=0) > 2 * BLOCK:
-            return [b"".join(i for part in self._blocks(t) for i in self.encode([part])) if len(t) > 2 * BLOCK and _gap(t, 2 * BLOCK) else self._encoded([t])[0] for t in texts]
+            return [b"".join(self._encoded([part])[0] for part in self._blocks(t)) for t in texts]
         return self._encoded(texts)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
+        if self.known_bytes > KEPT_BYTES // 2:
+            self.before, self.known, self.known_bytes = self.known, {}, 0
         split: list[list[str]] = []
         for t in texts:
             if t.isascii() and "<|" not in t:
