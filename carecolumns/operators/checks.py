@@ -6,39 +6,32 @@ from collections.abc import Iterable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecolumns.operators import evaluation
 from carecolumns.sources import catalog
 
-#: Probes of a specification.
-PROBES = 12
 #: The golden ratio's fraction: multiples of it spread evenly over 0 to 1, whatever their number.
 GOLDEN = 0.6180339887498949
+TURN = "__turn"
 
 
-def probe(f: dict, turn: int, place: int) -> str:
-    """A value of a field: an option in turn, or a place in its range by a low-discrepancy sequence that starts elsewhere for every field."""
+def probe(f: dict, turn: Column, place: int) -> Column:
+    """A value of a field for each turn: an option in turn, or a place in its range by a low-discrepancy sequence that starts elsewhere for every field."""
     options = f.get("options") or []
     if options and not f.get("options_incomplete"):
-        return str(options[(turn + place) % len(options)]["value"])
+        return F.get(F.array(*[F.lit(str(o["value"])) for o in options]), ((turn + place) % len(options)).cast("int"))
     c = f.get("constraints") or {}
     low = c.get("min", c.get("exclusive_min", 1.0))
     high = c.get("max", c.get("exclusive_max", 4 * abs(low) + 25))
-    share = ((turn + 1) * GOLDEN + place / 7) % 1
-    return str(low + (high - low) * (0.04 + 0.92 * share))
+    share = ((turn + 1) * F.lit(GOLDEN) + F.lit(place / 7)) % F.lit(1.0)
+    return (F.lit(float(low)) + F.lit(float(high - low)) * (F.lit(0.04) + F.lit(0.92) * share)).cast("string")
 
 
-def _table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
-    """Rows as an inline table of the plan: projections over it are computed while planning, without a task or compiled code for each of many specifications."""
-    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({', '.join(f'`{c}`' for c in columns)})")
-
-
-def probes(spark: SparkSession, spec: dict, many: int = PROBES) -> DataFrame:
-    fields = spec.get("inputs") or []
-    return _table(spark, ["probe", *[f["key"] for f in fields]], [(turn, *[probe(f, turn, place) for place, f in enumerate(fields)]) for turn in range(many)])
+def probes(turns: DataFrame, turn: str, spec: dict) -> DataFrame:
+    """(TURN, fields): a probe of a specification for each row, by its number (0 or more)."""
+    return turns.select(F.col(turn).alias(TURN), *[probe(f, F.col(turn), place).alias(f["key"]) for place, f in enumerate(spec.get("inputs") or [])])
 
 
 def _computed(specs: Iterable[dict]) -> list[dict]:
@@ -52,11 +45,11 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def evaluate_all(spark: SparkSession, specs: Iterable[dict]) -> DataFrame:
-    """slug, renderer, probes, ok: how many probes of each formula and table have all their outputs. Plans are built side by side and run as one."""
+def evaluate_all(turns: DataFrame, turn: str, specs: Iterable[dict]) -> DataFrame:
+    """slug, renderer, probes, ok: how many probes of each formula and table, one a row of `turns`, have all their outputs. Plans are built side by side and run as one."""
 
     def part(s: dict) -> DataFrame:
-        out = evaluation.formula(probes(spark, s), s)
+        out = evaluation.formula(probes(turns, turn, s), s)
         return out.agg(F.count("*").alias("probes"), F.count_if("ok").alias("ok")).select(F.lit(s["slug"]).alias("slug"), F.lit(s["renderer"]).alias("renderer"), "probes", "ok")
 
     with ThreadPool(4) as pool:
@@ -68,25 +61,22 @@ def summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("renderer").agg(F.count("*").alias("specifications"), F.count_if(F.expr("ok > 0")).alias("evaluating"))
 
 
-def dead_parts(spark: SparkSession, specs: Iterable[dict], many: int = PROBES) -> DataFrame:
-    """slug, part, bases, live: each choice field with the number of base probes whose results change when only its option does, and `*` for the whole specification
-    with those whose result is another than the first. live = 0 tells a choice that no result depends on, or a result that is always the same."""
+def dead_parts(turns: DataFrame, turn: str, specs: Iterable[dict]) -> DataFrame:
+    """slug, part, bases, live: each choice field with the number of base probes, one a row of `turns`, whose results change when only its option does, and `*` for the whole
+    specification with the number of different results less one. live = 0 tells a choice that no result depends on, or a result that is always the same."""
     parts = []
     for s in _computed(specs):
-        fields = s.get("inputs") or []
-        rows = []
-        for turn in range(many):
-            base = [probe(f, turn, place) for place, f in enumerate(fields)]
-            rows.append((turn, "*", *base))
-            for place, f in enumerate(fields):
-                for o in f.get("options") or []:
-                    rows.append((turn, f["key"], *base[:place], str(o["value"]), *base[place + 1 :]))
-        df = _table(spark, ["__turn", "__part", *[f["key"] for f in fields]], rows)
-        out = evaluation.formula(df, s).where("ok").select("__turn", "__part", F.to_json("outputs").alias("result"))
-        each = out.where("__part <> '*'").groupBy("__part", "__turn").agg((F.count_distinct("result") > 1).alias("moves")).groupBy("__part").agg(F.count("*").alias("bases"), F.count_if("moves").alias("live"))
+        fields = [f["key"] for f in s.get("inputs") or []]
+        base = probes(turns, turn, s)
+        # a base as it is, and once for each option of each choice
+        other = [F.struct(F.lit("*").alias("part"), F.lit(None).cast("string").alias("value"))]
+        other += [F.struct(F.lit(f["key"]).alias("part"), F.lit(str(o["value"])).alias("value")) for f in s.get("inputs") or [] for o in f.get("options") or []]
+        each = base.withColumn("__x", F.explode(F.array(*other))).select(TURN, F.col("__x.part").alias("__part"), *[F.when(F.col("__x.part") == k, F.col("__x.value")).otherwise(F.col(f"`{k}`")).alias(k) for k in fields])
+        out = evaluation.formula(each, s).where("ok").select(TURN, "__part", F.to_json("outputs").alias("result"))
+        moved = out.where("__part <> '*'").groupBy("__part", TURN).agg((F.count_distinct("result") > 1).alias("moves")).groupBy("__part").agg(F.count("*").alias("bases"), F.count_if("moves").alias("live"))
         whole = out.where("__part = '*'").agg(F.lit("*").alias("__part"), F.count("*").alias("bases"), (F.count_distinct("result") - 1).alias("live"))
-        parts.append(each.unionByName(whole).select(F.lit(s["slug"]).alias("slug"), F.col("__part").alias("part"), "bases", "live"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(moved.unionByName(whole).select(F.lit(s["slug"]).alias("slug"), F.col("__part").alias("part"), "bases", "live"))
+    return _together(parts)
 
 
 def score_ranges(groups: DataFrame, options: DataFrame) -> DataFrame:
@@ -100,11 +90,10 @@ def score_ranges(groups: DataFrame, options: DataFrame) -> DataFrame:
     return each.groupBy("slug").agg(F.sum(F.when(many, F.col("minus")).otherwise(F.col("least"))).alias("low"), F.sum(F.when(many, F.col("plus")).otherwise(F.col("most"))).alias("high"))
 
 
-def invariants(spark: SparkSession, specs: Iterable[dict]) -> DataFrame:
-    """slug, rule, detail of each broken rule: bounds out of order, options repeated, defaults out of bounds, bands that no total reaches or whose range is there twice
+def invariants(catalogue: DataFrame) -> DataFrame:
+    """slug, rule, detail of each broken rule of a catalogue: bounds out of order, options repeated, defaults out of bounds, bands that no total reaches or whose range is there twice
     under labels that do not tell them apart, labels without a word, ladders that do not rise, pairs repeated, tree edges that lead nowhere."""
-    cat = catalog.frame(spark, specs)
-    part = lambda what: catalog.children(cat, what)
+    part = lambda what: catalog.children(catalogue, what)
     say = lambda df, rule, detail: df.select("slug", F.lit(rule).alias("rule"), F.col(detail).alias("detail"))
     fields = part("fields").withColumns({"low": F.coalesce("constraints.min", "constraints.exclusive_min"), "high": F.coalesce("constraints.max", "constraints.exclusive_max")})
     default = F.col("default").try_cast("double")

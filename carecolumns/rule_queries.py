@@ -179,77 +179,116 @@ def catalog_difference(spark, sf_dir):
     return checks.difference(part.where("p_partkey % 7 <> 0"), part.where("p_partkey % 5 <> 0").withColumn("document", changed))
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    """SQL of a table written out: what hand-made checks of the shipped specifications must give."""
-    cell = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::bigint" if isinstance(v, int) else f"{v}::double"
-    return f"select {columns} from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
-
-
-_SHIPPED = specifications()
-
-
-@_register("catalog_categories", _values("category, specifications", [
-    ("Blood", 3), ("Body measures", 12), ("Children", 3), ("Doses and infusions", 25), ("Drug levels", 2), ("Heart", 9), ("Hormones", 1), ("Infections", 2), ("Intensive care", 1), ("Kidney", 14), ("Liver", 5), ("Lungs", 2),
-    ("Nerves", 2), ("Pain", 1), ("Poisoning", 2), ("Pregnancy", 1), ("Salts, acids and water", 13), ("Unit Conversions", 9),
-]))
+@_register("catalog_search_ranks", rf"""
+with d as (select 'part-' || p_partkey as slug, case p_partkey % 4 when 0 then upper(p_name) || '!' when 1 then 'the ' || p_name when 2 then split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) else 'item' end as title, case when p_partkey % 4 = 3 then p_name else p_type end as category from part),
+n as (select *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as t, trim(regexp_replace(lower(title || ' ' || slug || ' ' || category), '[^a-z0-9]+', ' ', 'g')) as hay from d)
+select slug, title, case when t like 'small ring%' then 0 when t like '%small ring%' then 1 when t like '%small%' and t like '%ring%' then 2 else 3 end as rank from n where hay like '%small%' and hay like '%ring%'""")
+def catalog_search_ranks(spark, sf_dir):
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.when(k % 4 == 0, F.concat(F.upper("p_name"), F.lit("!"))).when(k % 4 == 1, F.concat(F.lit("the "), "p_name")).when(k % 4 == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", "), F.split_part("p_name", F.lit(" "), F.lit(1)))).otherwise("item")
+    rows = part.select(F.concat(F.lit("part-"), k).alias("slug"), title.alias("title"), F.when(k % 4 == 3, F.col("p_name")).otherwise(F.col("p_type")).alias("category"), F.lit("part").alias("renderer"))
+    return catalog.search(rows, "Small  Ring").select("slug", "title", F.col("rank").cast("int").alias("rank"))
+
+
+#: A specification a part, of each kind in turn, with faults by the part's key: (kind, its document as SQL over k, s and name, without the head that all share).
+_KINDS = {
+    "formula": """'"inputs": [{"key": "x", "label": "X", "constraints": {"min": ' || s || ', "max": ' || (s + k % 7 - 1) || '}}, {"key": "y", "label": "' || case when k % 4 = 0 then '' else 'Y' end || '", "constraints": {"min": 0, "max": 9}, "default": ' || k % 12
+      || '}, {"key": "z", "label": "Z", "options": [{"label": "1", "value": "1"}, {"label": "one", "value": "' || case when k % 3 = 0 then '1' else '2' end || '"}]}], "compute": {"steps": [], "outputs": [' || case when k % 2 = 0 then '{"key": "r", "expr": "x"}' else '' end || ']}'""",
+    "score": """'"scoring": {"groups": [{"key": "g", "selection": "multiple", "options": [{"key": "o", "points": 2}, {"key": "p", "points": -1}]}], "bands": [{"min": 0, "max": 1, "label": "low"}, {"min": 0, "max": 1, "label": "less"}, '
+      || case when k % 3 = 0 then '{"min": 3, "max": 4, "label": "never"}' else '{"min": 2, "max": 2, "label": "some"}' end || ', {"min": 2, "max": 2, "label": "' || case when k % 4 = 0 then '3% ** 5%' else 'more' end || '"}]}'""",
+    "titration_table": """'"tables": {"dose_ladder": {"values": [1, 2, ' || (2 + k % 2) || ']}, "lookups": [{"key": "age", "select_value": "1", "rows": [{"threshold": 1}, {"threshold": 3}]}, {"key": "age", "select_value": "2", "rows": [{"threshold": 4}, {"threshold": ' || (3 + k % 3) || '}]}]}'""",
+    "convert": """'"tables": {"pairs": [{"from": "u' || k % 40 || '", "to": "lb", "factor": ' || s || '}, {"from": "u' || k % 40 || '", "to": "' || case when k % 2 = 0 then 'lb' else 'oz' end || '", "factor": 2.5}]}'""",
+    "tree": """'"tables": {"nodes": {"q": {"yes": "end", "no": "' || case when k % 3 = 0 then 'nowhere' else 'end' end || '"}}, "outcomes": {"end": "x"}}'""",
+}
+_OF_PARTS = "(select p_partkey as k, p_size as s, 'part-' || p_partkey as slug, case when p_partkey % 13 <> 0 then p_name else ' ' end as title, case when p_partkey % 11 <> 0 then p_type end as category, case p_partkey % 5 " + " ".join(f"when {i} then '{kind}'" for i, kind in enumerate(_KINDS)) + " end as renderer from part)"
+
+
+def _catalogue(spark, sf_dir):
+    """The specifications of all parts."""
+    body = "case k % 5 " + " ".join(f"when {i} then {sql}" for i, sql in enumerate(_KINDS.values())) + " end"
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    rows = part.select(k.alias("k"), F.col("p_size").alias("s"), F.concat(F.lit("part-"), k).alias("slug"), F.when(k % 13 != 0, F.col("p_name")).otherwise(" ").alias("title"), F.when(k % 11 != 0, F.col("p_type")).alias("category"), F.get(F.array(*map(F.lit, _KINDS)), (k % 5).cast("int")).alias("renderer"))
+    return rows.select("slug", "title", "category", "renderer", F.concat(F.lit("{"), F.expr(body), F.lit("}")).alias("document"))
+
+
+@_register("catalog_categories", f"select coalesce(category, 'Uncategorised') as category, count(*) as specifications from {_OF_PARTS} group by 1")
 def catalog_categories(spark, sf_dir):
-    return catalog.categories(catalog.built_in(spark))
+    return catalog.categories(_catalogue(spark, sf_dir))
 
 
-@_register("catalog_renderers", _values("renderer, specifications", [("convert", 9), ("formula", 72), ("score", 13), ("titration_table", 12), ("tree", 1)]))
+@_register("catalog_renderers", f"select renderer, count(*) as specifications from {_OF_PARTS} group by 1")
 def catalog_renderers(spark, sf_dir):
-    return catalog.renderers(catalog.built_in(spark))
+    return catalog.renderers(_catalogue(spark, sf_dir))
+
+
+@_register("invariants", f"""
+with p as (select * from {_OF_PARTS})
+select slug, 'bounds' as rule, 'x' as detail from p where renderer = 'formula' and k % 7 <= 1
+union all select slug, 'default', 'y' from p where renderer = 'formula' and k % 12 > 9
+union all select slug, 'options', 'z' from p where renderer = 'formula' and k % 3 = 0
+union all select slug, 'band', 'never' from p where renderer = 'score' and k % 3 = 0
+union all select slug, 'span', 'less' from p where renderer = 'score'
+union all select slug, 'span', case when k % 4 = 0 then '3% ** 5%' else 'more' end from p where renderer = 'score' and k % 3 <> 0
+union all select slug, 'label', '3% ** 5%' from p where renderer = 'score' and k % 4 = 0
+union all select slug, 'ladder', 'dose' from p where renderer = 'titration_table' and k % 2 = 0
+union all select slug, 'ladder', 'age 2' from p where renderer = 'titration_table' and k % 3 <= 1
+union all select slug, 'pair', 'u' || k % 40 from p where renderer = 'convert' and k % 2 = 0
+union all select slug, 'edge', 'q' from p where renderer = 'tree' and k % 3 = 0""")
+def invariants(spark, sf_dir):
+    return checks.invariants(_catalogue(spark, sf_dir))
 
 
-#: Every probe of every formula and table has all its outputs.
-@_register("evaluate_all", _values("slug, renderer, probes, ok", [(s["slug"], s["renderer"], checks.PROBES, checks.PROBES) for s in _SHIPPED.values() if s["renderer"] in ("formula", "titration_table")]))
-def evaluate_all(spark, sf_dir):
-    return checks.evaluate_all(spark, _SHIPPED.values())
+@_register("invariants_of_broken", f"""
+with p as (select * from {_OF_PARTS}), n as (select unnest([case when renderer = 'formula' and k % 7 <= 1 then 'bounds' end, case when renderer = 'formula' and k % 12 > 9 then 'default' end, case when renderer = 'formula' and k % 3 = 0 then 'options' end,
+  case when renderer = 'score' and k % 3 = 0 then 'band' end, case when renderer = 'score' then 'span' end, case when renderer = 'score' and k % 3 <> 0 then 'span' end, case when renderer = 'score' and k % 4 = 0 then 'label' end,
+  case when renderer = 'titration_table' and k % 2 = 0 then 'ladder' end, case when renderer = 'titration_table' and k % 3 <= 1 then 'ladder' end, case when renderer = 'convert' and k % 2 = 0 then 'pair' end, case when renderer = 'tree' and k % 3 = 0 then 'edge' end]) as rule from p)
+select rule, count(*) as broken from n where rule is not null group by 1""")
+def invariants_of_broken(spark, sf_dir):
+    return checks.invariants(_catalogue(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("broken"))
 
 
-@_register("evaluation_summary", _values("renderer, specifications, evaluating", [("formula", 5, 5), ("titration_table", 2, 2)]))
-def evaluation_summary(spark, sf_dir):
-    some = ("anion-gap", "meld-score", "osmolal-gap", "valganciclovir", "water-deficit-in-hypernatremia", "dopamine", "cisatracurium")
-    return checks.summary(checks.evaluate_all(spark, [_SHIPPED[k] for k in some]))
+@_register("merged_pairs", f"""
+with x as (select slug, 0 as position, 'u' || k % 40 as from_unit, 'lb' as to_unit, s::double as factor from {_OF_PARTS} where renderer = 'convert' union all select slug, 1, 'u' || k % 40, case when k % 2 = 0 then 'lb' else 'oz' end, 2.5 from {_OF_PARTS} where renderer = 'convert')
+select from_unit, to_unit, factor, slug from x qualify row_number() over (partition by from_unit, to_unit order by slug, position) = 1""")
+def merged_pairs(spark, sf_dir):
+    return checks.merged_pairs(_catalogue(spark, sf_dir)).select(F.col("from").alias("from_unit"), F.col("to").alias("to_unit"), "factor", "slug")
 
 
-#: Known oddities of the published scores: bands beyond what their points can reach.
-@_register("invariants", _values("slug, rule, detail", [("pulmonary-embolism-wells-score", "band", "High probability"), ("cha2ds2-vasc-score", "band", "0% per year")]))
-def invariants(spark, sf_dir):
-    return checks.invariants(spark, _SHIPPED.values())
+@_register("completeness", f"""
+with m as (select slug, (k % 13 <> 0)::int + (k % 11 <> 0)::int + case renderer when 'formula' then (k % 4 <> 0)::int + 1 + (k % 2 = 0)::int when 'score' then 1 when 'convert' then 1 else 0 end as passed, case renderer when 'formula' then 5 when 'tree' then 2 else 3 end as applicable from {_OF_PARTS})
+select slug, passed, applicable, round(100.0 * passed / applicable, 1) as completeness from m""")
+def completeness(spark, sf_dir):
+    return checks.graded(_catalogue(spark, sf_dir))
 
 
-_BROKEN = [
-    {"slug": "a", "title": "A", "renderer": "formula", "inputs": [{"key": "x", "constraints": {"min": 5, "max": 5}}, {"key": "y", "constraints": {"min": 0, "max": 9}, "default": 10}, {"key": "z", "options": [{"label": "1", "value": "1"}, {"label": "one", "value": "1"}]}], "compute": {"steps": [], "outputs": []}},
-    {"slug": "b", "title": "B", "renderer": "score", "scoring": {"groups": [{"key": "g", "selection": "multiple", "options": [{"key": "o", "points": 2}, {"key": "p", "points": -1}]}], "bands": [{"min": 0, "max": 1, "label": "low"}, {"min": 0, "max": 1, "label": "less"}, {"min": 3, "max": 4, "label": "never"}, {"min": 2, "max": 2, "label": "3% ** 5%"}]}},
-    {"slug": "c", "title": "C", "renderer": "titration_table", "tables": {"dose_ladder": {"values": [1, 2, 2]}, "lookups": [{"key": "age", "select_value": "1", "rows": [{"threshold": 1}, {"threshold": 3}]}, {"key": "age", "select_value": "2", "rows": [{"threshold": 4}, {"threshold": 3}]}]}},
-    {"slug": "d", "title": "D", "renderer": "convert", "tables": {"pairs": [{"from": "kg", "to": "lb", "factor": 2.2}, {"from": "kg", "to": "lb", "factor": 2.2046}]}},
-    {"slug": "e", "title": "E", "renderer": "tree", "tables": {"nodes": {"q": {"yes": "end", "no": "nowhere"}}, "outcomes": {"end": "x"}}},
-]
+_SHIPPED = specifications()
+_SLUGS = lambda specs: "(values " + ", ".join(f"('{s['slug']}', '{s['renderer']}')" for s in specs) + ") s(slug, renderer)"
 
 
-@_register("invariants_of_broken", _values("slug, rule, detail", [
-    ("a", "bounds", "x"), ("a", "default", "y"), ("a", "options", "z"), ("b", "span", "less"), ("b", "band", "never"), ("b", "label", "3% ** 5%"), ("c", "ladder", "dose"), ("c", "ladder", "age 2"), ("d", "pair", "kg"), ("e", "edge", "q"),
-]))
-def invariants_of_broken(spark, sf_dir):
-    return checks.invariants(spark, _BROKEN)
+def _turns(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("turn"))
 
 
-@_register("merged_pairs", _values("from_unit, to_unit, factor, slug", [("kg", "lb", 2.2, "d"), ("lb", "oz", 16.0, "f"), ("oz", "g", 28.35, "f")]))
-def merged_pairs(spark, sf_dir):
-    more = {"slug": "f", "title": "F", "renderer": "convert", "tables": {"pairs": [{"from": "lb", "to": "oz", "factor": 16.0}, {"from": "oz", "to": "g", "factor": 28.35}, {"from": "kg", "to": "lb", "factor": 2.0}, {"from": "lb", "to": "oz", "factor": 15.0}]}}
-    return checks.merged_pairs(catalog.frame(spark, [*_BROKEN, more])).select(F.col("from").alias("from_unit"), F.col("to").alias("to_unit"), "factor", "slug")
+#: Nine tenths at least of the probes of every formula and table, one a customer, have all their outputs.
+@_register("evaluate_all", f"select slug, renderer, count(*) as probes, true as evaluates from customer, {_SLUGS(s for s in _SHIPPED.values() if s['renderer'] in ('formula', 'titration_table'))} group by 1, 2")
+def evaluate_all(spark, sf_dir):
+    return checks.evaluate_all(_turns(spark, sf_dir), "turn", _SHIPPED.values()).select("slug", "renderer", "probes", (F.col("ok") * 10 >= F.col("probes") * 9).alias("evaluates"))
 
 
-@_register("completeness", _values("slug, passed, applicable, completeness", [("a", 2, 5, 40.0), ("b", 2, 3, 66.7), ("c", 1, 3, 33.3), ("d", 2, 3, 66.7), ("e", 1, 2, 50.0), ("anion-gap", 4, 5, 80.0), ("4t-score", 3, 3, 100.0), ("unit-conversions-length", 3, 3, 100.0)]))
-def completeness(spark, sf_dir):
-    return checks.graded(catalog.frame(spark, [*_BROKEN, *(_SHIPPED[k] for k in ("anion-gap", "4t-score", "unit-conversions-length"))]))
+_SOME = [_SHIPPED[k] for k in ("anion-gap", "meld-score", "osmolal-gap", "valganciclovir", "water-deficit-in-hypernatremia", "dopamine", "cisatracurium")]
+
+
+@_register("evaluation_summary", f"select renderer, count(distinct slug) as specifications, count(distinct slug) filter (c_custkey is not null) as evaluating from {_SLUGS(_SOME)} left join customer on true group by 1")
+def evaluation_summary(spark, sf_dir):
+    return checks.summary(checks.evaluate_all(_turns(spark, sf_dir), "turn", _SOME))
 
 
 _DEAD = _spec([{"key": "used", "options": [{"value": 1.0}, {"value": 2.0}]}, {"key": "unused", "options": [{"value": 1.0}, {"value": 2.0}, {"value": 3.0}]}, {"key": "x", "constraints": {"min": 1, "max": 2}}], {"y": "used * x"})
 _CONSTANT = _spec([{"key": "x", "constraints": {"min": 1, "max": 2}}], {"y": "x * 0"}) | {"slug": "constant"}
 
 
-@_register("dead_parts", _values("slug, part, bases, live", [("made", "used", 12, 12), ("made", "unused", 12, 0), ("made", "*", 12, 11), ("constant", "*", 12, 0)]))
+@_register("dead_parts", f"""
+with t as (select c_custkey as turn, (1 + c_custkey % 2) * (1 + (0.04::double + 0.92::double * (((c_custkey + 1) * {checks.GOLDEN!r}::double + {2 / 7!r}::double) % 1.0::double))) as y from customer)
+select 'made' as slug, 'used' as part, count(*) as bases, count(*) as live from t union all select 'made', 'unused', count(*), 0 from t union all select 'made', '*', count(*), count(distinct y) - 1 from t union all select 'constant', '*', count(*), 0 from t""")
 def dead_parts(spark, sf_dir):
-    return checks.dead_parts(spark, [_DEAD, _CONSTANT])
+    return checks.dead_parts(_turns(spark, sf_dir), "turn", [_DEAD, _CONSTANT])

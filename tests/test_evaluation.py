@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carecolumns.functions.values import number
+from carecolumns.operators.asof import ladder_join
 from carecolumns.operators import checks, evaluation, tables
 from carecolumns.plans.schedule import Item, ScheduleError, run, schedule
 from carecolumns.sources import catalog
@@ -62,9 +63,9 @@ def test_schedule_rules(spark):
 
 
 def test_every_specification_evaluates(spark):
-    rows = checks.evaluate_all(spark, [s for k, s in SPECS.items() if k in ("anion-gap", "dopamine", "meld-score", "epinephrine-weight-based", "water-deficit-in-hypernatremia", "valganciclovir", "bivalirudin", "body-mass-index-bmi")]).collect()
+    rows = checks.evaluate_all(spark.range(12), "id", [s for k, s in SPECS.items() if k in ("anion-gap", "dopamine", "meld-score", "epinephrine-weight-based", "water-deficit-in-hypernatremia", "valganciclovir", "bivalirudin", "body-mass-index-bmi")]).collect()
     assert len(rows) == 8 and all(r.ok > 0 for r in rows)
-    assert {(r.slug, r.rule) for r in checks.invariants(spark, SPECS.values()).collect()} <= {("pulmonary-embolism-wells-score", "band"), ("cha2ds2-vasc-score", "band")}
+    assert {(r.slug, r.rule) for r in checks.invariants(catalog.built_in(spark)).collect()} <= {("pulmonary-embolism-wells-score", "band"), ("cha2ds2-vasc-score", "band")}
 
 
 def test_scores_bands_and_tree(spark):
@@ -98,7 +99,7 @@ def test_convert_titration_and_tables(spark):
     ladder = [{"threshold": 10.0, "l": 1.0}, {"threshold": 20.0, "l": 2.0}]
     assert [r[0] for r in df.select(tables.ladder_value(x, ladder, ["l"])["l"]).collect()] == [1.0, 2.0, None, None]
     assert [r[0] for r in df.select(tables.ladder_value(x, ladder, ["l"], "<=", {"l": 9.0})["l"]).collect()] == [1.0, 1.0, 9.0, None]
-    joined = tables.ladder_join(df, spark.createDataFrame([(10.0, 1), (20.0, 2)], "threshold double, step int"), "x")
+    joined = ladder_join(df, spark.createDataFrame([(10.0, 1), (20.0, 2)], "threshold double, step int"), "x")
     assert sorted(((r.x or -1, r.step) for r in joined.collect())) == [(-1, None), (5.0, 1), (10.0, 2), (99.0, None)]
 
 
