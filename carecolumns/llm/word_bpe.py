@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from operator import itemgetter
 
 import numpy as np
 
@@ -28,9 +29,11 @@ BLOCK = 1 << 20
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same rule over ASCII and the letters of Latin-1, in lower case.
 _LETTERS = "a-zß-öø-ÿ"
-_words = re.compile(RULE.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", rf"\t-\r {_LETTERS}0-9")).findall
+_SIGNS = RULE.replace(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "")
+#: Letters, the most frequent, are tried first: no other part of the rule begins with one.
+_words = re.compile(rf"[{_LETTERS}]+|[0-9]|{_SIGNS}[^\t-\r {_LETTERS}0-9]+").findall
 #: The same for texts of ASCII alone.
-_ascii_words = re.compile(RULE.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", r"\t-\r a-z0-9")).findall
+_ascii_words = re.compile(rf"[a-z]+|[0-9]|{_SIGNS}[^\t-\r a-z0-9]+").findall
 _plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 _chunks = re.compile(r"[^\t-\r ]+").findall
 _gap = re.compile(r"[\t-\r ]").search
@@ -181,7 +184,7 @@ class WordCodec:
         rare |= {w: self.by_library(w[1:]) for w in odd}
         known = self.known
         if not rare:
-            return [b"".join(map(known.__getitem__, s)) for s in split]
+            return [b"".join(itemgetter(*s)(known)) if len(s) > 1 else known[s[0]] if s else b"" for s in split]
         return [b"".join([rare[w] if w in rare else known[w] for w in s]) for s in split]
 
     def _blocks(self, text: str) -> Iterable[str]:
