@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import cut
+from carecolumns.llm.common import apart, cut
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -37,12 +37,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     place = F.row_number().over(by_name) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
     by_level = Window.orderBy(F.col("words") / F.col("weight"), F.col("source").asc_nulls_last())
-    rest = by_level.rowsBetween(0, Window.unboundedFollowing)
     all_rows = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     out = sizes.withColumn("weight", weight)
     left = F.lit(SHARE) * F.sum("words").over(all_rows) - F.lit(MOST_COPIES) * F.coalesce(F.sum("words").over(before), F.lit(0))
-    out = out.withColumn("level", left / F.sum("weight").over(rest))
+    weights = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    out = out.withColumn("level", left / weights)
     # this row is below its cap if its share at this level is
     out = out.withColumn("free", F.col("level") * F.col("weight") <= F.lit(MOST_COPIES) * F.col("words"))
     # the first such row in order: levels of later rows take sources for full that are not
@@ -56,7 +56,7 @@ def _taken(docs: DataFrame) -> DataFrame:
     """docs with _size, _words (of the source), _target and _copies."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**DIGITS))
+    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")).cast("binary")), 1, DIGITS), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**DIGITS))
     rows = docs.withColumns({"_size": size, "_u": u})
     slim = cut(rows.select("source", "_size", "_u", "doc_id"))
     whole = targets(slim.groupBy("source").agg(F.sum("_size").alias("words"), F.count("*").alias("docs")))
@@ -104,10 +104,12 @@ def _taken(docs: DataFrame) -> DataFrame:
         return full.withColumn("_more", more).select(*docs.columns, *new, count.alias("_copies"))
     apart = full.where(~tied).withColumn("_more", more).select(*docs.columns, *new, count.alias("_copies"))
     # of equal rows it does not matter which are taken: they are counted, ranked by a hash where they differ in other columns, and dealt out again in blocks
-    rest = [c for c in full.columns if c not in ("_es", "_eb", "_ls", "_last", "_u", "_m")]
-    equal = full.where(tied).groupBy(*rest).agg(F.count("*").alias("_m"))
-    up_to = Window.partitionBy("source").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
-    equal = equal.withColumn("_tie", F.struct(F.xxhash64(*docs.columns), *docs.columns)).withColumn("_before", F.coalesce(F.sum("_m").over(up_to), F.lit(0))).drop("_tie")
+    # rows are told apart by their JSON, whatever the types of their other columns
+    rest = [c for c in full.columns if c not in ("_es", "_eb", "_ls", "_last", "_u", "_m", *docs.columns)]
+    row = F.struct(*docs.columns)
+    equal = full.where(tied).withColumn("_json", F.to_json(row)).groupBy("_json", *rest).agg(F.count("*").alias("_m"), F.any_value(row).alias("_row"))
+    up_to = Window.partitionBy("_row.source").orderBy("_tie", "_json").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("_tie", F.xxhash64("_json")).withColumn("_before", F.coalesce(F.sum("_m").over(up_to), F.lit(0))).select("_row.*", *rest, "_m", "_before")
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / BLOCK)))
     dealt = equal.withColumn("_block", block).repartition(F.xxhash64("source", "_before", "_block"))
     place = F.explode(F.sequence(F.col("_block") * BLOCK, F.least(F.col("_m"), (F.col("_block") + 1) * BLOCK) - 1))
@@ -119,24 +121,25 @@ def copies(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source, others kept) with size, source_size, target, copies (0, 1 or 2).
 
     size is the number of `[^\\x20\\x09-\\x0D]+` (null: 0), whatever the text's length. A null source is a source of its own, the last. Texts without words get no
-    copy. Repeated rows are documents of their own: where a source's words run out among equal rows, as many of them are taken as fit. A null doc_id hashes
-    like the empty text. An empty table gives an empty result. Columns of docs named like the new ones are replaced.
+    copy. Repeated rows are documents of their own: where a source's words run out among equal rows, as many of them are taken as fit. A null doc_id
+    is drawn by its text. An empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
     new = {"size": "_size", "source_size": "_words", "target": "_target", "copies": "_copies"}
-    docs = docs.drop(*new)
-    return _taken(docs).select(*docs.columns, *[F.col(v).alias(k) for k, v in new.items()])
+    slim, back = apart(docs.drop(*new), "doc_id", "text", "source")
+    return back(_taken(slim).withColumnsRenamed({v: k for k, v in new.items()}), *new)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it takes them, with the columns of docs as they are. Null texts and empty ones are never taken."""
-    out = _taken(docs)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents of the mix, each as often as it takes them, with the columns of docs as they are, of any name and type. Null texts and empty ones are never taken."""
+    slim, back = apart(docs, "doc_id", "text", "source")
+    out = _taken(slim)
+    return back(out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 SQL = r"""
 with d as (
   select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
+    (('0x' || substr(md5(coalesce(doc_id::varchar, md5(text), '')), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double as u
   from documents),
 s as (select source, sum(size)::bigint as words, count(*) as docs from d group by source),
 w as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),

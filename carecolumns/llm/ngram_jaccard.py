@@ -468,9 +468,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = keep_ids(docs, once, "doc_id").unionByName(docs.where("doc_id is null"))
     if again.isEmpty():
         return out
-    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = keep_ids(docs, again, "doc_id").groupBy("doc_id", "text").agg(F.min(others).alias("o"))
-    return out.unionByName(kept.select("doc_id", "text", "o.*").select(*docs.columns))
+    # the least JSON tells which of them stays, whatever the types of the other columns
+    slim, back = common.apart(docs, "doc_id", "text")
+    if "others" not in slim.columns:
+        return out.unionByName(keep_ids(docs, again, "doc_id").distinct())
+    kept = keep_ids(slim, again, "doc_id").groupBy("doc_id", "text").agg(F.min_by("others", F.to_json("others")).alias("others"))
+    return out.unionByName(back(kept))
 
 
 SQL = r"""

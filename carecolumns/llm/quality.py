@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import FEW_IDS, arrow_offsets, as_bytes, batch, cut, keep_ids, kept_for, pieces, small_batches
+from carecolumns.llm.common import apart, FEW_IDS, arrow_offsets, as_bytes, batch, cut, keep_ids, kept_for, pieces, small_batches
 from carecolumns.llm.words import Words
 
 #: Labelled documents that the classifier is fitted on: those of least hash, if there are more. Host and path posteriors use every document.
@@ -170,10 +170,11 @@ def _judged_rows(docs: DataFrame, labels: DataFrame, threshold: float, sample: i
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns; rows without an id are kept.
 
-    Rows of one id are judged one by one: of those that differ in text, source or language some may go and others stay. Empty tables stay empty.
+    Rows of one id are judged one by one: of those that differ in text, source or language some may go and others stay. Empty tables stay empty. Other columns, of any name and type, are carried along.
     """
+    slim, back = apart(docs, "doc_id", "text", "source", "lang")
     mark = F.xxhash64("text", "source", "lang")
-    judged = _judged_rows(docs.where("doc_id is not null").withColumn("mark", mark), labels, threshold, SAMPLE)
+    judged = _judged_rows(slim.drop("others").where("doc_id is not null").withColumn("mark", mark), labels, threshold, SAMPLE)
     out = cut(judged.where("not keep").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
     few = out.count() <= FEW_IDS
-    return docs.join(F.broadcast(out) if few else out, (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    return back(slim.join(F.broadcast(out) if few else out, (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left_anti"))

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carecolumns.llm.common import apart
 from carecolumns.llm.single import once
 
 _RUN = r"A-Za-z0-9_+/\-"
@@ -196,10 +197,10 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs with every secret in `text` replaced by MASK and n_chars set to the new length (where it changed); columns are those of docs.
 
-    Null and empty texts stay as they are, repeated rows stay repeated, an empty table stays empty. Names of docs' columns do not matter but for those that begin
-    with an underscore and one of the names of scored().
+    Null and empty texts stay as they are, repeated rows stay repeated, an empty table stays empty. Other columns, of any name and type, are carried along.
     """
-    out = scored(docs, forest(docs.sparkSession))
+    slim, back = apart(docs, "text", "n_chars")
+    out = scored(slim, forest(docs.sparkSession))
     text: Column = F.expr(f"concat(array_join(transform(_found, (c, i) -> concat(_gaps[i], if(_score[i] >= {threshold}D, '{MASK}', c))), ''), element_at(_gaps, -1))")
     hit = F.coalesce(F.expr(f"exists(_score, s -> s >= {threshold}D)"), F.lit(False))
     out = once(out.withColumn("_new", F.when(hit, text)), "_new")
@@ -207,4 +208,4 @@ def masked(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     new = {"text": F.when(hit, text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    return back(out.withColumns(new))

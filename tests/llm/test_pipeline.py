@@ -72,3 +72,22 @@ def test_stages_and_run(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text or "") for r in rows[3])
     whole = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in rows[4])
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark):
+    """Every internal name of every stage as a column of the documents, and columns that can be neither compared nor grouped."""
+    names = "_id _mark mark _words _target _s _es _eb _en _size _u _q _bin _m _n _last _ls _copies _copy _more _block _place _before _json _row _tie _sure _need _mean _held _found _gaps _score _features _named _new others size source_size target copies quality keep root rows key before n_shingles component_id _h _p".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names) + ", m map<string,int>, a array<int>, s struct<doc_id:int,text:string>"
+    say = lambda i: " ".join(f"word{i}x{j}" for j in range(12))
+    rows = [(i, say(i % 9) + (' password = "hunter2hunter2X"' if i == 4 else ""), "en", f"s{i % 2}", 5, *range(len(names)), {"k": i}, [i], (i, "t")) for i in [*range(12), 3, 3, 11, 11, 11]] + [(None, "no id at all", None, None, 1, *range(len(names)), None, None, None)] * 3
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    from carecolumns.llm import mixing, ngram_jaccard, quality, secrets
+
+    for f in (lambda d: quality.kept(d, labels), ngram_jaccard.one_of_each, secrets.masked, mixing.mixed):
+        out = f(docs)
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        for r in out.collect():
+            assert [r[n] for n in names] == list(range(len(names))) and (r.doc_id is None or (r.m, r.a, r.s.doc_id) == ({"k": r.doc_id}, [r.doc_id], r.doc_id))
+    assert ngram_jaccard.one_of_each(docs).where("doc_id = 3").count() == 1
+    assert mixing.copies(docs).count() == docs.count()
