@@ -34,11 +34,12 @@ K1, B = 1.2, 0.75
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
-        end = np.array([END], codec.dtype)
+        end = np.array([END], codec.dtype).tobytes()
         for whole in batches:
             for b in pieces(whole, "text"):
-                ids = [np.append(np.frombuffer(i, codec.dtype), end) for i in codec.encode([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])]
-                yield batch(["doc_id", "n", "rarest", "ids"], b.column(0), np.array(list(map(len, ids)), np.int64), np.array([int(i.max()) for i in ids], np.int32), pa.array([i.tobytes() for i in ids], pa.binary()))
+                ids = [i + end for i in codec.encode([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])]
+                rarest = np.fromiter((np.frombuffer(i, codec.dtype).max() for i in ids), np.int32, len(ids))
+                yield batch(["doc_id", "n", "rarest", "ids"], b.column(0), np.fromiter(map(len, ids), np.int64, len(ids)) // codec.dtype.itemsize, rarest, pa.array(ids, pa.binary()))
 
     return run
 
@@ -71,8 +72,10 @@ class Index:
         self.size = len(texts)
         length = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = np.concatenate(texts).astype(np.int64) if texts else np.zeros(0, np.int64)
-        key, tf = np.unique(np.repeat(np.arange(len(texts)), length) * len(idf) + flat, return_counts=True)
-        text, term = key // len(idf), key % len(idf)
+        key = np.repeat(np.arange(len(texts)), length) * len(idf) + flat
+        # half as wide numbers are sorted in less than half the time
+        key, tf = np.unique(key.astype(np.int32) if len(texts) * len(idf) < 1 << 31 else key, return_counts=True)
+        text, term = np.divmod(key, len(idf))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[text] / mean))
         #: Terms by text, with their weights there.
         self.first = np.searchsorted(text, np.arange(len(texts) + 1))
