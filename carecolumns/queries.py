@@ -263,4 +263,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from carecolumns import rule_queries, table_queries, text_queries  # noqa: E402, F401  (they register their queries here)
+from carecolumns import form_queries, rule_queries, table_queries, text_queries  # noqa: E402, F401  (they register their queries here)
