@@ -40,7 +40,7 @@ CUES = {
     "header": "header masthead topbar banner",
     "footer": "footer copyright colophon legal bottombar",
     "side": "sidebar aside widget related recommended trending popular rail promoted share sharing social tags",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo adsense adslot banner-ad",
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo adsense adslot adbox adbanner adunit adcontainer adwrapper banner-ad",
     "notice": "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe paywall disclaimer toast",
     "form": "form login signup signin search searchbox register contact-form",
     "comment": "comment comments discussion disqus respond reply replies commentlist",
@@ -49,11 +49,16 @@ _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 KINDS = ("menu", "header", "footer", "side", "ad", "notice", "form", "comment", "article")
 #: Parts of a class name before a cue that turn its meaning round ("no-sidebar" on the body, "has-footer").
 NOT_CUES = frozenset("no not has have with without is in hide".split())
+#: First parts of names of an article's own header.
+OWN_HEADER = frozenset("entry post article story content".split())
+#: A container that only its class, its id or a form tag gives a kind, and that holds more than this share of a page's words outside links, LARGE words at least, is none of that
+#: kind: it is wrapped round the article. Comments may outweigh an article.
+WRAPPED, LARGE = 2 / 3, 50
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", *KINDS, "around", "apart", "heading", "item", "place", "stop")
 _NAME, _GAP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[\s/]*")
 _ATTRIBUTE, _UNQUOTED = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?"), re.compile(r"[^\s>]*")
 _CODE_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in CODE}
-_PARTS = re.compile(r"[-_]+")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
 #: Attributes that say something about an element.
 TELLING = frozenset(("role", "class", "id", "hidden", "aria-hidden", "style"))
 
@@ -132,21 +137,33 @@ def tags(page: str) -> list[Tag]:
     return out
 
 
-def _kind(tag: str, attributes: dict[str, str]) -> str | None:
-    """What a container's own tag or role says it is, and only where they say nothing, its class and id; 'hidden' if it is not shown."""
+def _named_kind(names: str) -> str | None:
+    """What a class or id says of a container: by the whole word, or by a part of it that no part before turns round."""
+    for w in names.split():
+        if kind := _CUE.get(w.lower()):
+            return kind
+        parts = [p.lower() for p in _PARTS.split(w) if p]
+        for k, p in enumerate(parts):
+            if p in NOT_CUES:
+                break
+            if (kind := _CUE.get(p)) and not (kind == "header" and parts[0] in OWN_HEADER):
+                return kind
+    return None
+
+
+def _kind(tag: str, attributes: dict[str, str]) -> tuple[str | None, bool]:
+    """(what a container's own tag or role says it is, and only where they say nothing, its class and id; 'hidden' if it is not shown, whether that may be wrong)."""
+    found = TAG_KIND.get(tag)
     if not attributes:
-        return TAG_KIND.get(tag)
+        return found, tag == "form"
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in "".join(attributes.get("style", "").lower().split()):
-        return "hidden"
-    found = TAG_KIND.get(tag)
+        return "hidden", False
     if role := attributes.get("role", "").lower().split():
-        found = ROLE_KIND.get(role[0], found)
+        if role[0] in ROLE_KIND:
+            return ROLE_KIND[role[0]], False
     if found is None and tag not in ("html", "body"):
-        for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-            parts = _PARTS.split(w)
-            if (kind := _CUE.get(w)) or (1 < len(parts) < 4 and parts[0] not in NOT_CUES and (kind := _CUE.get(parts[-1]))):
-                return kind
-    return found
+        return _named_kind(f"{attributes.get('class', '')} {attributes.get('id', '')}"), True
+    return found, tag == "form"
 
 
 def _silent_ends(found: list[Tag]) -> dict[int, int]:
@@ -173,17 +190,36 @@ SELF_ENDING = frozenset("li dd dt tr td th option".split())
 
 
 def blocks(page: str) -> list[dict]:
-    """The text blocks of a page in order: text, words, words in links, kinds of the containers around, tag."""
+    """The text blocks of a page in order: text, words, words in links, kinds of the containers around, tag. Containers that wrap most of the page are read without their
+    doubtful kinds."""
+    found = tags(page)
+    out, wraps = _read(page, found, frozenset())
+    return _read(page, found, wraps)[0] if wraps else out
+
+
+def _read(page: str, found: list[Tag], wraps: frozenset[int]) -> tuple[list[dict], frozenset[int]]:
+    """The blocks, and the places (among all elements) of containers that wrap most of the page's words; those in `wraps` have no kind."""
     out: list[dict] = []
     stack: list[tuple[str, str | None]] = []
+    sorts: list[str] = []  # of the stack, the kinds
+    doubtful: list[tuple[int, int, float]] = []  # of the stack: depth, place and words before of containers whose kind may be wrong
+    inside: list[tuple[int, float]] = []  # of those: place and words in it
+    elements, said = -1, 0.0
     outer: list[str] = []  # of the stack, the tags that are not inline
     depth: Counter = Counter()  # open elements by tag, and by ("kind", kind)
     first_silent = -1
     text: list[str] = []
     linked = 0
 
-    def push(tag: str, kind: str | None) -> None:
-        nonlocal first_silent
+    def push(tag: str, kind: str | None, doubt: bool = False) -> None:
+        nonlocal first_silent, elements
+        elements += 1
+        if elements in wraps:
+            kind = None
+        elif doubt and kind in KINDS and kind not in ("article", "comment"):
+            doubtful.append((len(stack), elements, said))
+        if kind in KINDS:
+            sorts.append(kind)
         if kind == "silent" and first_silent < 0:
             first_silent = len(stack)
         stack.append((tag, kind))
@@ -199,16 +235,25 @@ def blocks(page: str) -> list[dict]:
         depth["kind", kind] -= 1
         if tag not in INLINE:
             outer.pop()
+        if kind in KINDS:
+            sorts.pop()
+        if doubtful and doubtful[-1][0] == len(stack):
+            _, place, before = doubtful.pop()
+            inside.append((place, said - before))
         if len(stack) == first_silent:
             first_silent = -1
         return tag
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text, linked, said
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
         if whole and not depth["kind", "hidden"]:
             n = len(whole.split(" "))
-            out.append({"text": whole, "words": n, "links": min(1.0, linked / n), "kinds": {k for k in KINDS if depth["kind", k]}, "tag": outer[-1] if outer else ""})
+            kinds = {k for k in KINDS if depth["kind", k]}
+            if sorts and sorts[-1] != "article":
+                kinds.discard("article")  # a menu within an article is a menu
+            out.append({"text": whole, "words": n, "links": min(1.0, linked / n), "kinds": kinds, "tag": outer[-1] if outer else ""})
+            said += max(0, n - linked)
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -218,7 +263,6 @@ def blocks(page: str) -> list[dict]:
             if depth["a"]:
                 linked += len(html.unescape(piece).split())
 
-    found = tags(page)
     ends, at, k = _silent_ends(found), 0, -1
     while (k := k + 1) < len(found):
         t = found[k]
@@ -262,11 +306,12 @@ def blocks(page: str) -> list[dict]:
                     pop()
             if not t.empty:
                 # a header within an article heads the article
-                kind = None if tag == "head" or (tag == "header" and depth["kind", "article"]) else _kind(tag, t.attributes)
-                push(tag, kind)
+                kind, doubt = (None, False) if tag == "head" else _kind(tag, t.attributes)
+                push(tag, None if kind == "header" and depth["kind", "article"] else kind, doubt)
     add(page[at:])
     flush()
-    return out
+    inside += [(place, said - before) for _, place, before in doubtful]
+    return out, frozenset(place for place, words in inside if words >= LARGE and words > WRAPPED * said)
 
 
 def features(found: list[dict]) -> np.ndarray:

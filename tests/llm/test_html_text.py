@@ -104,3 +104,24 @@ def test_time_is_proportional_to_length():
     for part in ("<div>", "<a ", '<a "', "<p title=\"x' <b>", "<b>x<p>", "<svg><p>", "<!--", "<li><a href=x>y", "<table><tr><td>", "</p>", "<button>", "< < "):
         few, many = min(seconds(part * 4000) for _ in range(3)), min(seconds(part * 32000) for _ in range(2))
         assert many < 24 * few + 0.3, part
+
+
+ARTICLE = "<h1>A title of some words</h1>" + "".join(f"<p>Paragraph {k} of the article has a good number of plain words in it, and ends.</p>" for k in range(8))
+WANT = "A title of some words " + " ".join(f"Paragraph {k} of the article has a good number of plain words in it, and ends." for k in range(8))
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
+
+
+def test_wrappers_with_telling_names_keep_their_article():
+    for wrap in ('<form id="aspnetForm">{}</form>', '<div class="content-with-sidebar">{}</div>', '<div id="wrapper-nav">{}</div>', '<div class="entry popular">{}</div>', '<div class="page promo">{}</div>', '<div class="modal-body-related">{}</div>', '<form><div class="adBanner"><div>{}</div></div></form>', '<div class="post"><div class="entry-header"></div>{}</div>'):
+        for around in ("{}", f"<nav>{MENU}</nav>{{}}<footer>Some small print stands here.</footer>"):
+            assert one("<html><body>" + around.format(wrap.format(ARTICLE)) + "</body></html>") == WANT, wrap
+
+
+def test_parts_of_a_page_inside_and_beside_the_article_go():
+    for part in (f"<nav>{MENU}</nav>", '<div class="adbox">Buy this great offer right now.</div>', '<div class="adBanner">Buy this great offer right now.</div>', f'<div class="nav-container">{MENU}</div>', '<div class="sidebar-left"><p>Things that others have read of late.</p></div>', '<div class="site-footer-inner">Some small print of ours stands here.</div>'):
+        for page in (f"<main>{part}{ARTICLE}</main>", f"<article>{ARTICLE}{part}</article>", f"{part}<article>{ARTICLE}</article>"):
+            assert one(f"<html><body>{page}</body></html>") == WANT, page[:200]
+
+
+def test_a_page_of_an_advert_alone_is_empty():
+    assert one("<html><body><div class='ad'>Buy now great offer.</div></body></html>") == ""
