@@ -44,7 +44,25 @@ TEMPLATES = [
     ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("proprietary", "all rights reserved proprietary and confidential", ["all rights reserved"]),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
+    ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
+    ("lgpl", "gnu library general public license", ["library general public license"]),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("agpl", "gnu affero general public license", ["affero general public license"]),
+    ("bsd", "bsd 2 clause license", ["bsd 2 clause"]),
+    ("bsd", "bsd 3 clause license", ["bsd 3 clause"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ["promote products derived from this software"]),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one", ["copy of the mpl"]),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", ["attribution sharealike"]),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", ["attribution noncommercial"]),
+    ("cc0", "released under cc0", ["under cc0"]),
 ]
+#: Identifiers of a public list of licences, by label.
+IDENTIFIERS = {
+    "mit": ("MIT",), "apache": ("Apache-2.0",), "gpl": ("GPL-2.0", "GPL-3.0"), "lgpl": ("LGPL-2.1", "LGPL-3.0"), "agpl": ("AGPL-3.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "mpl": ("MPL-2.0",), "isc": ("ISC",), "cc-by": ("CC-BY-4.0",),
+    "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",), "cc0": ("CC0-1.0",), "epl": ("EPL-2.0",), "unlicense": ("Unlicense",),
+}
+TEMPLATES += [(label, f"spdx license identifier {words}", [f"license identifier {words}"]) for label, ids in IDENTIFIERS.items() for words in (i.lower().replace("-", " ").replace(".", " ") for i in ids)]
 #: Words of a template that the index uses.
 TEMPLATE_WORDS = 6
 ENOUGH = 0.8

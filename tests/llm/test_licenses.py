@@ -100,3 +100,20 @@ def test_frequencies_come_from_all_texts(spark):
     rows = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in rows}[1] == "cc-by" and all(r.n_words == 5 for r in rows if r.doc_id >= 10)
     assert dict(zip([i for i, _ in data], plain_scan(data), strict=True))[1][0] == "cc-by"
+
+
+def test_own_notices_and_identifiers(spark):
+    want = {
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.": "gpl,lgpl",
+        "It falls under the GNU Affero General Public License.": "agpl,gpl",
+        "Licence: Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa",
+        "BSD 3-Clause License": "bsd",
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl",
+        "# SPDX-License-Identifier: MIT": "mit",
+        "The data are released under CC0.": "cc0",
+        "A plain text on the public, its general rights and a license to speak.": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(want.values()))
