@@ -92,7 +92,10 @@ def formula(df: DataFrame, spec: dict, strict_units: bool = True, lookups: bool
     if lookups:
         endless.append(F.when(ok & F.exists(lookups_used(spec, done.env), lambda x: x["outside"]), F.lit("a value is outside its printed table; the nearest row is shown")))
         endless += [F.lit(n if isinstance(n, str) else n.get("text")) for n in (spec.get("content") or {}).get("conditional_notes") or []]
-    return done.df.select(*[f"`{c}`" for c in columns], ok.alias("ok"), errors.alias("errors"), F.array_compact(F.array(*endless)).cast("array<string>").alias("warnings"), outputs.alias("outputs"), *[used] * lookups)
+    found = F.struct(ok.alias("ok"), errors.alias("errors"), F.array_compact(F.array(*endless)).cast("array<string>").alias("warnings"), outputs.alias("outputs"), *[used] * lookups)
+    # a generator: filters on what is computed here do not copy the computation into themselves, step into step
+    held = done.df.select(*[f"`{c}`" for c in columns], F.explode(F.array(found)).alias("__found"))
+    return held.select(*[f"`{c}`" for c in columns], "__found.*")
 
 
 def titration(df: DataFrame, spec: dict, strict_units: bool = True, always: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carecolumns.functions import text
-from carecolumns.operators import matching
+from carecolumns.operators import matching, repeats
 from carecolumns.queries import _register, _table
 
 #: Edits of a part's name: as it is, other case and signs, run together, an alias, a letter less, a letter more, a word that no name is like.
@@ -67,3 +67,10 @@ select name from (select name, row_number() over (partition by lower(trim(regexp
 def without_copies(spark, sf_dir):
     name = F.expr("case when p_partkey % 3 = 0 then upper(p_name) || ' (' || p_partkey % 10 || ')' when p_partkey % 3 = 1 then p_name || ' (2016)' else p_name end")
     return matching.without_copies(_table(spark, sf_dir, "part").select(name.alias("name")), "name")
+
+
+#: Blocks have no SQL form: tests/test_repeats.py holds them against a search at every place.
+@_register("repeats_collapsed", None)
+def repeats_collapsed(spark, sf_dir):
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", "removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"))
