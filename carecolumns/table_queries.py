@@ -23,12 +23,12 @@ def _lists(spark, sf_dir):
 
 
 @_register("units_rebased", f"""
-select l.p_partkey as list, k.code, round(k.factor / b.factor, 9) as factor, round((k.offset_ - b.offset_) / b.factor, 9) as "offset" from {_LISTS} l join {_KNOWN} on k.place = l.place join {_KNOWN.replace('k(place', 'b(place')} on b.place = l.place and b.code = l.base""")
+select l.p_partkey as list, k.code, round(k.factor / b.factor, 9) as factor, round((k.offset_ - b.offset_) / b.factor, 9) as added from {_LISTS} l join {_KNOWN} on k.place = l.place join {_KNOWN.replace('k(place', 'b(place')} on b.place = l.place and b.code = l.base""")
 def units_rebased(spark, sf_dir):
     lists = _lists(spark, sf_dir)
     own = lists.join(F.broadcast(canonical(spark).select("dimension", "code", "factor", "offset")), "dimension").select("list", "code", "factor", "offset")
     out = units.rebased(own, lists)
-    return out.select("list", "code", F.round("factor", 9).alias("factor"), F.round("offset", 9).alias("offset"))
+    return out.select("list", "code", F.round("factor", 9).alias("factor"), F.round("offset", 9).alias("added"))
 
 
 @_register("units_offered", f"""
@@ -79,7 +79,7 @@ def compound_units(spark, sf_dir):
 with recursive e as (select s_suppkey as a, s_suppkey - 1 as b, 1 + (s_suppkey % 7) / 8.0 as f, (s_suppkey % 3)::double as o from supplier where s_suppkey % 10 <> 0),
 w as (select s_suppkey as unit, s_suppkey as base, 1.0::double as factor, 0.0::double as o, 0 as steps from supplier where s_suppkey % 10 = 0
   union all select e.a, w.base, e.f * w.factor, e.o * w.factor + w.o, w.steps + 1 from w join e on e.b = w.unit)
-select 'u' || unit as unit, 'u' || base as base, round(factor, 6) as factor, round(o, 6) as "offset", steps from w""")
+select 'u' || unit as unit, 'u' || base as base, round(factor, 6) as factor, round(o, 6) as added, steps from w""")
 def units_along_paths(spark, sf_dir):
     k = F.col("s_suppkey")
     supplier = _table(spark, sf_dir, "supplier")
@@ -89,7 +89,7 @@ def units_along_paths(spark, sf_dir):
     back = k % 2 == 1
     pairs = supplier.where(k % 10 != 0).select(F.when(back, unit(k - 1)).otherwise(unit(k)).alias("from"), F.when(back, unit(k)).otherwise(unit(k - 1)).alias("to"), F.when(back, 1 / f).otherwise(f).alias("factor"), F.when(back, -o / f).otherwise(o).alias("offset"))
     bases = supplier.where(k % 10 == 0).select(unit(k).alias("base"))
-    return units.along_paths(pairs, bases).select("unit", "base", F.round("factor", 6).alias("factor"), F.round("offset", 6).alias("offset"), "steps")
+    return units.along_paths(pairs, bases).select("unit", "base", F.round("factor", 6).alias("factor"), F.round("offset", 6).alias("added"), "steps")
 
 
 @_register("ladders_reconstructed", """
