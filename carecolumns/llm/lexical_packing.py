@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecolumns.llm.common import as_bytes, batch, cut, pieces, release, small_batches
+from carecolumns.llm.common import as_bytes, batch, cut, kept_for, pieces, release, small_batches
 from carecolumns.llm.word_bpe import WordCodec, codec_of
 
 WINDOW = 2048
@@ -48,6 +48,7 @@ def _frequencies(size: int, dtype: np.dtype):
     """Rows (term, n) of a task: in how many of its documents each term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("lexical_packing")  # the encoder's words are needed no more
         counts, seen = np.zeros(size, np.int64), np.zeros(size, bool)
         for b in batches:
             for i in b.column(0):
@@ -220,6 +221,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
     dealt = F.broadcast(spark.createDataFrame(shards([(r.rarest, r.cost) for r in costs]), "rarest int, first long, many long"))
 
     def run(shard: pa.Table) -> pa.Table:
+        kept_for("lexical_packing")
         idf, mean = sent.value
         shard = shard.sort_by("row")
         texts = [np.frombuffer(i.as_buffer(), dtype) for chunk in shard.column("ids").chunks for i in chunk]

@@ -18,7 +18,7 @@ from carecolumns.llm.bpe import byte_letters
 from carecolumns.llm.common import kept_for
 
 #: Bytes of encoded words (by a rule of thumb for Python objects) that a worker keeps.
-KEPT_BYTES = 200_000_000
+KEPT_BYTES = 140_000_000
 #: Bytes of a word up to which it is merged in a matrix and kept.
 MATRIX = 32
 #: Words in a matrix.
