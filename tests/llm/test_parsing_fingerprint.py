@@ -62,3 +62,81 @@ def test_rows_without_an_id_are_dealt_over_ranges(spark):
         want.setdefault((a.doc_id, a.text), set()).add(hashlib.sha256((a.text[: len(a.text) - n] + b.text[:n]).encode()).hexdigest())
     got = fingerprint_neighbours(df, 8).collect()
     assert len(got) == len(data) and {r.edited_sha256 for r in got} == set().union(*want.values())
+
+
+ALL = 2**64 - 1
+
+
+def _mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & ALL
+    return x ^ (x >> 31)
+
+
+def plain_levels(text):
+    """The names of each level by the definition, symbol by symbol."""
+    symbols, out = [ord(c) for c in text], []
+    for _ in range(3):
+        runs = []
+        for s in symbols:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        names = [_mixed((s + n * 0xC2B2AE3D27D4EB4F) & ALL) for s, n in runs]
+        labels = names
+        for _ in range(3):
+            tossed = []
+            for i, x in enumerate(labels):
+                other = labels[i - 1] if i else x ^ 1
+                differ = x ^ other
+                bit = (differ & -differ).bit_length() - 1
+                tossed.append(2 * bit + (x >> bit & 1))
+            labels = tossed
+        assert all(label < 8 for label in labels) and all(a != b for a, b in zip(labels, labels[1:], strict=False))
+        # a phrase begins at each local maximum but the last symbol, and at the text's first symbol
+        begins = [0] + [i for i in range(1, len(names) - 1) if labels[i - 1] < labels[i] > labels[i + 1]]
+        symbols = []
+        for a, b in zip(begins, [*begins[1:], len(names)], strict=True):
+            total = 0
+            for at, x in enumerate(names[a:b]):
+                weight = (_mixed(at % 4096 + 1 if at < 4096 else 4096) + (at >> 12) * 0x9E3779B97F4A7C15) & ALL
+                total = (total + _mixed(x ^ weight) * (weight | 1)) & ALL
+            symbols.append(_mixed((total + 1) & ALL))
+        out.append(symbols)
+    return out
+
+
+def plain_fingerprint(text):
+    if not text:
+        return "0000" * 64
+    slots = [ALL] * 64
+    for level, names in enumerate(plain_levels(text), 1):
+        for name in names if level in (2, 3) else ():
+            value = _mixed((name + level) & ALL)
+            slots[value % 64] = min(slots[value % 64], value >> 6)
+    out = []
+    for k in range(64):
+        steps = next(d for d in range(64) if slots[(k + d) % 64] != ALL)
+        value = _mixed(slots[k]) if not steps else _mixed((slots[(k + steps) % 64] + steps) & ALL)
+        out.append(f"{value & 0xFFFF:04x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_a_symbol_by_symbol_version():
+    r = random.Random(12)
+    texts = ["", "a", "ab", "aa", "aaaaab", "abababab", "é中🙂" * 40, "x" * 9000, "".join(r.choice("ab") for _ in range(500))]
+    texts += ["".join(r.choice("etaoin shrdlu\n") for _ in range(r.randrange(1, 900))) for _ in range(60)]
+    assert fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def test_equal_parts_have_equal_phrases_inside():
+    r = random.Random(13)
+    body = "".join(r.choice("etaoin shrdlu") for _ in range(2000))
+    own = plain_levels(body)[1]
+    for before in ("", "q", "some other words ", "x" * 77):
+        there = plain_levels(before + body + " and an end")[1]
+        at = next(k for k in range(len(there)) if there[k] == own[20])
+        assert there[at : at + len(own) - 40] == own[20 : len(own) - 20]
