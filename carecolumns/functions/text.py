@@ -10,15 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _ranges(points: list[int]) -> str:
-    """Code points as the inside of a character class of Java's regular expressions."""
-    out, begin = [], None
-    for p, after in zip(points, [*points[1:], None], strict=True):
-        begin = p if begin is None else begin
-        if after != p + 1:
-            out.append(rf"\x{{{begin:x}}}-\x{{{p:x}}}")
-            begin = None
-    return "".join(out)
+def _class(points: list[int]) -> str:
+    """Code points as a character class of Java's regular expressions. Its ranges are halved again and again behind their bounds, so a letter is held against the logarithm of
+    their number and not against all of them."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+
+    def tree(runs: list[list[int]]) -> str:
+        if len(runs) <= 2:
+            return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+        half = len(runs) // 2
+        return rf"[\x{{{runs[0][0]:x}}}-\x{{{runs[-1][1]:x}}}&&[{tree(runs[:half])}{tree(runs[half:])}]]"
+
+    return tree(runs)
 
 
 @cache
@@ -41,19 +49,26 @@ def _folds() -> tuple[str, str, dict[str, str], str]:
             one_to.append(plain)
         else:
             many[c] = plain
-    return "".join(one_from), "".join(one_to), many, _ranges(marks)
+    return "".join(one_from), "".join(one_to), many, _class(marks)
+
+
+@cache
+def _pieces() -> tuple[str, str]:
+    """Letters that fold to several as a character class, and a pattern of the pieces of a text: one such letter, or all up to the next."""
+    many = set(map(ord, _folds()[2]))
+    return _class(sorted(many)), f"{_class(sorted(many))}|{_class([p for p in range(sys.maxunicode + 1) if p not in many])}+"
 
 
 def plain(c: Column) -> Column:
     """Compatibility decomposition without combining marks: é to e, ﬁ to fi, ² to 2, ½ to 1⁄2. Syllables of Hangul stay as they are. Single letters are translated
-    all at once; texts with letters that fold to several, which are few, are read letter by letter."""
+    all at once; texts with letters that fold to several are cut at these. Texts of ASCII alone are left as they are."""
     one_from, one_to, many, marks = _folds()
-    c = F.translate(F.regexp_replace(c, f"[{marks}]", ""), one_from, one_to)
-    # a table of a few thousand letters is searched only for the letters that are in it
-    seldom = f"[{_ranges(sorted(map(ord, many)))}]"
+    seldom, pieces = _pieces()
+    folds = F.translate(F.regexp_replace(c, marks, ""), one_from, one_to)
+    # a table of some thousand letters is searched only for pieces of one letter
     table = F.from_json(F.lit(_as_json(many)), "map<string,string>")
-    slow = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(seldom), F.try_element_at(table, x)).otherwise(x)), "")
-    return F.when(c.rlike(seldom), slow).otherwise(c)
+    parts = F.transform(F.regexp_extract_all(folds, F.lit(pieces), F.lit(0)), lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.when(folds.rlike(seldom), F.array_join(parts, "")).otherwise(folds))
 
 
 def _as_json(m: dict[str, str]) -> str:
@@ -64,8 +79,8 @@ def _as_json(m: dict[str, str]) -> str:
 
 def folded(c: Column) -> Column:
     """A name as it is compared: plain lower-case letters and digits, `&` as and, bounds such as `under 24`, `<24` and `less than 24` as lt24, everything else one space."""
-    c = F.lower(plain(c))
-    for pattern, to in (("&", " and "), ("[®™©]", ""), (r"(?:under|less\s+than|below)\s*(\d)", "lt$1"), (r"[<≤]\s*(\d)", "lt$1"), (r"(?:over|greater\s+than|above)\s*(\d)", "gt$1"), (r"[>≥]\s*(\d)", "gt$1"), ("[^a-z0-9]+", " ")):
+    c = F.replace(F.lower(plain(c)), F.lit("&"), F.lit(" and "))
+    for pattern, to in (("[®™©]", ""), (r"(?:under|less\s+than|below)\s*(\d)", "lt$1"), (r"[<≤]\s*(\d)", "lt$1"), (r"(?:over|greater\s+than|above)\s*(\d)", "gt$1"), (r"[>≥]\s*(\d)", "gt$1"), ("[^a-z0-9]+", " ")):
         c = F.regexp_replace(c, pattern, to)
     return F.trim(c)
 
