@@ -5,6 +5,8 @@ A unit's factor and offset take a value to the base of its list: base = value *
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +65,31 @@ def dimension_of(codes: DataFrame, key: str = "list") -> DataFrame:
 SIMPLE = ("mass", "length", "pressure", "time", "volume", "fraction")
 
 
+def _parts(code: Column, known: dict[str, tuple[str, float]]) -> Column:
+    """(d, f) of each part of a compound code: its dimension and what a value is multiplied by for it. The first part counts up, the others down; both are null where no unit
+    has that name."""
+    table = F.create_map(*[x for k, (d, f) in known.items() for x in (F.lit(k), F.struct(F.lit(d).alias("d"), F.lit(f).alias("f")))])
+    units = F.transform(F.split(F.lower(code), "/"), lambda p: F.try_element_at(table, F.regexp_replace(p, "[^a-z0-9%]", "")))
+    return F.transform(units, lambda u, i: F.struct(u["d"].alias("d"), F.pow(u["f"], F.when(i == 0, 1).otherwise(-1)).alias("f")))
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _factor(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(1.0), lambda s, x: s * x["f"])
+
+
 def compound(code: Column, known: dict[str, tuple[str, float]]) -> tuple[Column, Column]:
     """(dimension vector, factor) of a compound code such as mcg/kg/minute: a map of dimensions to exponents other than 0, and what a value is multiplied by to have it in base
     units. The first part counts up, the others down; a part that no unit is named by makes both null."""
-    parts = F.split(F.lower(code), "/")
-    table = F.create_map(*[x for k, (d, f) in known.items() for x in (F.lit(k), F.struct(F.lit(d).alias("d"), F.lit(f).alias("f")))])
-    each = F.transform(parts, lambda p, i: F.struct(F.try_element_at(table, F.regexp_replace(p, "[^a-z0-9%]", "")).alias("u"), F.when(i == 0, 1).otherwise(-1).alias("e")))
-    whole = F.forall(each, lambda x: x["u"].isNotNull())
     names = sorted({d for d, _ in known.values()})
-    exponent = lambda d: F.aggregate(F.filter(each, lambda x: x["u"]["d"] == d), F.lit(0), lambda s, x: s + x["e"])
-    vector = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(d).alias("k"), exponent(d).alias("v")) for d in names]), lambda x: x["v"] != 0))
-    factor = F.aggregate(each, F.lit(1.0), lambda s, x: s * F.pow(x["u"]["f"], x["e"]))
-    return F.when(whole, vector), F.when(whole, factor)
+    up, down = lambda p, d: (p["d"][0] == d).cast("int"), lambda p, d: F.size(F.filter(F.slice(p["d"], 2, F.size(p)), lambda x: x == d))
+    exponents = lambda p: F.array(*[F.struct(F.lit(d).alias("k"), (up(p, d) - down(p, d)).alias("v")) for d in names])
+    vector = _once(_parts(code, known), lambda p: F.when(_factor(p).isNotNull(), F.map_from_entries(F.filter(exponents(p), lambda x: x["v"] != 0))))
+    return vector, _factor(_parts(code, known))
 
 
 def simple_units() -> dict[str, tuple[str, float]]:
@@ -86,9 +101,10 @@ def simple_units() -> dict[str, tuple[str, float]]:
 def converted(df: DataFrame, value: str, from_unit: str, to_unit: str) -> DataFrame:
     """df with `converted`: its value in another compound unit, null where a unit is unknown or their dimensions differ."""
     known = simple_units()
-    (a, f), (b, g) = compound(F.col(f"`{from_unit}`"), known), compound(F.col(f"`{to_unit}`"), known)
-    same = F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
-    return df.withColumn("converted", F.when(same, F.col(f"`{value}`") * f / g))
+    # dimensions are the same if what counts up in one and down in the other is, either way; a factor is null where a part is unknown
+    both = lambda x, y: F.sort_array(F.concat(F.slice(x["d"], 1, 1), F.slice(y["d"], 2, F.size(y))))
+    units = F.struct(_parts(F.col(f"`{from_unit}`"), known).alias("a"), _parts(F.col(f"`{to_unit}`"), known).alias("b"), F.col(f"`{value}`").alias("v"))
+    return df.withColumn("converted", _once(units, lambda u: F.when(both(u["a"], u["b"]) == both(u["b"], u["a"]), u["v"] * _factor(u["a"]) / _factor(u["b"]))))
 
 
 def along_paths(pairs: DataFrame, bases: DataFrame) -> DataFrame:

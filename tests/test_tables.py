@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from carecolumns.operators import ordered, reconstruction, requirements, trees, units
@@ -123,3 +124,27 @@ def test_trees_deeper_than_a_hundred_and_circles(spark):
     assert got == sorted([(1, "n130", 130), (1, "n130", 130), (2, "out", 4), (3, "b", 7), (4, None, 2), (5, None, 0), (6, "n0", 0), (7, "a", 0)], key=repr)
     assert sorted(map(tuple, trees.circles(edges).collect())) == [("round", "a"), ("round", "b")]
     assert trees.circles(edges.limit(0)).count() == 0
+
+
+def test_compound_units_are_read_once_a_row(spark):
+    known = units.simple_units()
+    codes = ["mcg/kg/minute", "MG/KG/hr", "g/dL", "mg/mL", "hr", "mg/mg", "mg/fortnight", "", None, "mL/kg/day", "day/kg", "kg/mL/mL", "/kg"]
+    plain = lambda p: known.get("".join(c for c in p.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789%"))
+
+    def read(code):
+        parts = [plain(p) for p in code.split("/")] if code is not None else [None]
+        if None in parts:
+            return None, None
+        vector, factor = {}, 1.0
+        for i, (d, f) in enumerate(parts):
+            vector[d], factor = vector.get(d, 0) + (1 if i == 0 else -1), factor * f ** (1 if i == 0 else -1)
+        return {d: e for d, e in vector.items() if e}, factor
+
+    df = spark.createDataFrame([(a, b, 3.5) for a in codes for b in codes], "a string, b string, v double")
+    vector, factor = units.compound(F.col("a"), known)
+    for r in units.converted(df, "v", "a", "b").select("*", vector.alias("vector"), factor.alias("factor")).collect():
+        (va, fa), (vb, fb) = read(r.a), read(r.b)
+        assert r.vector == va and r.factor == (None if fa is None else pytest.approx(fa, rel=1e-14))
+        assert r.converted == (None if va is None or va != vb else pytest.approx(3.5 * fa / fb, rel=1e-14)), (r.a, r.b)
+    plan = units.converted(df, "v", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # each code is cut once
