@@ -3,7 +3,7 @@
 A text is cut at white space into chunks, which the public pre-tokenizer never crosses; chunks and their words are encoded once per Python worker and kept. A new word is split greedily into the longest tokens; the split is right
 exactly if every token is what its own bytes encode to and every adjacent pair is what the pair's bytes encode to. Adjacent pairs of all new words of a batch
 are checked together against a sorted table of pairs known to hold; a pair that is met first is decided by merging its bytes. Only words with
-a failing pair are merged exactly. Ids and texts equal those of the tokenizers library.
+a failing pair are merged exactly, those of a batch side by side, a merge of each a round. Ids and texts equal those of the tokenizers library.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from carecolumns.llm.common import batch, kept_for, small_batches
 KEPT_BYTES, KEPT_PAIRS = 50_000_000, 400_000
 #: Symbols up to which merging scans the word for its best pair; longer words use a heap.
 SHORT = 48
+#: The rank of pairs that do not merge.
+NEVER = 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -85,6 +87,11 @@ class Codec:
             self.made.append(self.id[a + b])
         self.longest = max(map(len, self.id))
         self.single = [self.id[bytes([b])] for b in range(256)]
+        #: Merges for many words at once: packed pairs in order with their ranks, and the ranks of all pairs of bytes.
+        self.sorted = np.array(sorted(self.order), np.int64)
+        self.ranks = np.array([self.order[p] for p in self.sorted.tolist()], np.int64)
+        self.made_of, self.bytes_of = np.array(self.made, np.int64), np.array(self.single, np.int64)
+        self.first = self.rank_of(np.repeat(self.bytes_of, 256), np.tile(self.bytes_of, 256)).reshape(256, 256)
         #: Tokens that greedy splits may use: those that their own bytes encode to.
         self.usable = {b: i for b, i in self.id.items() if self.merge(b) == [i]}
         #: Beginnings of tokens: a longer match is looked for while the bytes so far are one.
@@ -137,6 +144,43 @@ class Codec:
                 heapq.heappush(heap, (r[0], k, ids[k], ids[i]))
         return [i for i in ids if i >= 0]
 
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NEVER where they do not merge."""
+        pairs = a << 17 | b
+        at = np.minimum(np.searchsorted(self.sorted, pairs), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == pairs, self.ranks[at], NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """What `merge` gives for each word: a round makes the leftmost merge of least rank in every word that has one. Words beyond SHORT bytes are merged one by one."""
+        out: list[list[int]] = [self.merge(w) if len(w) > SHORT else [] for w in words]
+        which = np.array([k for k, w in enumerate(words) if 0 < len(w) <= SHORT], np.int64)
+        if not len(which):
+            return out
+        size = np.fromiter((len(words[k]) for k in which.tolist()), np.int64, len(which))
+        raw = np.frombuffer(b"".join(words[k] for k in which.tolist()), np.uint8)
+        ids, rank = self.bytes_of[raw], np.full(len(raw), NEVER)
+        rank[:-1] = self.first[raw[:-1], raw[1:]]
+        while len(which):
+            ends = np.cumsum(size)
+            begins = ends - size
+            rank[ends - 1] = NEVER
+            # the place within the word tells equal ranks apart
+            least = np.minimum.reduceat(rank << 6 | np.arange(len(ids)) - np.repeat(begins, size), begins)
+            moves = least >> 6 < NEVER
+            for k, a, b in zip(which[~moves].tolist(), begins[~moves].tolist(), ends[~moves].tolist(), strict=True):
+                out[k] = ids[a:b].tolist()
+            at = begins[moves] + (least[moves] & 63)
+            ids[at] = self.made_of[least[moves] >> 6]
+            keep = np.repeat(moves, size)
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            which, size, at, ids, rank = which[moves], size[moves] - 1, place[at], ids[keep], rank[keep]
+            # pairs across words are none, whatever their ranks: they are closed at the head of the loop
+            right, left = at[at + 1 < len(ids)], at[at > 0]
+            rank[right] = self.rank_of(ids[right], ids[right + 1])
+            rank[left - 1] = self.rank_of(ids[left - 1], ids[left])
+        return out
+
     def greedy(self, word: bytes) -> list[int]:
         """The longest usable token at each place."""
         out, at, n, usable, begins = [], 0, len(word), self.usable, self.begins
@@ -174,9 +218,10 @@ class Codec:
         inside = word[1:] == word[:-1]
         fails = np.zeros(len(guess), bool)
         fails[word[1:][inside][~self.verified((flat[:-1] << 32 | flat[1:])[inside])]] = True
-        known = self.known
-        for k, (w, g) in enumerate(zip(words, guess, strict=True)):
-            known[w] = tuple(self.merge(raw[k]) if fails[k] else g)
+        wrong = np.flatnonzero(fails).tolist()
+        for k, ids in zip(wrong, self.merge_all([raw[k] for k in wrong]), strict=True):
+            guess[k] = ids
+        self.known.update(zip(words, map(tuple, guess), strict=True))
 
     def cut(self, chunk: str) -> list[str]:
         """The pre-tokenizer's words of a chunk; letters only, behind a space or not, are one."""

@@ -70,3 +70,14 @@ def test_kept_chunks_are_bounded_by_bytes(monkeypatch):
         text = " ".join("".join(r.choice("aeinorsth") for _ in range(12)) for _ in range(100))
         assert codec.decode(next(iter(codec.encode([text])))) == text
         assert codec.kept_bytes < 50_000 + 40_000 and len(codec.kept) < 300
+
+
+def test_failing_words_of_a_batch_are_merged_side_by_side():
+    codec = Codec(PATH)
+    r = random.Random(34)
+    words = ["".join(r.choice("aeinorsthñé中 ") for _ in range(r.choice((0, 1, 2, 7, 15, 40)))).encode() for _ in range(3000)] + [b"a" * n for n in range(60)]
+    want = [codec.merge(w) for w in words]
+    merged, exact = [], codec.merge
+    codec.merge = lambda b: merged.append(len(b)) or exact(b)
+    assert codec.merge_all(words) == want and codec.merge_all([]) == [] and codec.merge_all([b""]) == [[]]
+    assert merged and min(merged) > 48  # only long words are merged one by one
