@@ -6,6 +6,7 @@ A row gives a field in a column of its key (any type; texts are read as numbers)
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,49 +43,51 @@ def as_number(raw: Column) -> Column:
     return F.when(F.lower(raw) == "true", 1.0).when(F.lower(raw) == "false", 0.0).otherwise(F.coalesce(plain, date))
 
 
-def _option(raw: Column, options: list[dict]) -> tuple[Column, Column, Column]:
-    """(number, text, found): the first option, in their order, that a row's value means by its value, a number within 1e-9, its label or its key; failing
-    all of them, the first with that label in other letter case."""
-    x = as_number(raw)
-    num, text, found = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(False)
+def _option(raw: Column, x: Column, options: list[dict]) -> Column:
+    """The place of the first option, in their order, that a row's value means by its value, a number within 1e-9 (x is the value's), its label or its key; failing
+    all of them, of the first with that label in other letter case. Null if there is none."""
     tests = []
     for o in options:
-        means = (raw == str(o["value"])) | (raw == str(o.get("label", "")))
+        means = raw.isin(*{str(o["value"]), str(o.get("label", "")), str(o.get("key") or o["value"])})
         if isinstance(o["value"], (int, float)):
-            means = means | F.coalesce(F.abs(x - float(o["value"])) < CLOSE, F.lit(False))
-        tests.append((o, means | (raw == o["key"]) if o.get("key") else means))
-    for o in options:
-        tests.append((o, _same(raw, str(o.get("label", "")))))
-    for o, test in reversed(tests):
-        test = F.coalesce(test, F.lit(False))
-        v = o["value"]
-        number = isinstance(v, (int, float)) and not isinstance(v, bool)
-        num = F.when(test, F.lit(float(v)) if number else F.lit(None).cast("double")).otherwise(num)
-        text = F.when(test, F.lit(None).cast("string") if number else F.lit(str(v))).otherwise(text)
-        found = F.when(test, True).otherwise(found)
-    return num, text, found
-
-
-def to_base(x: Column, df: DataFrame, f: dict, strict: bool) -> tuple[Column, Column | None]:
-    """x in the field's base unit; an error for unit codes it does not have (only if strict, else they mean the display unit)."""
+            means = means | (F.abs(x - float(o["value"])) < CLOSE)
+        tests.append(means)
+    tests += [_same(raw, str(o.get("label", ""))) for o in options]
+    at = F.lit(None).cast("int")
+    for n, test in reversed(list(enumerate(tests))):
+        at = F.when(test, n % len(options)).otherwise(at)
+    return at
+
+
+def _of_options(at: Column, options: list[dict]) -> tuple[Column, Column]:
+    """(number, text) of the option at a place: it has one of them."""
+    numbers = [None if isinstance(o["value"], bool) or not isinstance(o["value"], (int, float)) else float(o["value"]) for o in options]
+    texts = [str(o["value"]) if x is None else None for o, x in zip(options, numbers, strict=True)]
+    pick = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at) if any(v is not None for v in values) else F.lit(None).cast(kind)
+    return pick(numbers, "double"), pick(texts, "string")
+
+
+def to_base(x: Column, df: DataFrame, f: dict, strict: bool) -> tuple[Column, tuple[Column, Column] | None]:
+    """x in the field's base unit; unit codes that it does not have, and their error (only if strict, else they mean the display unit)."""
     units = f.get("units") or []
     if not units:
         return x, None
     default = next((u for u in units if u["code"] == (f.get("display_unit") or f.get("base_unit"))), None) or {"factor": 1.0, "offset": 0.0}
-    code = given(df, f"{f['key']}__unit")
     out = x * F.lit(float(default.get("factor") or 1.0)) + F.lit(float(default.get("offset") or 0.0))
+    if f"{f['key']}__unit" not in df.columns:
+        return out, None
+    code = given(df, f"{f['key']}__unit")
     known = code.isNull()
     for u in reversed(units):
         hit = F.coalesce(_same(code, u["code"]) | _same(code, u.get("label") or u["code"]), F.lit(False))
         out = F.when(hit, x * F.lit(float(u["factor"])) + F.lit(float(u.get("offset") or 0.0))).otherwise(out)
         known = known | hit
-    return out, F.when(~known, error(f["key"], F.concat(F.lit("unknown unit "), code))) if strict else None
+    return out, (~known, error(f["key"], F.concat(F.lit("unknown unit "), code))) if strict else None
 
 
-def _matches(df: DataFrame, fields: dict[str, dict], when: dict) -> Column:
-    """Whether the controlling field's answer is among those asked for; false while it is unanswered."""
+def _matches(raw: Column, fields: dict[str, dict], when: dict) -> Column:
+    """Whether the controlling field's answer, as text, is among those asked for; false while it is unanswered."""
     control = fields.get(when["field"], {})
-    raw = given(df, when["field"])
     if control.get("default") is not None:
         raw = F.coalesce(raw, F.lit(str(control["default"])))
     out = F.lit(False)
@@ -96,46 +99,67 @@ def _matches(df: DataFrame, fields: dict[str, dict], when: dict) -> Column:
     return out
 
 
-def bounds(x: Column, f: dict) -> list[Column]:
-    """Errors of a number against the field's bounds, closed ones widened by 1e-9; NaN is in no range."""
+def bounds(x: Column, f: dict) -> list[tuple[Column, Column]]:
+    """Tests of a number, with their errors, against the field's bounds, closed ones widened by 1e-9; NaN is in no range."""
     c, label, unit = f.get("constraints") or {}, f.get("label") or f["key"], f" {f['base_unit']}" if f.get("base_unit") else ""
     rules = (("min", lambda b: x >= b - CLOSE, "at least"), ("exclusive_min", lambda b: x > b, "greater than"), ("max", lambda b: x <= b + CLOSE, "at most"), ("exclusive_max", lambda b: x < b, "less than"))
     out = []
     for k, holds, words in rules:
         if c.get(k) is not None:
-            out.append(F.when(x.isNotNull() & (F.isnan(x) | ~holds(F.lit(float(c[k])))), error(f["key"], f"{label} must be {words} {shown(c[k])}{unit}")))
+            out.append((x.isNotNull() & (F.isnan(x) | ~holds(F.lit(float(c[k])))), error(f["key"], f"{label} must be {words} {shown(c[k])}{unit}")))
     return out
 
 
+def _found(errors: list[tuple[Column, Column]]) -> Column:
+    """The errors whose tests hold. Rows without any make no array: filtering one is a call a row outside of compiled code, with all that its tests compute."""
+    none = F.array_compact(F.array().cast("array<struct<field:string,message:string>>"))
+    if not errors:
+        return none
+    return F.when(reduce(lambda a, b: a | b, [test for test, _ in errors]), F.array_compact(F.array(*[F.when(test, e) for test, e in errors]))).otherwise(none)
+
+
 def validate(df: DataFrame, spec: dict, strict_units: bool = True) -> tuple[DataFrame, dict[str, Value]]:
-    """df with `errors` (array of field, message; empty if none) and the Values of the inputs."""
+    """df with `errors` (array of field, message; empty if none) and the Values of the inputs.
+
+    What a field's text is, the number it reads as, the option or number it means and the errors are columns one after the other, so that each is computed once a row.
+    """
     fields = {f["key"]: f for f in spec.get("inputs", [])}
+    chosen = {key for key, f in fields.items() if f.get("options") and not f.get("options_incomplete")}
+    numeric = {key for key, f in fields.items() if key not in chosen or any(isinstance(o["value"], (int, float)) for o in f["options"])}
+    raws, xs = {key: F.col(f"__i{n}_r") for n, key in enumerate(fields)}, {key: F.col(f"__i{n}_x") for n, key in enumerate(fields)}
+    rows = df.withColumns({f"__i{n}_r": given(df, key) for n, key in enumerate(fields)})
+    rows = rows.withColumns({f"__i{n}_x": as_number(raws[key]) for n, key in enumerate(fields) if key in numeric})
+    rows = rows.withColumns({f"__i{n}_o": _option(raws[key], xs[key], f["options"]) for n, (key, f) in enumerate(fields.items()) if key in chosen})
+    control = lambda when: raws[when["field"]] if when["field"] in raws else given(df, when["field"])
     env, errors, new = {}, [], {}
     for n, (key, f) in enumerate(fields.items()):
-        raw, label = given(df, key), f.get("label") or key
+        raw, label = raws[key], f.get("label") or key
         required = F.lit(bool(f.get("required")))
         if f.get("required_when"):
             # while the control is unanswered, nothing is asked for, whatever its default
-            required = given(df, f["required_when"]["field"]).isNotNull() & _matches(df, fields, f["required_when"])
+            answer = control(f["required_when"])
+            required = answer.isNotNull() & _matches(answer, fields, f["required_when"])
         if f.get("visible_when"):
             # a hidden field is not asked for; one whose control is unanswered is shown
-            control = given(df, f["visible_when"]["field"])
-            required = required & (control.isNull() | _matches(df, fields, f["visible_when"]))
-        errors.append(F.when(raw.isNull() & required & F.lit(f.get("default") is None or bool(f.get("required"))), error(key, f"{label} is required")))
+            answer = control(f["visible_when"])
+            required = required & (answer.isNull() | _matches(answer, fields, f["visible_when"]))
         default = f.get("default")
-        if f.get("options") and not f.get("options_incomplete"):
-            num, text, found = _option(raw, f["options"])
-            errors.append(F.when(raw.isNotNull() & ~found, error(key, F.concat(F.lit(f"{label}: unknown choice "), raw))))
+        if default is None or f.get("required"):
+            errors.append((raw.isNull() & required, error(key, f"{label} is required")))
+        if key in chosen:
+            at = F.col(f"__i{n}_o")
+            num, text = _of_options(at, f["options"])
+            errors.append((raw.isNotNull() & at.isNull(), error(key, F.concat(F.lit(f"{label}: unknown choice "), raw))))
             texts = [not isinstance(o["value"], (int, float)) for o in f["options"]]
             kind = STR if all(texts) else MIXED if any(texts) else NUM
         else:
-            number = as_number(raw)
+            number = xs[key]
             sentinel = [o["value"] for o in f.get("options") or [] if isinstance(o["value"], str)] + ["other"] * (key == "concentration")
             is_sentinel = F.coalesce(raw.isin(sentinel), F.lit(False)) if sentinel else F.lit(False)
-            errors.append(F.when(raw.isNotNull() & number.isNull() & ~is_sentinel, error(key, f"{label} must be a number")))
+            errors.append((raw.isNotNull() & number.isNull() & ~is_sentinel, error(key, f"{label} must be a number")))
             num, unit_error = to_base(number, df, f, strict_units)
             if unit_error is not None:
-                errors.append(F.when(raw.isNotNull(), unit_error))
+                errors.append((raw.isNotNull() & unit_error[0], unit_error[1]))
             errors += bounds(num, f)
             text, kind = F.when(is_sentinel, raw), MIXED if sentinel else NUM
         if default is not None:
@@ -150,8 +174,8 @@ def validate(df: DataFrame, spec: dict, strict_units: bool = True) -> tuple[Data
         n_col, s_col = F.col(f"__i{n}_n") if kind != STR else None, F.col(f"__i{n}_s") if kind != NUM else None
         missing = s_col.isNull() if n_col is None else n_col.isNull() if s_col is None else n_col.isNull() & s_col.isNull()
         env[key] = Value(kind, n_col, s_col, missing)
-    new["errors"] = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<struct<field:string,message:string>>")
-    return df.withColumns(new), env
+    new["errors"] = _found(errors)
+    return rows.withColumns(new), env
 
 
 def unknown_keys(df: DataFrame, spec: dict, also: tuple[str, ...] = ()) -> list[str]:

@@ -192,3 +192,14 @@ def test_publish_and_load(spark, tmp_path):
     checks.publish(made, str(tmp_path / "out"))
     assert checks.difference(made, spark.read.text(str(tmp_path / "out" / "specifications")).select(F.get_json_object("value", "$.slug").alias("slug"), F.col("value").alias("document"))).count() == 0
     assert {r.slug for r in spark.read.json(str(tmp_path / "out" / "index")).collect()} == {"anion-gap", "4t-score"}
+
+
+def test_rows_without_errors_read_each_input_once(spark):
+    # outside of array functions, which are a call a row and compute their arguments uncompiled, a text is turned into a number in one place
+    spec = SPECS["anion-gap"]
+    plan = evaluation.formula(checks.probes(spark.range(3), "id", spec), spec).select("ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") == len(spec["inputs"])
+    # errors keep their order, bounds after what cannot be read, whatever else holds
+    df = spark.createDataFrame([("abc", "stone", "9"), ("0", "kg", "1.7"), (None, None, "0.85")], "weight string, weight__unit string, height string")
+    made = {"inputs": [{"key": "weight", "required": True, "base_unit": "kg", "units": [{"code": "kg", "factor": 1.0}], "constraints": {"min": 1}}, {"key": "height", "options": [{"value": 0.85, "label": "Low"}, {"value": 1.7}]}], "compute": {"outputs": [{"key": "y", "expr": "weight"}]}}
+    assert [[e.message for e in r.errors] for r in evaluation.formula(df, made).collect()] == [["weight must be a number", "unknown unit stone", "height: unknown choice 9"], ["weight must be at least 1 kg"], ["weight is required"]]
