@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding of whole texts: speculate and verify.
 
-A text is cut at white space into chunks, which the public pre-tokenizer never crosses; chunks and their words are encoded once per Python worker and kept. A new word is split greedily into the longest tokens; the split is right
-exactly if every token is what its own bytes encode to and every adjacent pair is what the pair's bytes encode to. Adjacent pairs of all new words of a batch
+A text is cut at white space into chunks, which the public pre-tokenizer never crosses; chunks and their words are encoded once per Python worker and kept.
+A new word is split greedily into the longest tokens, those of a batch side by side, a byte a round; the split is right exactly if
+every token is what its own bytes encode to and every adjacent pair is what the pair's bytes encode to. Adjacent pairs of all new words of a batch
 are checked together against a sorted table of pairs known to hold; a pair that is met first is decided by merging its bytes. Only words with
 a failing pair are merged exactly, those of a batch side by side, a merge of each a round. Ids and texts equal those of the tokenizers library.
 """
@@ -74,7 +75,7 @@ class Codec:
         vocabulary = spec["model"]["vocab"]
         self.bytes = {i: to_bytes(s) for s, i in vocabulary.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
         self.id = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
-        self.text = {i: str(i) for i in self.bytes}
+        self.text = list(map(str, range(max(self.bytes) + 1)))
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         #: Merges by packed pair, and the ids that they make, by rank.
         self.order: dict[int, int] = {}
@@ -96,13 +97,17 @@ class Codec:
         self.usable = {b: i for b, i in self.id.items() if self.merge(b) == [i]}
         #: Beginnings of tokens: a longer match is looked for while the bytes so far are one.
         self.begins = {b[:k] for b in self.usable for k in range(1, len(b))}
+        self.trie = self._trie()
+        #: One number object an id, whatever the number of words that hold it.
+        self.same = list(range(max(self.bytes) + 1))
         letters, numbers, spaces = _classes()
         pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
         self.words = re.compile(pattern).findall
         self.chunks = re.compile(rf" ?[^{spaces}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
         self.apart = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of chunks and of words: a word is a chunk of one word, so both are one table.
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.known = self.kept
         self.kept_bytes = 0
         self.pairs: dict[int, bool] = {}
 
@@ -197,6 +202,59 @@ class Codec:
             at = last_end
         return out
 
+    def _trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Usable tokens as a trie in arrays: a state's first place, the state that owns a place, the state behind it (both by first place + byte), and a state's token, -1 without one."""
+        states = {b"": 0} | {b: n for n, b in enumerate(sorted(self.begins | self.usable.keys()), 1)}
+        children: dict[int, list[tuple[int, int]]] = {}
+        for b, n in states.items():
+            if b:
+                children.setdefault(states[b[:-1]], []).append((b[-1], n))
+        places = 1 << (4 * len(states) + 1024).bit_length()
+        first, owner, behind, token = [0] * len(states), [-1] * places, [0] * places, np.full(len(states), -1, np.int64)
+        at = 0
+        # states with many children first; the next place tried is far off, so that few are taken
+        for n in sorted(children, key=lambda n: -len(children[n])):
+            while any(owner[at + b] >= 0 for b, _ in children[n]):
+                at = (at + 40503) % (places - 256)
+            first[n] = at
+            for b, to in children[n]:
+                owner[at + b], behind[at + b] = n, to
+            at = (at + 40503) % (places - 256)
+        token[[states[b] for b in self.usable]] = list(self.usable.values())
+        return np.array(first, np.int64), np.array(owner, np.int64), np.array(behind, np.int64), token
+
+    def greedy_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What `greedy` gives for all words, one after the other, and the number of each: a byte of every word a round. Words beyond SHORT bytes are split one by one."""
+        first, owner, behind, token = self.trie
+        n_bytes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        ends = np.cumsum(n_bytes)
+        of, ids = [], []
+        for k in np.flatnonzero(n_bytes > SHORT).tolist():
+            ids.append(np.array(self.greedy(words[k]), np.int64))
+            of.append(np.full(len(ids[-1]), k))
+        which = np.flatnonzero((n_bytes > 0) & (n_bytes <= SHORT))
+        at, end = (ends - n_bytes)[which], ends[which]
+        state, last, last_end = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), at.copy()
+        while len(which):
+            place = first[state] + raw[at]
+            on = (owner[place] == state) & (at < end)
+            state = np.where(on, behind[place], 0)
+            at = at + on
+            found = token[state]
+            last, last_end = np.where(found >= 0, found, last), np.where(found >= 0, at, last_end)
+            if not on.all():
+                # no token is longer: the last one found stands, and the next begins behind it
+                of.append(which[~on])
+                ids.append(last[~on])
+                at = np.where(on, at, last_end)
+                left = on | (at < end)
+                which, at, end, state, last, last_end = which[left], at[left], end[left], state[left], last[left], last_end[left]
+        if not of:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word = np.concatenate(of)
+        return np.concatenate(ids)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
     def verified(self, pairs: np.ndarray) -> np.ndarray:
         """Which packed pairs (a << 32 | b) of tokens keep apart when their bytes are merged."""
         if len(self.pairs) > KEPT_PAIRS:
@@ -211,21 +269,19 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode new words: speculate, verify all adjacent pairs at once, merge those that fail."""
         raw = [w.encode() for w in words]
-        guess = [self.greedy(b) for b in raw]
-        size = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter(chain.from_iterable(guess), np.int64, int(size.sum()))
-        word = np.repeat(np.arange(len(guess)), size)
+        flat, size = self.greedy_all(raw)
+        word = np.repeat(np.arange(len(raw)), size)
         inside = word[1:] == word[:-1]
-        fails = np.zeros(len(guess), bool)
+        fails = np.zeros(len(raw), bool)
         fails[word[1:][inside][~self.verified((flat[:-1] << 32 | flat[1:])[inside])]] = True
+        ids, ends = tuple(map(self.same.__getitem__, flat.tolist())), np.cumsum(size)
+        guess = [ids[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         wrong = np.flatnonzero(fails).tolist()
-        for k, ids in zip(wrong, self.merge_all([raw[k] for k in wrong]), strict=True):
-            guess[k] = ids
-        self.known.update(zip(words, map(tuple, guess), strict=True))
-
-    def cut(self, chunk: str) -> list[str]:
-        """The pre-tokenizer's words of a chunk; letters only, behind a space or not, are one."""
-        return [chunk] if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else self.words(chunk)
+        for k, merged in zip(wrong, self.merge_all([raw[k] for k in wrong]), strict=True):
+            guess[k] = tuple(map(self.same.__getitem__, merged))
+        self.kept.update(zip(words, guess, strict=True))
+        # words, their ids, and the entries of the table
+        self.kept_bytes += 220 * len(words) + 2 * sum(map(len, words)) + 8 * len(flat)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; the vocabulary's special strings are tokens of their own."""
@@ -241,19 +297,24 @@ class Codec:
                 split.append([self.chunks(t)])
         if self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
-            self.known.clear()
             self.kept_bytes = 0
-        kept, known = self.kept, self.known
+        kept = self.kept
         new = set().union(*(p for parts in split for p in parts if not isinstance(p, int))) - kept.keys()
         if new:
-            words = {c: self.cut(c) for c in new}
-            if unknown := {w for ws in words.values() for w in ws} - known.keys():
-                self.learn(list(unknown))
-            for c, ws in words.items():
-                kept[c] = ids = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws)))
-                # the chunk, its words, their ids, and the entries of two tables
-                self.kept_bytes += 220 + 4 * len(c) + 16 * len(ids)
+            # letters only, behind a space or not, are one word of the pre-tokenizer
+            words = {c for c in new if (c[1:] if c[0] == " " else c).isalpha()}
+            several = {c: self.words(c) for c in new - words}
+            words.update(w for ws in several.values() for w in ws if w not in kept)
+            if words:
+                self.learn(list(words))
+            for c, ws in several.items():
+                if len(ws) > 1:
+                    kept[c] = ids = tuple(chain.from_iterable(map(kept.__getitem__, ws)))
+                    self.kept_bytes += 220 + 2 * len(c) + 8 * len(ids)
         for parts in split:
+            if len(parts) == 1:
+                yield list(chain.from_iterable(map(kept.__getitem__, parts[0])))
+                continue
             yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(kept.__getitem__, p)) for p in parts))
 
     def decode(self, ids: list[int]) -> str:

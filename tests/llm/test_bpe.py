@@ -81,3 +81,17 @@ def test_failing_words_of_a_batch_are_merged_side_by_side():
     codec.merge = lambda b: merged.append(len(b)) or exact(b)
     assert codec.merge_all(words) == want and codec.merge_all([]) == [] and codec.merge_all([b""]) == [[]]
     assert merged and min(merged) > 48  # only long words are merged one by one
+
+
+def test_greedy_splits_of_a_batch_are_found_side_by_side():
+    codec = Codec(PATH)
+    r = random.Random(8)
+    tokens = list(codec.usable)
+    words = [b"".join(r.choice(tokens) for _ in range(r.randint(1, 4))) for _ in range(3000)] + [bytes(r.randrange(256) for _ in range(r.randint(0, 70))) for _ in range(1000)] + [b"", b"z" * 500]
+    one_by_one, single = [], codec.greedy
+    want = [single(w) for w in words]
+    codec.greedy = lambda b: one_by_one.append(len(b)) or single(b)
+    ids, size = codec.greedy_all(words)
+    ends = size.cumsum()
+    assert [ids[a:b].tolist() for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)] == want and min(one_by_one) > 48
+    assert [x.tolist() for x in codec.greedy_all([])] == [[], []] and [x.tolist() for x in codec.greedy_all([b""])] == [[], [0]]
